@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm.fingerprints import op1_fingerprints
 from barloom.llm.mixing import OP3_SQL, op3_mixing
+from barloom.llm.packing import op2_packing
 from barloom.llm.sharding import op6_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
     "op6_sharding": op6_sharding,
 }
