@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from barloom.llm.fingerprints import op1_fingerprints
 from barloom.llm.mixing import OP3_SQL, op3_mixing
 from barloom.llm.packing import op2_packing
+from barloom.llm.pii import op9_pii
+from barloom.llm.secrets import op7_secrets
 from barloom.llm.sharding import op6_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
     "op6_sharding": op6_sharding,
+    "op7_secrets": op7_secrets,
+    "op9_pii": op9_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
