@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm.fingerprints import op1_fingerprints
+from barloom.llm import licences
 from barloom.llm.mixing import OP3_SQL, op3_mixing
 from barloom.llm.packing import op2_packing
 from barloom.llm.pii import op9_pii
@@ -19,9 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op6_sharding": op6_sharding,
     "op7_secrets": op7_secrets,
+    "op8_licences": licences.op8_licences,
     "op9_pii": op9_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": OP3_SQL,
+    "op8_licences": licences.oracle(),
 }
