@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm.fingerprints import op1_fingerprints
-from barloom.llm import licences
+from barloom.llm import jpeg, licences
 from barloom.llm.mixing import OP3_SQL, op3_mixing
 from barloom.llm.packing import op2_packing
 from barloom.llm.pii import op9_pii
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secrets": op7_secrets,
     "op8_licences": licences.op8_licences,
     "op9_pii": op9_pii,
+    "op10_media": jpeg.op10_media,
 }
 
 ORACLE_SQL: dict[str, str] = {
