@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ END_ID = 1
 GROUP_ROWS = 8192
 CLASSES = 16
 #: Words whose ids a worker keeps; beyond that it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -83,20 +84,23 @@ class WordIds:
         self.words.update(zip(new, (ids[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
 
 
-_ENCODERS: dict[str, WordIds] = {}
+@cache
+def encoder(path: str) -> WordIds:
+    """One for each Python worker; what it has learned serves the worker's later tasks too."""
+    return WordIds(path)
 
 
 def piece_rows(path: str, capacity: int = CAPACITY):
     """A function for ``mapInArrow`` over (doc_id, text): one row per piece."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, WordIds(path))
+        ids_of = encoder(path).encode
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
             texts = batch.column(1)
             for k, doc_id in enumerate(batch.column(0).to_pylist()):
-                ids = encoder.encode(texts[k].as_py() or "") + end
+                ids = ids_of(texts[k].as_py() or "") + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
