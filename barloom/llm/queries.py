@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm.fingerprints import op1_fingerprints
 from barloom.llm import jpeg, licences
+from barloom.llm.jaccard import op5_jaccard
 from barloom.llm.mixing import OP3_SQL, op3_mixing
 from barloom.llm.packing import op2_packing
 from barloom.llm.pii import op9_pii
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
+    "op5_jaccard": op5_jaccard,
     "op6_sharding": op6_sharding,
     "op7_secrets": op7_secrets,
     "op8_licences": licences.op8_licences,
