@@ -14,11 +14,13 @@ from barloom.llm.packing import op2_packing
 from barloom.llm.pii import op9_pii
 from barloom.llm.secrets import op7_secrets
 from barloom.llm.sharding import op6_sharding
+from barloom.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
+    "op4_toxicity": op4_toxicity,
     "op5_jaccard": op5_jaccard,
     "op6_sharding": op6_sharding,
     "op7_secrets": op7_secrets,
