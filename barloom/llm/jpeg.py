@@ -20,6 +20,7 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -439,8 +440,6 @@ def summary(text: str) -> tuple:
 
 def media_column(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``media``: the text stored as a progressive JPEG. A null text counts as empty."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def stored(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: encode(padded(t or "")))
@@ -450,8 +449,6 @@ def media_column(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def rgb_column(media: DataFrame, column: str = "media") -> DataFrame:
     """``media`` with ``height``, ``width`` and ``rgb``, the full-resolution tensor's bytes; null where the column is null."""
-    import pandas as pd
-
     @F.pandas_udf("height int, width int, rgb binary")
     def opened(files: pd.Series) -> pd.DataFrame:
         tensors = [None if f is None else tensor(decode(bytes(f))) for f in files]

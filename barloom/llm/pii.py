@@ -20,6 +20,7 @@ import re
 import string
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,8 +127,6 @@ def redacted(text: str) -> str:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with personal data replaced; null texts stay null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(redacted, na_action="ignore")
