@@ -41,7 +41,7 @@ FREQUENT_SHARE = 8192
 #: Lists of other tokens are paired up to this length; longer ones are treated like those of frequent tokens.
 PAIRED = 1024
 #: Tokens that a task counts at once.
-COUNTED = 4_000_000
+COUNTED = 2_000_000
 #: Up to so many ids are broadcast to pick their documents; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -242,7 +242,8 @@ def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = staged(ids, "join-ids")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(whole_sets, "doc_id long, tokens binary")
+    # pairs grow with the input, so they are never broadcast
+    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(whole_sets, "doc_id long, tokens binary").hint("merge")
     first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
     both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
     return staged(both.select("a", "b", "x", "y").mapInArrow(common_tokens, "a long, b long, both long, either long"), "join-compared")
@@ -260,7 +261,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, frequent_least:
 
     firsts = staged(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")), "join-firsts")
     index = docs.where("doc_id IS NOT NULL").mapInArrow(prefixes(frequent, percent), "doc_id long, n long, late long, prefix array<long>")
-    entries = index.join(firsts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(
+    entries = index.join(firsts.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select(
         F.posexplode("prefix").alias("at", "token"), "doc_id", "n", "late"
     )
     packed = entries.select(
