@@ -26,7 +26,7 @@ def or_else(x: Column, default: Column | float) -> Column:
 
 def money(x: Column) -> Column:
     """Two decimals, halves away from zero; null counts as nothing."""
-    return F.coalesce(x.cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
+    return F.coalesce(x.cast("decimal(20,6)").cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
 
 
 def money_times(quantity: Column, price: Column) -> Column:
@@ -48,6 +48,13 @@ def finite(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(None)).otherwise(x)
 
 
+def layered(df: DataFrame, layers: list[dict[str, str]]) -> DataFrame:
+    """``df`` with one level of SQL expressions after the other: each level may use the columns of those before."""
+    for layer in layers:
+        df = df.withColumns({c: F.expr(e) for c, e in layer.items()})
+    return df
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """``df`` in the form in which results are compared: doubles to so many digits (zero has no sign), dates and times as text."""
 

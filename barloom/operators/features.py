@@ -14,7 +14,6 @@ from barloom.functions.columns import clamp, finite, ratio
 from barloom.operators.recurrence import ema, numbered, weighted_sums, wilder
 
 YEAR = math.sqrt(252)
-WS = Window.partitionBy("symbol").orderBy("bar")
 
 #: The 25 model inputs and the value that stands for an unknown one.
 DEFAULTS = {
@@ -25,8 +24,12 @@ DEFAULTS = {
 }
 
 
+def ws():
+    return Window.partitionBy("symbol").orderBy("bar")
+
+
 def w(n: int):
-    return WS.rowsBetween(-(n - 1), 0)
+    return ws().rowsBetween(-(n - 1), 0)
 
 
 def full(n: int, x: Column | str, e: Column, least: int | None = None) -> Column:
@@ -35,24 +38,24 @@ def full(n: int, x: Column | str, e: Column, least: int | None = None) -> Column
 
 
 def change(x: str, n: int) -> Column:
-    return ratio(F.col(x), F.lag(x, n).over(WS)) - 1
+    return ratio(F.col(x), F.lag(x, n).over(ws())) - 1
 
 
 def align_benchmark(panel: DataFrame, bench: DataFrame) -> DataFrame:
     """As-of join along the symbol's own bars: the benchmark's value of the bar, else the last one before it."""
     joined = panel.join(bench, "bar", "left")
-    return joined.withColumn("bclose", F.last("bclose", ignorenulls=True).over(WS.rowsBetween(Window.unboundedPreceding, 0)))
+    return joined.withColumn("bclose", F.last("bclose", ignorenulls=True).over(ws().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def true_range() -> Column:
-    before = F.lag("close").over(WS)
+    before = F.lag("close").over(ws())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
 def feature_panel(panel: DataFrame, bench: DataFrame) -> DataFrame:
     """``panel`` (bars) with the 25 model inputs; unknown values get their defaults, infinite ones 0."""
     df = numbered(align_benchmark(panel, bench))
-    delta = F.col("close") - F.lag("close").over(WS)
+    delta = F.col("close") - F.lag("close").over(ws())
     df = df.withColumns(
         {
             "_gain": F.greatest(delta, F.lit(0.0)) + F.lit(0.0) * delta,
@@ -94,7 +97,7 @@ def feature_panel(panel: DataFrame, bench: DataFrame) -> DataFrame:
         "ret_20d": ret[20],
         "momentum_5": ret[5],
         "momentum_20": ret[20],
-        "gap_pct": ratio(F.col("open") - F.lag("close").over(WS), F.lag("close").over(WS)),
+        "gap_pct": ratio(F.col("open") - F.lag("close").over(ws()), F.lag("close").over(ws())),
         "dist_52w_high": ratio(close - top, top),
         "dist_52w_low": ratio(close - bottom, bottom),
         "volume_z_score": clamp(ratio(volume - v_mean, v_std), -3, 3) + F.lit(0.0) * ratio(volume - v_mean, v_std),
@@ -120,7 +123,7 @@ def drawdown(values: Column) -> Column:
 def extra_features(panel: DataFrame, bench: DataFrame) -> DataFrame:
     """Further inputs and variants: population deviations, Wilder's smoothing, drawdowns, tails, bands, liquidity and crosses."""
     df = numbered(align_benchmark(panel, bench))
-    before = F.lag("close").over(WS)
+    before = F.lag("close").over(ws())
     delta = F.col("close") - before
     df = df.withColumns(
         {
@@ -165,7 +168,7 @@ def extra_features(panel: DataFrame, bench: DataFrame) -> DataFrame:
         change("close", 10).alias("momentum_10"),
         F.col("_atr").alias("atr_14"),
         vol.alias("ann_vol_pop"),
-        full(20, "_r", F.sqrt(F.avg(F.pow(F.least(F.col("_r"), F.lit(0.0)), 2)).over(w(20))) * YEAR, 10).alias("downside_pop"),
+        full(20, "_r", F.sqrt(F.avg(F.pow(F.least(F.col("_r"), F.lit(0.0)) + F.lit(0.0) * F.col("_r"), 2)).over(w(20))) * YEAR, 10).alias("downside_pop"),
         drawdown(closes.over(w(20))).alias("max_drawdown_20d"),
         drawdown(closes.over(w(60))).alias("max_drawdown_60d"),
         F.coalesce(F.avg("_gap").over(w(20)), F.lit(0.005)).alias("gap_risk"),
@@ -185,7 +188,7 @@ def extra_features(panel: DataFrame, bench: DataFrame) -> DataFrame:
 def feature_grid(panel: DataFrame, returns=(1, 3, 5, 10, 20, 60, 100, 200), means=(20, 50, 100, 200), emas=(9, 20, 50), rsis=(7, 14, 21)) -> DataFrame:
     """A parametrised family of returns, distances to means and extremes, and oscillators."""
     df = numbered(panel)
-    delta = F.col("close") - F.lag("close").over(WS)
+    delta = F.col("close") - F.lag("close").over(ws())
     df = df.withColumns({"_gain": F.greatest(delta, F.lit(0.0)), "_loss": F.greatest(-delta, F.lit(0.0))})
     df = weighted_sums(df, {f"_{side}{n}": (f"_{side}", 1 - 1 / n) for n in rsis for side in ("gain", "loss")})
     df = ema(df, {f"ema_{n}": ("close", 2 / (n + 1)) for n in emas})

@@ -6,6 +6,44 @@ import re
 
 SEQ = "row(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
 
+WINDOWS = ", ".join(f"w{n} AS (PARTITION BY symbol ORDER BY bar ROWS {n - 1} PRECEDING)" for n in (3, 14, 20, 50, 60, 100, 200, 252))
+WINDOWS = f"WINDOW ws AS (PARTITION BY symbol ORDER BY bar), {WINDOWS}"
+
+# Wilder's smoothing in closed form: the seed is the mean of values 1 to 14, at row 14
+WILDER = """SELECT a.symbol, a.rn,
+  sum(greatest(b.delta, 0) * CASE WHEN b.rn <= 14 THEN pow(13 / 14.0, a.rn - 14) / 14 ELSE pow(13 / 14.0, a.rn - b.rn) / 14 END) AS ag,
+  sum(greatest(-b.delta, 0) * CASE WHEN b.rn <= 14 THEN pow(13 / 14.0, a.rn - 14) / 14 ELSE pow(13 / 14.0, a.rn - b.rn) / 14 END) AS al,
+  sum(b.tr * CASE WHEN b.rn <= 14 THEN pow(13 / 14.0, a.rn - 14) / 14 ELSE pow(13 / 14.0, a.rn - b.rn) / 14 END) AS atr
+  FROM moves a JOIN moves b ON a.symbol = b.symbol AND b.rn BETWEEN 1 AND a.rn WHERE a.rn >= 14 GROUP BY a.symbol, a.rn"""
+DRAWDOWNS = """SELECT symbol, rn, max(CASE WHEN depth20 THEN dd20 END) AS max_drawdown_20d, max(dd60) AS max_drawdown_60d FROM (
+  SELECT a.symbol, a.rn, b.rn > a.rn - 20 AS depth20,
+    1 - b.close / max(b.close) OVER (PARTITION BY a.symbol, a.rn ORDER BY b.rn) AS dd60,
+    1 - b.close / max(CASE WHEN b.rn > a.rn - 20 THEN b.close END) OVER (PARTITION BY a.symbol, a.rn ORDER BY b.rn) AS dd20
+  FROM bars_n a JOIN bars_n b ON a.symbol = b.symbol AND b.rn BETWEEN a.rn - 59 AND a.rn) GROUP BY symbol, rn"""
+TAILS = """SELECT symbol, rn, CASE WHEN len(rs) >= 20 THEN list_sort(rs)[floor(len(rs) * 0.05)::INT + 1] ELSE -0.03 END AS tail,
+  100.0 * len(list_filter(cs, lambda x: x < close)) / len(cs) AS pct FROM (
+  SELECT symbol, rn, close, list_filter(list(r) OVER w60, lambda x: x IS NOT NULL) AS rs, list(close) OVER w60 AS cs FROM moves
+  WINDOW w60 AS (PARTITION BY symbol ORDER BY bar ROWS 59 PRECEDING))"""
+KS = f"SELECT symbol, rn, CASE WHEN rn >= 13 THEN 100 * (close - min(low) OVER w14) / nullif(max(high) OVER w14 - min(low) OVER w14, 0) END AS k FROM moves {WINDOWS}"
+EXTRA = f"""SELECT symbol, bar, close,
+  CASE WHEN rn >= 14 THEN CASE WHEN al = 0 THEN 100 ELSE 100 - 100 / (1 + ag / al) END END AS rsi_14_wilder,
+  e12 - e26 AS macd_line, signal AS macd_signal, e12 - e26 - signal AS macd_hist_raw,
+  CASE WHEN count(k) OVER w3 >= 3 THEN avg(k) OVER w3 END AS stoch_d,
+  close / lag(close, 10) OVER ws - 1 AS momentum_10, atr AS atr_14,
+  CASE WHEN count(r) OVER w20 >= 10 THEN stddev_pop(r) OVER w20 * sqrt(252) END AS ann_vol_pop,
+  CASE WHEN count(r) OVER w20 >= 10 THEN sqrt(avg(pow(CASE WHEN r < 0 THEN r ELSE 0 END, 2)) FILTER (r IS NOT NULL) OVER w20) * sqrt(252) END AS downside_raw,
+  max_drawdown_20d, max_drawdown_60d, coalesce(avg(abs(gap)) OVER w20, 0.005) AS gap_risk, tail AS tail_risk_5pct,
+  stddev_pop(volume) OVER w20 / avg(volume) OVER w20 AS volume_stability,
+  log10(greatest(1, close * avg(volume) OVER w20)) AS liquidity_score,
+  CASE WHEN count(CASE WHEN r IS NOT NULL AND rb IS NOT NULL THEN 1 END) OVER w60 >= 20 THEN covar_pop(r, rb) OVER w60 / nullif(var_pop(rb) OVER w60, 0) END AS beta,
+  CASE WHEN rn >= 4 THEN (close - avg(close) OVER w20) / nullif(stddev_pop(close) OVER w20, 0) END AS close_zscore, pct AS close_percentile,
+  CASE WHEN rn >= 149 THEN CASE WHEN avg(close) OVER w50 >= avg(close) OVER w200 THEN 'GOLDEN' ELSE 'DEATH' END END AS golden_cross,
+  CASE WHEN rn >= 19 THEN avg(close) OVER w20 END AS bb_middle, stddev_pop(close) OVER w20 AS sd20,
+  CASE WHEN count(r) OVER w20 >= 10 THEN sqrt(avg(CASE WHEN r IS NULL THEN NULL WHEN r < 0 THEN r * r ELSE 0 END) OVER w20) * sqrt(252) END AS downside_pop
+  FROM moves LEFT JOIN wilder USING (symbol, rn) JOIN emas USING (symbol, rn) JOIN signals USING (symbol, rn)
+  JOIN drawdowns USING (symbol, rn) JOIN tails USING (symbol, rn) JOIN ks USING (symbol, rn) {WINDOWS}"""
+EXTRA = EXTRA.replace("  CASE WHEN count(r) OVER w20 >= 10 THEN sqrt(avg(pow(CASE WHEN r < 0 THEN r ELSE 0 END, 2)) FILTER (r IS NOT NULL) OVER w20) * sqrt(252) END AS downside_raw,\n", "")
+
 CTES = {
     "trades": f"""SELECT p_brand AS symbol, l_shipdate, l_extendedprice / l_quantity AS px, l_quantity AS qty, {SEQ} AS seq, l_returnflag
       FROM lineitem JOIN part ON l_partkey = p_partkey""",
@@ -16,7 +54,7 @@ CTES = {
       FROM (SELECT bar, bclose / lag(bclose) OVER (ORDER BY bar) - 1 AS r FROM bench) WINDOW w20 AS (ORDER BY bar ROWS 19 PRECEDING)""",
     "ticks": "SELECT event_type AS symbol, ts, value AS px, 1.0 AS qty, event_id AS seq FROM events WHERE value <> 0",
     "ledger": f"""SELECT o_custkey AS portfolio, p_brand AS symbol, l_shipdate AS ts, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side,
-      l_quantity::INT AS qty, (l_extendedprice / l_quantity)::DECIMAL(14,2) AS price, {SEQ} AS seq
+      l_quantity::INT AS qty, (l_extendedprice / l_quantity)::DECIMAL(18,4)::DECIMAL(14,2) AS price, {SEQ} AS seq
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
     "universe": """SELECT *, CASE WHEN rank <= 8 THEN 'LARGE' WHEN rank <= 16 THEN 'MID' ELSE 'SMALL' END AS tier FROM (
       SELECT row_number() OVER (ORDER BY p_brand) AS rank, p_brand AS symbol, min(p_name) AS name, min(string_split(p_type, ' ')[1]) AS sector
@@ -69,6 +107,25 @@ CTES = {
         w60 AS (PARTITION BY symbol ORDER BY bar ROWS 59 PRECEDING), w252 AS (PARTITION BY symbol ORDER BY bar ROWS 251 PRECEDING)""",
 }
 
+CTES |= {
+    "wilder": WILDER,
+    "bars_n": "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar) - 1 AS rn FROM bars",
+    "drawdowns": DRAWDOWNS,
+    "tails": TAILS,
+    "ks": KS,
+    "extra": EXTRA,
+    "state": """SELECT panel.*, atr_14, max_drawdown_60d, gap_risk, tail_risk_5pct, liquidity_score, CAST(NULL AS DOUBLE) AS news_sentiment
+      FROM panel JOIN extra USING (symbol, bar)""",
+}
+
+
+def layered(base: str, layers: list[dict[str, str]]) -> str:
+    """A select over ``base`` with one level of expressions after the other."""
+    out = f"SELECT * FROM {base}"
+    for layer in layers:
+        out = f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in layer.items())} FROM ({out})"
+    return out
+
 
 def sql(body: str, **local: str) -> str:
     """``body`` with the table expressions it uses, and those that they use, in front."""

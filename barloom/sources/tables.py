@@ -80,7 +80,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_shipdate").cast("timestamp").alias("ts"),
             F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"),
             F.col("l_quantity").cast("int").alias("qty"),
-            (F.col("l_extendedprice") / F.col("l_quantity")).cast("decimal(14,2)").alias("price"),
+            (F.col("l_extendedprice") / F.col("l_quantity")).cast("decimal(18,4)").cast("decimal(14,2)").alias("price"),
             F.struct(*SEQ).alias("seq"),
         )
     )
