@@ -182,7 +182,10 @@ def expected_return(bucketed: DataFrame, prob: str, vol: str, days: int) -> Data
     """Expected value, interval and method from the bucket that :func:`barloom.operators.joins.lookup_buckets` found, else from diffusion."""
     layers = [
         {"_p": f"greatest(0.01, least(0.99, {prob}))", "market_vol": f"round({vol} * sqrt({days}), 4)", "_s": f"greatest(0.35, least(3.5, {vol} / 0.020))"},
-        {"gain": "round(coalesce(bucket.gain * _s, 0.85 * market_vol), 4)", "loss": "round(coalesce(bucket.loss * _s, 0.85 * market_vol), 4)"},
+        {
+            side: f"CAST(round(CAST(coalesce(bucket.{side} * _s, 0.85 * market_vol) AS DECIMAL(20, 8)), 4) AS DOUBLE)"  # in decimals: halves are common here
+            for side in ("gain", "loss")
+        },
         {"_ev": "_p * gain - (1 - _p) * loss"},
         {
             "expected_value": "round(_ev, 4)",

@@ -164,10 +164,10 @@ def positions(spark, sf_dir):
         F.sum(side).alias("bought"), F.sum(sold).alias("sold"), F.sum(side * F.col("price")).alias("paid")
     )
     held = sums.where("bought > sold")
-    return held.select("portfolio", "symbol", (F.col("bought") - F.col("sold")).alias("qty"), (F.col("paid") / F.col("bought")).cast("decimal(18,2)").alias("average"))
+    return held.select("portfolio", "symbol", (F.col("bought") - F.col("sold")).alias("qty"), (F.col("paid").cast("double") / F.col("bought")).cast("decimal(18,6)").cast("decimal(18,2)").alias("average"))
 
 
-POSITIONS = """SELECT portfolio, symbol, (bought - sold)::BIGINT AS qty, (paid / bought)::DECIMAL(18,2) AS average FROM (
+POSITIONS = """SELECT portfolio, symbol, (bought - sold)::BIGINT AS qty, (paid / bought)::DECIMAL(18,6)::DECIMAL(18,2) AS average FROM (
   SELECT portfolio, symbol, sum(CASE WHEN side = 'BUY' THEN qty ELSE 0 END) AS bought, sum(CASE WHEN side = 'SELL' THEN qty ELSE 0 END) AS sold,
   sum(CASE WHEN side = 'BUY' THEN qty * price ELSE 0 END)::DOUBLE AS paid FROM ledger GROUP BY ALL) WHERE bought > sold"""
 
