@@ -14,8 +14,8 @@ from barloom.sources.shared import shared_path
 
 
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of Parquet files as a stream, with the schema of what is there."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """A Parquet file or folder as a stream, with the schema of what is there. As a pattern the path may be either."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def ticks(events: DataFrame) -> DataFrame:
