@@ -105,14 +105,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_pct: int = 15
     rows = docs.count()
     drawn = draw(staged(keyed(docs), "mix-sizes"), rows, weights, share_pct, most)
     copies = drawn.groupBy("_id").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    same_id = Window.partitionBy("doc_id").orderBy(F.length("text"), "text")
-    numbered = docs.withColumn("_row", F.row_number().over(same_id))
+    # the row travels as one struct, so that none of its columns can clash with those added here
+    boxed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_key"))
+    same_id = Window.partitionBy("_key").orderBy(F.length("_doc.text"), "_doc.text")
+    numbered = boxed.withColumn("_row", F.row_number().over(same_id))
     times = F.coalesce(F.get("_copies", F.col("_row") - 1), F.lit(0)).cast("int")
     return (
-        numbered.join(copies, numbered["doc_id"].eqNullSafe(copies["_id"]))
+        numbered.join(copies, F.col("_key").eqNullSafe(F.col("_id")))
         .where(times > 0)
         .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times)))
-        .select(*docs.columns)
+        .select("_doc.*")
     )
 
 
