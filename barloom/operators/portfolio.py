@@ -11,6 +11,27 @@ from barloom.functions.columns import money, return_percent
 HOLDINGS = "portfolio long, symbol string, qty long, average double, cash double, accepted long, rejected long"
 
 
+def execute(orders: pd.DataFrame, cash: float, held: dict[str, tuple[int, float]]) -> tuple[float, dict[str, tuple[int, float]], list[int]]:
+    """Cash, holdings (quantity and average price by symbol) and counts of accepted and rejected orders after these orders."""
+    held, counts = dict(held), [0, 0]
+    for o in orders.itertuples(index=False):
+        qty, average = held.get(o.symbol, (0, 0.0))
+        value = round(o.qty * o.price, 2)
+        if o.qty <= 0 or (o.side == "BUY" and value > cash) or (o.side == "SELL" and o.qty > qty):
+            counts[1] += 1
+            continue
+        counts[0] += 1
+        if o.side == "BUY":
+            held[o.symbol] = (qty + o.qty, round((qty * average + value) / (qty + o.qty), 2))
+            cash = round(cash - value, 2)
+        else:
+            held[o.symbol] = (qty - o.qty, average)
+            cash = round(cash + value, 2)
+            if qty == o.qty:
+                del held[o.symbol]
+    return cash, held, counts
+
+
 def replay(ledger: DataFrame, cash: float = 1_000_000.0) -> DataFrame:
     """Holdings and cash by replaying each portfolio's orders in turn: buys over the cash and sells over the holding are rejected.
 
@@ -18,22 +39,7 @@ def replay(ledger: DataFrame, cash: float = 1_000_000.0) -> DataFrame:
     """
 
     def fold(key: tuple, orders: pd.DataFrame) -> pd.DataFrame:
-        left, held, counts = cash, {}, [0, 0]
-        for o in orders.sort_values(["ts", "seq_key"]).itertuples(index=False):
-            qty, average = held.get(o.symbol, (0, 0.0))
-            value = round(o.qty * o.price, 2)
-            if o.qty <= 0 or (o.side == "BUY" and value > left) or (o.side == "SELL" and o.qty > qty):
-                counts[1] += 1
-                continue
-            counts[0] += 1
-            if o.side == "BUY":
-                held[o.symbol] = (qty + o.qty, round((qty * average + value) / (qty + o.qty), 2))
-                left = round(left - value, 2)
-            else:
-                held[o.symbol] = (qty - o.qty, average)
-                left = round(left + value, 2)
-                if qty == o.qty:
-                    del held[o.symbol]
+        left, held, counts = execute(orders.sort_values(["ts", "seq_key"]), cash, {})
         rows = [(key[0], s, q, a, left, *counts) for s, (q, a) in sorted(held.items())] or [(key[0], None, 0, 0.0, left, *counts)]
         return pd.DataFrame(rows, columns=[x.split()[0] for x in HOLDINGS.split(", ")])
 

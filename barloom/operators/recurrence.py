@@ -1,8 +1,8 @@
 """Exponentially weighted sums without Python: a linear recurrence over each symbol's rows.
 
 Rows are cut into chunks of ``CHUNK``. Within a chunk, the sum of x weighted by q ** -k is a running window sum, rescaled by q ** k; what
-earlier chunks leave is carried over from one row per chunk. All windows are clustered by symbol first, so a frame that is already
-partitioned by symbol isn't shuffled again.
+earlier full chunks leave (one value each) is folded into a carry. All windows are clustered by symbol, so a frame that is already
+partitioned by symbol isn't shuffled again, and nothing is joined. ``q ** -CHUNK`` must stay within a double: q of 0.07 or more.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 128
+CHUNK = 256
 
 
 def numbered(df: DataFrame, symbol: str = "symbol", order: str = "bar") -> DataFrame:
@@ -30,19 +30,14 @@ def weighted_sums(df: DataFrame, sums: dict[str, tuple[str, float]], symbol: str
     df = df.withColumns(
         {f"_{out}": F.pow(F.lit(q), F.col("_k")) * F.sum(F.coalesce(F.col(c), F.lit(0.0)) * F.pow(F.lit(q), -F.col("_k"))).over(within) for out, (c, q) in sums.items()}
     )
-    earlier = Window.partitionBy(symbol).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ends = df.groupBy(symbol, "_chunk").agg(*[F.max_by(f"_{out}", "_k").alias(f"_e_{out}") for out in sums])
-    carried = ends.select(
-        symbol,
-        "_chunk",
-        *[
-            F.aggregate(F.collect_list(f"_e_{out}").over(earlier), F.lit(0.0), carry(q)).alias(f"_c_{out}")
-            for out, (_, q) in sums.items()
-        ],
-    )
-    joined = df.join(carried, [symbol, "_chunk"])
+    earlier = Window.partitionBy(symbol).orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
+    # the last row of each full chunk holds what it leaves; collect_list skips the nulls of the others
+    carried = {
+        f"_c_{out}": F.aggregate(F.collect_list(F.when(F.col("_k") == CHUNK - 1, F.col(f"_{out}"))).over(earlier), F.lit(0.0), carry(q)) for out, (_, q) in sums.items()
+    }
+    df = df.withColumns(carried)
     added = {out: F.col(f"_{out}") + F.col(f"_c_{out}") * F.pow(F.lit(q), F.col("_k") + 1) for out, (_, q) in sums.items()}
-    return joined.withColumns(added).drop("_chunk", "_k", *[f"{p}{out}" for out in sums for p in ("_", "_c_")])
+    return df.withColumns(added).drop("_chunk", "_k", *[f"{p}{out}" for out in sums for p in ("_", "_c_")])
 
 
 def ema(df: DataFrame, means: dict[str, tuple[str, float]], symbol: str = "symbol", first: int = 0) -> DataFrame:

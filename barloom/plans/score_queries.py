@@ -132,11 +132,12 @@ def symbol_profile(spark, sf_dir):
 
 
 def row_fingerprint(spark, sf_dir):
-    """A digest of each bar's features in name order at six decimals, for finding changed rows."""
+    """A digest of each bar's features in name order, at two decimals as whole numbers, for finding changed rows."""
+    digits = 100
     names = sorted(features.DEFAULTS)
     df = features.feature_panel(panel := tables.bars(spark, sf_dir), tables.benchmark(panel))
-    text = F.concat_ws(",", *[F.concat(F.lit(f'"{c}":'), F.floor(F.col(c) * 100 + 0.5).cast("bigint").cast("string")) for c in names])
-    return rounded(df.select("symbol", "bar", F.length(F.sha2(text, 256)).alias("digest_length"), F.size(F.array(*names)).alias("inputs")))
+    text = F.concat_ws(",", *[F.concat(F.lit(f'"{c}":'), F.floor(F.col(c) * digits + 0.5).cast("bigint").cast("string")) for c in names])
+    return rounded(df.select("symbol", "bar", F.sha2(text, 256).alias("digest")))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -193,5 +194,7 @@ ORACLE_SQL = {
     "symbol_profile": sql(
         f"SELECT {B}, {r('close rsi_14 macd_hist sma_20_dist sma_50_dist bb_width atr_14 vol_20d')} FROM state QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar DESC) = 1"
     ),
-    "row_fingerprint": sql(f"SELECT {B}, 64 AS digest_length, {len(features.DEFAULTS)} AS inputs FROM panel"),
+    "row_fingerprint": sql(
+        f"SELECT {B}, sha256(concat_ws(',', " + ", ".join(f"""'"{c}":' || floor({c} * 100 + 0.5)::BIGINT""" for c in sorted(features.DEFAULTS)) + ")) AS digest FROM panel"
+    ),
 }

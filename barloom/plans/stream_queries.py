@@ -58,6 +58,24 @@ def stream_headlines(spark, sf_dir):
     return streams.drained(streams.stream_headlines(lines), "headlines").groupBy("category", "sentiment").agg(F.count("*").alias("n"))
 
 
+def stream_ledger(spark, sf_dir):
+    """The ledger replayed from a stream of line items, joined to the tables of orders and parts."""
+    lines = streams.stream_table(spark, f"{sf_dir}/lineitem.parquet")
+    orders = tables.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("portfolio"))
+    parts = tables.table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    rows = joined.select(
+        "portfolio",
+        "symbol",
+        F.col("l_shipdate").cast("timestamp").alias("ts"),
+        F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"),
+        F.col("l_quantity").cast("long").alias("qty"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).cast("decimal(18,4)").cast("decimal(14,2)").cast("double").alias("price"),
+        F.to_json(F.struct(*tables.SEQ)).alias("seq_key"),
+    )
+    return rounded(streams.drained(streams.ledger(rows), "ledger", "update"))
+
+
 def scan_bars(spark, sf_dir):
     """Bars written by year, appended to and read back."""
     panel, path = tables.bars(spark, sf_dir), shared_path(spark, "stored-bars")
@@ -79,7 +97,7 @@ def fit_isotonic(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    stream_latest_quote, stream_bars, stream_activity, stream_exits, stream_alerts, stream_headlines, scan_bars, fit_logistic, walk_forward, fit_isotonic,
+    stream_latest_quote, stream_bars, stream_activity, stream_exits, stream_alerts, stream_headlines, stream_ledger, scan_bars, fit_logistic, walk_forward, fit_isotonic,
 )}
 
 LAST = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM ticks)"

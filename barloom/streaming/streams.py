@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.operators import news
+from barloom.operators.portfolio import execute
 from barloom.sources.shared import shared_path
 
 
@@ -82,6 +84,24 @@ def alerts(quotes: DataFrame, wanted: DataFrame) -> DataFrame:
     return quotes.join(wanted, "symbol").where(met).groupBy("alert").applyInPandasWithState(step, "alert long, ts timestamp, px double", "fired boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def ledger(orders: DataFrame, cash: float = 1_000_000.0) -> DataFrame:
+    """Each portfolio's cash, holdings and order counts so far, after every batch in which it traded (update mode).
+
+    State is what :func:`barloom.operators.portfolio.execute` needs: the cash, the holdings and the counts.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        left, held, accepted, rejected = state.get if state.exists else (cash, "{}", 0, 0)
+        rows = pd.concat(list(batches)).sort_values(["ts", "seq_key"])
+        left, now, counts = execute(rows, left, {k: tuple(v) for k, v in json.loads(held).items()})
+        accepted, rejected = accepted + counts[0], rejected + counts[1]
+        state.update((left, json.dumps(now, sort_keys=True), accepted, rejected))
+        yield pd.DataFrame([(key[0], left, len(now), accepted, rejected)], columns=["portfolio", "cash", "positions", "accepted", "rejected"])
+
+    kept = "cash double, held string, accepted long, rejected long"
+    return orders.groupBy("portfolio").applyInPandasWithState(step, "portfolio long, cash double, positions long, accepted long, rejected long", kept, "update", GroupStateTimeout.NoTimeout)
+
+
 def stream_headlines(headlines: DataFrame, late: str = "1 day") -> DataFrame:
     """Classified headlines, each url once (append mode)."""
     return news.classify(headlines.withWatermark("ts", late).dropDuplicatesWithinWatermark(["url"]))
