@@ -8,7 +8,7 @@ from barloom.functions.columns import rounded
 from barloom.operators import models
 from barloom.plans.oracle import rounded as r
 from barloom.plans.oracle import sql
-from barloom.plans.outcome_queries import scored
+from barloom.plans.outcome_queries import NEWS, scored
 from barloom.sources import files, tables
 from barloom.sources.shared import shared_path
 from barloom.streaming import streams
@@ -42,7 +42,7 @@ def stream_exits(spark, sf_dir):
 
 
 def stream_alerts(spark, sf_dir):
-    of = levels(spark, sf_dir).select(F.crc32(F.col("symbol").cast("binary")).alias("alert"), "symbol", F.col("target").alias("level"), F.lit("ABOVE").alias("condition"))
+    of = levels(spark, sf_dir).select(F.conv(F.substring(F.md5("symbol"), 1, 8), 16, 10).cast("long").alias("alert"), "symbol", F.col("target").alias("level"), F.lit("ABOVE").alias("condition"))
     return rounded(streams.drained(streams.alerts(quotes(spark, sf_dir), of), "alerts"))
 
 
@@ -111,5 +111,10 @@ ORACLE_SQL = {
         f"SELECT symbol, start::VARCHAR AS start, count(*) AS n, round(sum(px), 6) AS total FROM (SELECT symbol, px, time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS start FROM ticks, range(4) t(k)) "
         f"WHERE start + INTERVAL 24 HOUR <= {LAST} GROUP BY ALL"
     ),
+    "stream_alerts": sql(
+        "SELECT ('0x' || substr(md5(symbol), 1, 8))::BIGINT AS alert, min(ts)::VARCHAR AS ts, round(arg_min(px, row(ts, seq)), 6) AS px FROM ticks JOIN tops USING (symbol) WHERE px >= target GROUP BY symbol",
+        tops="SELECT symbol, quantile_cont(px, 0.98) AS target FROM ticks GROUP BY symbol",
+    ),
+    "stream_headlines": sql("SELECT category, sentiment, count(DISTINCT source || '/' || sha256(title)) AS n FROM news GROUP BY ALL", news=NEWS),
     "scan_bars": sql(f"SELECT symbol, bar::VARCHAR AS bar, {r('open high low close volume')} FROM bars WHERE symbol <> 'Brand#1' QUALIFY count(*) OVER (PARTITION BY symbol) >= 340"),
 }
