@@ -1,7 +1,7 @@
 """Operator 8: licences by sentence rules (built-in functions only).
 
 Texts are cut into sentences, each sentence is normalised (lower case, letters and digits, single spaces) and looked up
-among known licence sentences. The sequence of the identifiers found, unknown sentences left out, is matched against
+among known licence sentences; one with an inner stop or colon is known by all its parts in sequence. The sequence of the identifiers found, unknown sentences left out, is matched against
 rules in order: a rule holds where its identifiers stand next to each other in the sequence. The first rule that holds
 names the licence; ``licences`` lists those of all rules that hold.
 
@@ -55,6 +55,17 @@ SENTENCES = {
     "reserved": ["All rights reserved."],
 }
 
+#: Sentences that the SQL, which is made from ``SENTENCES``, doesn't know.
+FURTHER = {
+    # programs that are named: "NAME is free software: you can ..."
+    "gpl3-grant": [
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ],
+    "gpl2-grant": [
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ],
+}
+
 #: Rules in order, the more special first: a licence and the identifiers that stand for it.
 RULES = [
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
@@ -77,6 +88,9 @@ RULES = [
 OTHER = r"[^a-z0-9.!?;:\n]+"
 END = r"[.!?;:]+ |\n"
 EDGE = ".!?;: "
+#: An end by a stop, and one by a line; both with what is trimmed around them.
+STOP = r" *+(?<![.!?;:])[.!?;:]++[ \n][.!?;: \n]*+"
+LINE = r" *+\n[.!?;: ]*+"
 
 
 def normalised(sentence: str) -> list[str]:
@@ -85,8 +99,18 @@ def normalised(sentence: str) -> list[str]:
     return [part.strip(EDGE) for part in parts if part.strip(EDGE)]
 
 
+def phrases(entries: dict[str, list[str]]) -> dict[str, str]:
+    """Normalised entry to identifier: all its parts, ``|`` between them. Two identifiers must not share one."""
+    out: dict[str, str] = {}
+    for name, versions in entries.items():
+        for version in versions:
+            if out.setdefault(key := "|".join(normalised(version)), name) != name:
+                raise ValueError(f"{name} and {out[key]} share {key!r}")
+    return out
+
+
 def catalogue() -> dict[str, str]:
-    """Normalised sentence to identifier; a sentence of several parts (an inner colon or stop) is known by its longest."""
+    """What the SQL knows: a sentence of several parts (an inner colon or stop) by its longest only."""
     return {max(normalised(s), key=len): name for name, versions in SENTENCES.items() for s in versions}
 
 
@@ -95,10 +119,23 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.trim(s, F.lit(EDGE))), lambda s: s != "")
 
 
+def marked(text: Column) -> Column:
+    """The normalised text with ``|`` for the stops and a newline for the line ends between its sentences."""
+    plain = F.concat(F.lit("\n"), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), OTHER, " "), F.lit("\n"))
+    return F.regexp_replace(F.regexp_replace(plain, STOP, "|"), LINE, "\n")
+
+
+def identifiers(text: Column) -> Column:
+    """Identifiers of the known sentences, in the order of the text."""
+    known = phrases({k: SENTENCES.get(k, []) + FURTHER.get(k, []) for k in SENTENCES | FURTHER})
+    longest = sorted(known, key=len, reverse=True)
+    found = F.regexp_extract_all(marked(text), F.lit(rf"(?<![^|\n])(?:{'|'.join(map(re.escape, longest))})(?![^|\n])"), F.lit(0))
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.transform(found, lambda s: F.element_at(names, s))
+
+
 def licences(docs: DataFrame, text: str = "text") -> DataFrame:
-    known = F.create_map(*[F.lit(x) for pair in catalogue().items() for x in pair])
-    cut = docs.withColumn("_sentences", sentences(F.col(text)))
-    named = cut.withColumn("_ids", F.filter(F.transform("_sentences", lambda s: F.element_at(known, s)), lambda x: x.isNotNull()))
+    named = docs.withColumns({"_sentences": sentences(F.col(text)), "_ids": identifiers(F.col(text))})
     sequence = F.concat(F.lit(","), F.array_join("_ids", ","), F.lit(","))
     holds = F.array(*[F.when(sequence.contains(f",{','.join(ids)},"), F.lit(name)) for name, ids in RULES])
     found = named.withColumn("_found", F.array_distinct(F.filter(holds, lambda x: x.isNotNull())))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from barloom.llm import fingerprints as fp
@@ -157,6 +158,45 @@ def test_licence_rules_in_order(spark):
     assert got[3].licences == "Apache-2.0,Proprietary" and got[4].n_sentences == 0
 
 
+BY_HAND = {
+    "Released under the MIT License.": "MIT",
+    "Licensed under the MIT License.": "MIT",
+    "SPDX-License-Identifier: MIT": "MIT",
+    "License: MIT": "MIT",
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    'Licensed under the Apache License, Version 2.0 (the "License");': "Apache-2.0",
+    "Released under the Apache License, Version 2.0.": "Apache-2.0",
+    "SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    "Licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "MPL-2.0",
+    "SPDX-License-Identifier: MPL-2.0": "MPL-2.0",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+    "SPDX-License-Identifier: CC-BY-4.0": "CC-BY-4.0",
+    "All rights reserved.": "Proprietary",
+}
+
+
+def found_licences(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {texts[r.doc_id]: r.licence for r in licences.licences(docs).collect()}
+
+
+def test_each_licence_sentence_by_itself(spark):
+    others = ["License: GPL", "License", "SPDX-License-Identifier: Unlicense", "SPDX-License-Identifier", "# License\n\nSee MIT."]
+    got = found_licences(spark, [*BY_HAND, *others, "x\n# SPDX-License-Identifier: MIT\nimport y", "/* SPDX-License-Identifier: Apache-2.0 */"])
+    assert {k: got[k] for k in BY_HAND} == BY_HAND and [got[k] for k in others] == [None] * len(others)
+    assert list(got.values())[-2:] == ["MIT", "Apache-2.0"]
+    grants = {name: licences.SENTENCES[name][0] for name in ("gpl3-grant", "gpl2-grant")}
+    assert list(found_licences(spark, list(grants.values())).values()) == ["GPL-3.0-or-later", "GPL-2.0-or-later"]
+
+
+def test_two_identifiers_never_share_a_sentence():
+    with pytest.raises(ValueError):
+        licences.phrases({"a": ["License: MIT"], "b": ["License; MIT."]})
+
+
 def test_empty_tables(spark, tmp_path):
     path = table(spark, tmp_path, [])
     for query in (fp.op1_fingerprints, mixing.op3_mixing, sharding.op6_sharding, licences.op8_licences):
