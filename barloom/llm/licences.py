@@ -1,7 +1,8 @@
 """Operator 8: licences by sentence rules (built-in functions only).
 
 Texts are cut into sentences, each sentence is normalised (lower case, letters and digits, single spaces) and looked up
-among known licence sentences; one with an inner stop or colon is known by all its parts in sequence. The sequence of the identifiers found, unknown sentences left out, is matched against
+among known licence sentences; one with an inner stop or colon is known by all its parts in sequence. A sentence ends at a stop or a
+line's end, and one that is known may run over the ends of lines, but not over blank ones. The sequence of the identifiers found, unknown sentences left out, is matched against
 rules in order: a rule holds where its identifiers stand next to each other in the sequence. The first rule that holds
 names the licence; ``licences`` lists those of all rules that hold.
 
@@ -55,7 +56,7 @@ SENTENCES = {
     "reserved": ["All rights reserved."],
 }
 
-#: Sentences that the SQL, which is made from ``SENTENCES``, doesn't know.
+#: Sentences and rules that the SQL, which is made from ``SENTENCES`` and ``RULES``, doesn't know.
 FURTHER = {
     # programs that are named: "NAME is free software: you can ..."
     "gpl3-grant": [
@@ -64,7 +65,70 @@ FURTHER = {
     "gpl2-grant": [
         "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
     ],
+    "lgpl3-grant": [
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ],
+    "lgpl21-grant": [
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ],
+    "agpl3-grant": [
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ],
+    "isc-grant": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "unlicense-grant": ["This is free and unencumbered software released into the public domain."],
+    "apache-comply": ["you may not use this file except in compliance with the License"],
+    "bsd-source": ["1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
+    "bsd-binary": [
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    ],
+    "bsd-names": [
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    ],
+}
+
+#: Further licences by the sentences that name them: SPDX's identifier, and the names used in sentences.
+NAMED = {
+    "MIT": ["MIT License", "MIT license"],
+    "Apache-2.0": ["Apache License 2.0", "Apache License, Version 2.0", "Apache-2.0 License"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GPLv3"],
+    "GPL-3.0-only": [],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GPLv2"],
+    "GPL-2.0-only": [],
+    "GPL-2.0-or-later": [],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "LGPLv3"],
+    "LGPL-3.0-only": [],
+    "LGPL-3.0-or-later": [],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "LGPLv2.1"],
+    "LGPL-2.1-only": [],
+    "LGPL-2.1-or-later": [],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "AGPLv3"],
+    "AGPL-3.0-only": [],
+    "AGPL-3.0-or-later": [],
+    "BSD-2-Clause": ["BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License"],
+    "ISC": ["ISC License"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, version 2.0"],
+    "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License, version 2.0"],
+    "BSL-1.0": ["Boost Software License, Version 1.0"],
+    "Unlicense": ["Unlicense"],
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal License"],
 }
+for _kind, _words in {
+    "BY": "Attribution",
+    "BY-SA": "Attribution-ShareAlike",
+    "BY-NC": "Attribution-NonCommercial",
+    "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}.items():
+    NAMED[f"CC-{_kind}-4.0"] = [f"CC {_kind} 4.0", f"Creative Commons {_words} 4.0 International License", f"Creative Commons {_words} 4.0 License"]
+    NAMED[f"CC-{_kind}-3.0"] = [f"CC {_kind} 3.0", f"Creative Commons {_words} 3.0 Unported License", f"Creative Commons {_words} 3.0 License"]
+#: SPDX identifiers and names stand in these sentences.
+TAGS = ["SPDX-License-Identifier: {}", "License: {}"]
+USES = [f"{who}{verb} under {article}{{}}." for who in ("", "This work is ", "This project is ", "This software is ") for verb in ("licensed", "released") for article in ("", "the ", "a ")]
 
 #: Rules in order, the more special first: a licence and the identifiers that stand for it.
 RULES = [
@@ -84,6 +148,15 @@ RULES = [
     ("Proprietary", ["reserved"]),
 ]
 
+FURTHER_RULES = [
+    ("LGPL-3.0-or-later", ["lgpl3-grant"]),
+    ("LGPL-2.1-or-later", ["lgpl21-grant"]),
+    ("AGPL-3.0-or-later", ["agpl3-grant"]),
+    ("ISC", ["isc-grant"]),
+    ("Unlicense", ["unlicense-grant"]),
+    *[(licence, [f"{licence.lower()}-known"]) for licence in NAMED],
+]
+
 #: What normalising turns into a space, where sentences end, and what is trimmed from them.
 OTHER = r"[^a-z0-9.!?;:\n]+"
 END = r"[.!?;:]+ |\n"
@@ -109,6 +182,21 @@ def phrases(entries: dict[str, list[str]]) -> dict[str, str]:
     return out
 
 
+def entries() -> dict[str, list[str]]:
+    """All sentences by identifier; those made from names leave out what is a sentence of its own."""
+    out = {k: SENTENCES.get(k, []) + FURTHER.get(k, []) for k in SENTENCES | FURTHER}
+    taken = phrases(out)
+    for licence, names in NAMED.items():
+        made = [tag.format(x) for tag in TAGS for x in [licence, *names]] + [use.format(x) for use in USES for x in names]
+        out[f"{licence.lower()}-known"] = [x for x in made if "|".join(normalised(x)) not in taken]
+    return out
+
+
+def rules() -> list[tuple[str, list[str]]]:
+    """All rules in order; that of reserved rights stays the last."""
+    return [*RULES[:-1], *FURTHER_RULES, RULES[-1]]
+
+
 def catalogue() -> dict[str, str]:
     """What the SQL knows: a sentence of several parts (an inner colon or stop) by its longest only."""
     return {max(normalised(s), key=len): name for name, versions in SENTENCES.items() for s in versions}
@@ -127,17 +215,17 @@ def marked(text: Column) -> Column:
 
 def identifiers(text: Column) -> Column:
     """Identifiers of the known sentences, in the order of the text."""
-    known = phrases({k: SENTENCES.get(k, []) + FURTHER.get(k, []) for k in SENTENCES | FURTHER})
-    longest = sorted(known, key=len, reverse=True)
-    found = F.regexp_extract_all(marked(text), F.lit(rf"(?<![^|\n])(?:{'|'.join(map(re.escape, longest))})(?![^|\n])"), F.lit(0))
+    known = phrases(entries())
+    longest = [re.escape(k).replace(r"\ ", r"[ \n]") for k in sorted(known, key=len, reverse=True)]
+    found = F.regexp_extract_all(marked(text), F.lit(rf"(?<![^|\n])(?:{'|'.join(longest)})(?![^|\n])"), F.lit(0))
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    return F.transform(found, lambda s: F.element_at(names, s))
+    return F.transform(found, lambda s: F.element_at(names, F.translate(s, "\n", " ")))
 
 
 def licences(docs: DataFrame, text: str = "text") -> DataFrame:
     named = docs.withColumns({"_sentences": sentences(F.col(text)), "_ids": identifiers(F.col(text))})
     sequence = F.concat(F.lit(","), F.array_join("_ids", ","), F.lit(","))
-    holds = F.array(*[F.when(sequence.contains(f",{','.join(ids)},"), F.lit(name)) for name, ids in RULES])
+    holds = F.array(*[F.when(sequence.contains(f",{','.join(ids)},"), F.lit(name)) for name, ids in rules()])
     found = named.withColumn("_found", F.array_distinct(F.filter(holds, lambda x: x.isNotNull())))
     return found.select(
         *docs.columns,

@@ -184,7 +184,7 @@ def found_licences(spark, texts):
 
 
 def test_each_licence_sentence_by_itself(spark):
-    others = ["License: GPL", "License", "SPDX-License-Identifier: Unlicense", "SPDX-License-Identifier", "# License\n\nSee MIT."]
+    others = ["License: GPL", "License", "SPDX-License-Identifier: Sleepycat", "SPDX-License-Identifier", "# License\n\nSee MIT."]
     got = found_licences(spark, [*BY_HAND, *others, "x\n# SPDX-License-Identifier: MIT\nimport y", "/* SPDX-License-Identifier: Apache-2.0 */"])
     assert {k: got[k] for k in BY_HAND} == BY_HAND and [got[k] for k in others] == [None] * len(others)
     assert list(got.values())[-2:] == ["MIT", "Apache-2.0"]
@@ -192,6 +192,73 @@ def test_each_licence_sentence_by_itself(spark):
     assert list(found_licences(spark, list(grants.values())).values()) == ["GPL-3.0-or-later", "GPL-2.0-or-later"]
 
 
+MIT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+
+
+def test_wrapped_and_commented_licences(spark):
+    by_hand = {MIT: "mit-grant,mit-notice,as-is", APACHE: "apache-named,apache-comply,apache-basis", GPL: "gpl3-grant,gpl-hope", BSD: "bsd-grant,bsd-source,bsd-binary"}
+    marks = ["", "# ", " * ", "// ", "> ", "-- "]
+    texts = ["\n".join(mark + line for line in f"words\n{text}\nwords".split("\n")) for text in by_hand for mark in marks] + [MIT.replace("\n", "\r\n")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.sentence_ids for r in licences.licences(docs).orderBy("doc_id").collect()]
+    assert got == [ids for ids in by_hand.values() for _ in marks] + [by_hand[MIT]]
+    assert found_licences(spark, [GPL.replace("or modify\n", "or modify\n\n").replace("This program is d", "It is d")]).popitem()[1] is None
+
+
+def test_common_licence_lines(spark):
+    by_hand = {
+        "Words.\nLicensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+        "// SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0-only",
+        "License: CC0-1.0": "CC0-1.0",
+        "This project is licensed under the MIT License.": "MIT",
+        "Licensed under CC BY-NC 4.0. All rights reserved.": "CC-BY-NC-4.0",
+        "Licensed under CC BY-NC 4.0 or more.": None,
+    }
+    assert found_licences(spark, list(by_hand)) == by_hand
+
+
 def test_two_identifiers_never_share_a_sentence():
     with pytest.raises(ValueError):
         licences.phrases({"a": ["License: MIT"], "b": ["License; MIT."]})
