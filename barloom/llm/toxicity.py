@@ -6,9 +6,8 @@ toxic and one from ordinary training documents. A document's score compares its
 fitted on training documents that each were scored by models of the other ``PARTS`` - 1 parts of the training documents.
 
 Backoff follows Kneser and Ney (lower orders count the different expressions that continue them). The two lowest orders are counted
-over both classes together, and so is whatever is rare: only an expression that makes up ``SHARE`` of a class's expressions is
-kept as evidence; the rest is smoothed by the shared counts alone, under which both models agree. So a model has at most 2 / ``SHARE`` entries whatever the
-corpus, which bounds what reaches the driver and is broadcast; the counts themselves are taken over all training documents.
+over both classes together. Every expression of the training documents is evidence, so what reaches the driver and is broadcast grows with
+their different expressions.
 
 Labels are only learned from rows for which ``crc32(doc_id) mod 3`` isn't 1; no other column than the text is scored.
 
@@ -34,7 +33,6 @@ ORDER = 5
 #: Orders up to this one are shared by both classes.
 SHARED = 2
 DISCOUNT = 0.75
-SHARE = 1e-6
 #: Expressions seen less often in the toxic class, and to be expected less often by the ordinary one, are rare too.
 LEAST = 5
 NEUTRAL = 20
@@ -209,14 +207,10 @@ def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(usable, "doc_id").select("text", "part", "toxic")
 
 
-def evidence(counts: DataFrame, part: int, share: float = SHARE) -> list[tuple[str, float, float]]:
-    """Expressions that make up ``share`` of a class's outside of ``part``, with both counts: at most 2 / share rows."""
-    counts = counts.where(F.col("part") != part)
-    sides = [F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0)) for t in (1, 0)]
-    totals = counts.agg(sides[0].alias("t"), sides[1].alias("o")).first()
-    sums = counts.groupBy("expression").agg(sides[0].alias("t"), sides[1].alias("o"))
-    kept = sums.where(((F.col("t") > 0) & (F.col("t") >= share * (totals.t or 0))) | ((F.col("o") > 0) & (F.col("o") >= share * (totals.o or 0))))
-    pdf = kept.select("expression", F.col("t").cast("double"), F.col("o").cast("double")).toPandas()
+def evidence(counts: DataFrame, part: int) -> list[tuple[str, float, float]]:
+    """All expressions of the training documents outside of ``part``, with both counts."""
+    sides = [F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0)).cast("double").alias(name) for t, name in ((1, "t"), (0, "o"))]
+    pdf = counts.where(F.col("part") != part).groupBy("expression").agg(*sides).toPandas()
     return list(zip(pdf["expression"], pdf["t"], pdf["o"], strict=True))
 
 

@@ -78,6 +78,12 @@ def test_toxic_documents_are_found_in_held_out_rows(spark):
     assert caught >= 0.9 * sum(truth[r.doc_id] for r in held) and sum(r.predicted for r in held if not truth[r.doc_id]) <= 0.02 * len(held)
 
 
+def test_rare_expressions_are_evidence_at_any_size(spark):
+    counts = spark.createDataFrame([("zwurg", 0, 1, 300), ("zwurh", 1, 1, 2), ("about", 0, 0, 4_000_000_000), ("^^^^a", 2, 1, 900_000_000)], "expression string, part int, toxic int, n long")
+    assert sorted(toxicity.evidence(counts, -1)) == [("^^^^a", 9e8, 0.0), ("about", 0.0, 4e9), ("zwurg", 300.0, 0.0), ("zwurh", 2.0, 0.0)]
+    assert [e for e, *_ in sorted(toxicity.evidence(counts, 1))] == ["^^^^a", "about", "zwurg"]
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert [r.score for r in toxicity.toxicity(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()] == [0.0]
