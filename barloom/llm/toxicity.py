@@ -33,8 +33,6 @@ ORDER = 5
 #: Orders up to this one are shared by both classes.
 SHARED = 2
 DISCOUNT = 0.75
-#: Expressions seen less often in the toxic class, and to be expected less often by the ordinary one, are rare too.
-LEAST = 5
 NEUTRAL = 20
 PARTS = 4
 THRESHOLD = 0.7
@@ -115,36 +113,64 @@ class Model:
                 self.levels[order] = [Level(every)] * 2
             every = lower(every)
         self.letters = max(2, len(self.levels[1][0].grams))
-        scale = sum(t for _, t, _ in rows) / max(1, sum(o for _, _, o in rows))
-        seen = (e for e, t, o in rows if t >= LEAST or o * scale >= LEAST)
-        self.ratios = {e: math.log(self.likelihood(e, 0) / self.likelihood(e, 1)) for e in seen}
+        self.ratios = {e: math.log(self.likelihood(e, 0) / self.likelihood(e, 1)) for e, _, _ in rows}
 
     def likelihood(self, expression: str, side: int) -> float:
         p = 1 / (self.letters + 1)
-        for order in range(1, ORDER + 1):
-            level, gram = self.levels[order][side], expression[ORDER - order :]
+        for order in range(1, len(expression) + 1):
+            level, gram = self.levels[order][side], expression[len(expression) - order :]
             total = level.totals.get(gram[:-1])
             if total:
                 p = max(level.grams.get(gram, 0) - DISCOUNT, 0) / total + level.left[gram[:-1]] * p
         return p
 
 
+    def backoff(self) -> "Backoff":
+        """What the ratios of all expressions need, seen or not."""
+        lefts, likelihoods = [], []
+        for side in (0, 1):
+            lefts.append({order: self.levels[order][side].left for order in range(SHARED + 1, ORDER + 1)})
+            likelihoods.append({order: {g: self.likelihood(g, side) for g in self.levels[order][side].grams} for order in range(1, ORDER)})
+        return Backoff(self.ratios, lefts, likelihoods, 1 / (self.letters + 1), {c: x for order in (1, 2) for c, x in self.levels[order][0].left.items()})
+
+
+class Backoff:
+    """Log-likelihood ratios: stored for seen expressions, by the stored lower orders for all others."""
+
+    def __init__(self, ratios: dict[str, float], lefts: list[dict], likelihoods: list[dict], least: float, shared: dict[str, float]):
+        self.ratios, self.lefts, self.likelihoods, self.least, self.shared = ratios, lefts, likelihoods, least, shared
+
+    def likelihood(self, expression: str, side: int) -> float:
+        """That of an expression which the side hasn't seen: the longest seen end, times what the contexts above it leave."""
+        lefts, likelihoods, left = self.lefts[side], self.likelihoods[side], 1.0
+        for order in range(ORDER, 0, -1):
+            gram = expression[ORDER - order :]
+            if order < ORDER and (p := likelihoods[order].get(gram)) is not None:
+                return left * p
+            left *= (lefts[order] if order > SHARED else self.shared).get(gram[:-1], 1.0)
+        return left * self.least
+
+    def __call__(self, expression: str) -> float:
+        value = self.ratios.get(expression)
+        return math.log(self.likelihood(expression, 0) / self.likelihood(expression, 1)) if value is None else value
+
+
 class Scorer:
-    """Texts' log-likelihood ratios. Rare expressions are as likely under both models, by the shared counts, and add nothing."""
+    """Texts' log-likelihood ratios."""
 
-    def __init__(self, ratios: dict[str, float]):
-        self.ratios, self.words = ratios, {}
+    def __init__(self, ratio: Backoff):
+        self.ratio, self.words = ratio, {}
 
     def __call__(self, text: str) -> float:
         words = _WORD.findall(text.lower())
-        known, ratios = self.words, self.ratios
+        known, ratio = self.words, self.ratio
         if len(known) > KNOWN_WORDS:
             known.clear()
         total = 0.0
         for w in words:
             value = known.get(w)
             if value is None:
-                value = known[w] = sum([ratios.get(e, 0.0) for e in expressions(w)])
+                value = known[w] = sum([ratio(e) for e in expressions(w)])
             total += value
         return total / (len(words) + NEUTRAL)
 
@@ -249,11 +275,15 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         share = F.lit(sizes.get(1, 0) / max(1, sum(sizes.values())))
         return docs.select(F.col("doc_id").cast("long"), held_out, share.alias("score"), (share >= THRESHOLD).cast("int").alias("predicted"))
     # a part's documents are judged by the counts of the others; the model for all other documents goes by no part's number
-    models = {part: Model(evidence(counts, part)).ratios for part in range(-1, PARTS)}
-    broadcast = spark.sparkContext.broadcast(models)
-    handed = Handed(broadcast, id(broadcast))
+    def hand(parts: range) -> Handed:
+        broadcast = spark.sparkContext.broadcast({part: Model(evidence(counts, part)).backoff() for part in parts})
+        return Handed(broadcast, broadcast._jbroadcast.id())
+
+    handed = hand(range(PARTS))
     judged = staged(learned.select("toxic", "part", "text").mapInArrow(scores(handed), "toxic int, x double"), "toxic-judged")
+    handed.broadcast.unpersist()
     a, b = curve(judged)
+    handed = hand(range(-1, 0))
     rated = docs.select(F.col("doc_id").cast("long"), held_out, F.lit(-1).alias("part"), "text").mapInArrow(scores(handed), "doc_id long, held_out boolean, x double")
     score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))
     return rated.select("doc_id", "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -84,6 +84,24 @@ def test_rare_expressions_are_evidence_at_any_size(spark):
     assert [e for e, *_ in sorted(toxicity.evidence(counts, 1))] == ["^^^^a", "about", "zwurg"]
 
 
+def test_unseen_expressions_back_off():
+    rng = random.Random(6)
+    seen = ["zwurgh"] * 3 + ["".join(rng.choice("abcdz") for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    rows = {}
+    for k, w in enumerate(seen):
+        for e in toxicity.expressions(w):
+            t, o = rows.get(e, (0.0, 0.0))
+            rows[e] = (t + (k % 4 == 0 or k < 3), o + (k % 4 > 0 and k >= 3))
+    model = toxicity.Model([(e, t, o) for e, (t, o) in rows.items()])
+    ratio = model.backoff()
+    words = seen + ["ozwurgha", "xyz", "urgh", "q", "ab", "éa"] + ["".join(rng.choice("abcdezurghx") for _ in range(6)) for _ in range(300)]
+    for e in {e for w in words for e in toxicity.expressions(w)}:
+        assert abs(ratio(e) - np.log(model.likelihood(e, 0) / model.likelihood(e, 1))) < 1e-9
+    # three toxic occurrences count, and so do the ends of a form that wasn't seen
+    assert ratio("zwurg") > 0 and ratio("owurg") > 0 and "owurg" not in rows
+    assert toxicity.Scorer(ratio)("ozwurgha") > 0
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert [r.score for r in toxicity.toxicity(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()] == [0.0]
