@@ -11,12 +11,14 @@ as the classes last. Actual pieces take the places of their class, and the small
 they fit best into the room that is really left.
 
 Defined cases: a null or empty text is one piece holding the end id; only documents over the capacity are cut; repeated
-rows are packed as often as they come; an empty table gives an empty result.
+rows are packed as often as they come, also those without an id; columns other than doc_id and text are not read; an empty table gives an
+empty result. A very long text is encoded in its task: its ids, four bytes each, are what it needs besides itself.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -27,61 +29,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import documents, staged
+from barloom.llm.common import documents, ship, staged
 
 CAPACITY = 4096
 END_ID = 1
 GROUP_ROWS = 8192
 CLASSES = 16
-#: Words whose ids a worker keeps; beyond that it starts anew.
-CACHE_WORDS = 1_000_000
+#: Words of a generation of a worker's memory. Two generations are held, so words that keep coming stay known.
+GENERATION = 400_000
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = f"{PIECES}, sequence_id long, offset long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal int"
+PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
-#: A comma or stop after a letter or digit and before white space is a token of its own.
-_MARK = re.compile(r"(?<=[^\W_])([,.])(?=\s)")
 #: str.split() takes these for white space, the tokenizer doesn't.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Lower-casing a whole string treats these otherwise than letter by letter.
 _CASE = re.compile("[ΣİK]")
+#: Latin letters and printable ASCII but the apostrophe. The tokenizer cuts such words, once lower-cased, into runs of letters, single digits and
+#: runs of marks; its normal forms leave them alone.
+_LATIN = re.compile("[!-&(-~À-ÖØ-öø-ɏ]+")
+_PARTS = re.compile("[a-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^a-z0-9À-ÖØ-öø-ɏ]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, the others numbered on from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class Words(dict):
+    """Ids of words: little-endian unsigned 32-bit, as bytes. Unknown words are worked out when they are asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, byte_letters()
+        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word) or self.learn(word)
+        if len(self) >= GENERATION:
+            self.older = dict(self)
+            self.clear()
+            self.parts.clear()
+        self[word] = ids
+        return ids
+
+    def learn(self, word: str) -> bytes:
+        if not _LATIN.fullmatch(word) or not _LATIN.fullmatch(lower := word.lower()):
+            return self.whole(word)
+        return b"".join([self.parts.get(part) or self.part(part) for part in _PARTS.findall(lower)])
+
+    def part(self, part: str) -> bytes:
+        seen = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        tokens = self.model.tokenize(seen)
+        ids = self.parts[part] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return ids
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that never joins over white space: each word is looked up, unknown ones are encoded together."""
+    """Ids of texts by a tokenizer that never joins over white space: each word is looked up."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        self.words = Words(Tokenizer.from_file(path))
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if _SEPARATORS.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = _MARK.sub(r" \1", text if _CASE.search(text) else text.lower()).split()
-        known = self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list(dict.fromkeys(w for w in words if w not in known))
-        for at in range(0, len(new), 4096):
-            self.learn(new[at : at + 4096])
-        return b"".join([known[w] for w in words])
-
-    def learn(self, new: list[str]) -> None:
-        got = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(got.ids, dtype="<u4").tobytes()
-        of = np.array([-1 if k is None else k for k in got.word_ids])
-        if (of < 0).any():  # a special token stands in a word
-            self.words.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()) for w in new)
-            return
-        ends = (4 * np.searchsorted(of, np.arange(len(new) + 1))).tolist()
-        self.words.update(zip(new, (ids[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
+        if "<|" in text or any(c in text for c in _SEPARATORS):  # special tokens are cut out before lower-casing
+            return self.words.whole(text)
+        lower = text.isascii() or not _CASE.search(text)
+        return b"".join(map(self.words.__getitem__, (text.lower() if lower else text).split()))
 
 
 @cache
@@ -91,11 +114,11 @@ def encoder(path: str) -> WordIds:
 
 
 def piece_rows(path: str, capacity: int = CAPACITY):
-    """A function for ``mapInArrow`` over (doc_id, text): one row per piece."""
+    """A function for ``mapInArrow`` over (doc_id, text): one row per piece. ``deal`` tells equal rows of a task apart."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(path).encode
-        end = np.array([END_ID], dtype="<u4").tobytes()
+        end, deal = np.array([END_ID], dtype="<u4").tobytes(), 0
         for batch in batches:
             out: list[tuple] = []
             texts = batch.column(1)
@@ -103,9 +126,10 @@ def piece_rows(path: str, capacity: int = CAPACITY):
                 ids = ids_of(texts[k].as_py() or "") + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(cols)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), deal))
+                    deal = (deal + 1) % 65536
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i in (1, 5) else pa.int64()) for i, c in enumerate(cols)], ["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
 
     return rows
 
@@ -189,16 +213,17 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, classes: int = CLASSES)
 
 
 def pack_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], kind="stable")
+    rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32", "deal"], kind="stable")
     sequence, offset = pack(rows["length"].to_numpy())
-    return rows.drop(columns="_group").assign(sequence_id=(int(key[0]) << 32) + sequence, offset=offset)
+    return rows.drop(columns=["_group", "deal"]).assign(sequence_id=(int(key[0]) << 32) + sequence, offset=offset)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) with the sequence and offset each of them gets."""
+    ship(docs.sparkSession)
     pieces = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(piece_rows(tokenizer_path), PIECES), "pack-pieces")
     groups = max(1, -(-pieces.count() // group_rows))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "deal"), F.lit(groups)))
     return dealt.groupBy("_group").applyInPandas(pack_group, PACKED)
 
 

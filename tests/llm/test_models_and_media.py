@@ -20,8 +20,60 @@ def test_words_encode_like_the_tokenizer():
     path = public_tokenizers.path("word_bpe_49k.json")
     plain, words = Tokenizer.from_file(path), packing.WordIds(path)
     odd = ["", "  ", "a\x1cb c", "<|endoftext|> x", "foo<|startoftext|>bar x", "İstanbul Σας ΣΑΣ.", "it's don't 12.5, x._ 3.", "á b ́c", "x,.y , .", "日本語 テスト。", "ﬁ ſ ẞ ǅ K x"]
+    odd += ["<|ENDOFTEXT|> x", "it's IT'S 's'd", "(abc), [x1y2]. -3.5e7", "a̸=b", "क़, क़. אַ,"]
     for text in [*odd, " ".join(odd), "word " * 5000]:
-        assert words.encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert words.encode(text) == ids_of(plain, text)
+
+
+def ids_of(tokenizer, text):
+    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_every_code_point_of_the_first_plane_encodes_like_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, words = Tokenizer.from_file(path), packing.WordIds(path)
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]):
+        text = f"x{c}, {c}y {c}. A{c}'s"
+        assert words.encode(text) == ids_of(plain, text), hex(ord(c))
+
+
+def test_words_are_still_right_after_the_memory_was_renewed(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "GENERATION", 7)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, words = Tokenizer.from_file(path), packing.WordIds(path)
+    rng = random.Random(8)
+    for _ in range(50):
+        text = " ".join(rng.choice("abé1") * rng.randint(1, 4) for _ in range(30))
+        assert words.encode(text) == ids_of(plain, text) and len(words.words) <= 7
+
+
+def test_packing_query_equals_the_tokenizer(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice(["Word", "naïve", "12,", "x.", "don't", "क़,"]) for _ in range(int(rng.paretovariate(0.6)) % 9000)), "en", "s", 0) for k in range(120)]
+    rows += [(501, None, "en", "s", 0), (502, "", None, None, 0), (503, "same row", "en", "s", 0), (503, "same row", "en", "s", 0), (None, "no id", "en", "s", 0)]
+    clashing = spark.createDataFrame([(*r, 7, 7) for r in rows], f"{DOCS}, length int, deal int")
+    clashing.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = packing.op2_packing(spark, str(tmp_path)).collect()
+    want = []
+    for doc_id, text, *_ in rows:
+        ids = [*plain.encode(text or "", add_special_tokens=False).ids, 1]
+        for piece, at in enumerate(range(0, len(ids), 4096)):
+            part = ids[at : at + 4096]
+            want.append((-1 if doc_id is None else doc_id, piece, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    filled = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled.get(r.sequence_id, 0)
+        filled[r.sequence_id] = r.offset + r.length
+    tokens = sum(filled.values())
+    assert max(filled.values()) <= 4096 and len(filled) <= 1.12 * -(-tokens // 4096) + 1
 
 
 def test_packing_fills_sequences():
