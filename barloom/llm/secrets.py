@@ -5,11 +5,16 @@ and ``hex`` (long hexadecimal runs). Further candidates, runs of base64 or hexad
 if what comes out parses:
 
 * ``jwt``: a signed token whose header is a JSON object naming an algorithm and whose payload is a JSON object
-* ``der``: a key encoding, a sequence whose nested lengths add up exactly and which holds an integer, in base64 or hex
-* ``ssh``: length-prefixed fields that fill the blob, the first of them a key type
+* ``der``: a private key's encoding, in base64 or hex: a sequence whose nested lengths add up exactly and whose values stand as in
+  PKCS #8 (plain or encrypted), PKCS #1, DSA's or SEC 1's form. Certificates and public keys have other forms and aren't reported.
+* ``ssh``: an OpenSSH private-key container that parses to its end, or length-prefixed fields that fill the blob, the first of them a key type
 * ``pem``: a private-key block whose body decodes to one of the two above
 
-Matches of a kind don't overlap; failing ones are dropped and what they covered isn't tried again. A null text counts as empty.
+Matches of a kind don't overlap; failing ones are dropped and what they covered isn't tried again. The work is linear in the text, so a
+very long one takes as much memory and time as its length says.
+
+Defined cases: a null text counts as empty and has no spans; repeated rows are reported as often as they come; an empty table gives an empty
+result; columns other than doc_id and text aren't read, so no name can clash; a null id stays null.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import base64
 import binascii
 import json
 import re
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,7 +42,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 _ANY_HEX = re.compile(r"[0-9a-fA-F]+")
-_JWT = re.compile(r"([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.[A-Za-z0-9_-]*")
+#: Dotted runs of base64 letters; possessive, so that a run is read once. A signed token is three of its parts.
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+)+")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
 
 
@@ -73,23 +80,57 @@ def der_items(blob: bytes, at: int, end: int, depth: int = 0) -> list[int] | Non
 
 
 def is_der(blob: bytes) -> bool:
-    if len(blob) < 16 or blob[0] != 0x30:
+    """Whether the blob is the encoding of a private key."""
+    if len(blob) < 16 or blob[0] != 0x30 or der_items(blob, 0, len(blob)) is None:
         return False
-    tags = der_items(blob, 0, len(blob))
-    return tags is not None and len(tags) >= 3 and tags[0] == 0x30 and bool({0x02, 0x03, 0x04} & set(tags[1:]))
+    values = children(blob)
+    forms = "".join({0x02: "i", 0x03: "b", 0x04: "o", 0x30: "s", 0xA0: "0", 0xA1: "1"}.get(tag, "?") for tag, _ in values)
+    # PKCS #8: version, algorithm, key; encrypted: algorithm, data; PKCS #1 and DSA: nine or six numbers; SEC 1: version, key
+    return bool(re.fullmatch(r"iso[01]*|so|i{9}s?|i{6}|io0?1?", forms)) and (forms[0] != "i" or values[0][1] in (b"\0", b"\1"))
 
 
-def is_ssh(blob: bytes) -> bool:
-    if blob.startswith(MAGIC):
-        return True
-    at, fields = 0, []
-    while at < len(blob):
+def children(blob: bytes) -> list[tuple[int, bytes]]:
+    """Tags and contents of the values in a sequence that :func:`der_items` has checked."""
+
+    def value(at: int) -> tuple[int, int, int]:
+        length, at = blob[at + 1], at + 2
+        if length & 0x80:
+            n = length & 0x7F
+            length, at = int.from_bytes(blob[at : at + n], "big"), at + n
+        return at, at + length, length
+
+    at, end, _ = value(0)
+    out = []
+    while at < end:
+        start, after, _ = value(at)
+        out.append((blob[at], blob[start:after]))
+        at = after
+    return out
+
+
+def fields_of(blob: bytes, at: int, most: int | None = None) -> tuple[list[bytes], int] | None:
+    """Length-prefixed fields from ``at`` on, up to ``most`` of them, and where they end; None where one is longer than what is left."""
+    fields: list[bytes] = []
+    while at < len(blob) and (most is None or len(fields) < most):
         length = int.from_bytes(blob[at : at + 4], "big")
         if len(blob) - at < 4 or length > len(blob) - at - 4:
-            return False
+            return None
         fields.append(blob[at + 4 : at + 4 + length])
         at += 4 + length
-    return len(fields) >= 2 and fields[0] in KEY_TYPES
+    return fields, at
+
+
+def is_ssh(blob: bytes) -> bool:
+    if blob.startswith(MAGIC):
+        # cipher, key derivation and its options, the number of keys, then the public keys and the private part
+        head = fields_of(blob, len(MAGIC), 3)
+        if head is None or len(head[0]) < 3 or len(blob) - head[1] < 4:
+            return False
+        keys = int.from_bytes(blob[head[1] : head[1] + 4], "big")
+        rest = fields_of(blob, head[1] + 4, keys + 1) if 1 <= keys <= 64 else None
+        return rest is not None and len(rest[0]) == keys + 1 and rest[1] == len(blob) and is_ssh(rest[0][0]) and len(rest[0][-1]) >= 8
+    found = fields_of(blob, 0)
+    return found is not None and len(found[0]) >= 2 and found[0][0] in KEY_TYPES
 
 
 def is_object(part: str, key: str | None = None) -> bool:
@@ -103,10 +144,24 @@ def is_object(part: str, key: str | None = None) -> bool:
     return isinstance(value, dict) and (key is None or isinstance(value.get(key), str))
 
 
+def tokens(run: str, at: int) -> list[Span]:
+    """Signed tokens in a dotted run: three parts in a row, each part looked at once."""
+    parts, out, k = run.split("."), [], 0
+    starts = [at, *(at + n for n in accumulate(len(part) + 1 for part in parts))]
+    while k + 2 < len(parts):
+        head = parts[k].find("eyJ")
+        if head >= 0 and is_object(parts[k][head:], "alg") and is_object(parts[k + 1]):
+            out.append(("jwt", starts[k] + head, starts[k + 2] + len(parts[k + 2])))
+            k += 2
+        k += 1
+    return out
+
+
 def confirmed(text: str) -> list[Span]:
     found: list[Span] = []
     if "eyJ" in text:
-        found += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_object(m[1], "alg") and is_object(m[2])]
+        for m in _DOTTED.finditer(text):
+            found += tokens(m[0], m.start())
     for m in _RUN.finditer(text):
         run = m[0]
         blobs = [blob] if (blob := decoded(run)) else []

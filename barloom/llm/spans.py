@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from barloom.llm.common import ship
+
 #: kind, start, end in code points, end exclusive
 Span = tuple[str, int, int]
 
@@ -27,6 +29,7 @@ def scan(docs: DataFrame, row: Callable[[str], tuple], fields: list[tuple[str, s
 
     No shuffle; a task holds one batch of texts. A null text counts as empty.
     """
+    ship(docs.sparkSession)
     arrow = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
     names = ["doc_id", *(name for name, _ in fields)]
     kinds = [pa.int64(), *(arrow[kind] for _, kind in fields)]

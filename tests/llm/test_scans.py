@@ -1,8 +1,10 @@
 """Scans for secrets and personal data against the plain patterns they start from."""
 
 import base64
+import hashlib
 import json
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -97,3 +99,88 @@ def test_long_and_empty_texts():
     assert pii.find("a" * 200_000 + "@") == []
     assert pii.find("1" * 200_000) == []
     assert len(secrets.find("f" * 200_000)) == 1
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    size = bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+NUMBER, OID = der(2, b"\x01"), der(6, b"\x2a\x86\x48")
+VERSION, ALGORITHM = der(2, b"\0"), der(0x30, OID, der(5))
+
+
+def kinds(text):
+    return [s[0] for s in secrets.find(text) if s[0] in secrets.ADDED]
+
+
+def test_private_keys_are_told_from_certificates_and_public_keys():
+    private = {
+        "pkcs8": der(0x30, VERSION, ALGORITHM, der(4, bytes(40))),
+        "encrypted": der(0x30, ALGORITHM, der(4, bytes(40))),
+        "pkcs1": der(0x30, VERSION, *[NUMBER] * 8),
+        "dsa": der(0x30, VERSION, *[NUMBER] * 5),
+        "sec1": der(0x30, NUMBER, der(4, bytes(32)), der(0xA0, OID)),
+    }
+    public = {
+        "certificate": der(0x30, der(0x30, NUMBER, ALGORITHM), ALGORITHM, der(3, bytes(40))),
+        "public key": der(0x30, ALGORITHM, der(3, bytes(140))),
+        "rsa public": der(0x30, der(2, bytes(64)), der(2, b"\1\0\1")),
+        "signature": der(0x30, der(2, bytes(32)), der(2, bytes(32))),
+    }
+    for blob in private.values():
+        assert kinds("x " + base64.b64encode(blob).decode()) == ["der"] and "der" in kinds("x " + blob.hex())
+    for blob in public.values():
+        assert kinds("x " + base64.b64encode(blob).decode()) == [] and kinds("x " + blob.hex()) == []
+
+
+def field(x):
+    return len(x).to_bytes(4, "big") + x
+
+
+def test_openssh_containers_are_parsed_to_their_end():
+    public = field(b"ssh-ed25519") + field(bytes(32))
+    head = secrets.MAGIC + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big")
+    whole = head + field(public) + field(bytes(64))
+    assert secrets.is_ssh(whole) and kinds("x " + base64.b64encode(whole).decode()) == ["ssh"]
+    for broken in (secrets.MAGIC + b"anything", whole[:-1], whole + b"x", head, head + field(b"no key") + field(bytes(64)), secrets.MAGIC):
+        assert not secrets.is_ssh(broken)
+
+
+def test_tokens_in_dotted_runs():
+    head, body = b64(json.dumps({"alg": "HS256"}).encode()), b64(json.dumps({"sub": "x"}).encode())
+    token = f"{head}.{body}.c2ln"
+    for before in ("www.", "a.b.", "key_", "eyJ.", "."):
+        text = f"{before}{token} {token}."
+        at = len(before)
+        assert [s for s in secrets.find(text) if s[0] == "jwt"][0] == ("jwt", at, at + len(token)) and kinds(text) == ["jwt", "jwt"]
+    assert kinds(f"{body}.{body}.c2ln {head}.{head[:-3]}.x {head}.{body}") == []
+
+
+def test_long_unbroken_texts_take_little_time():
+    for text in ("eyJ" + "QUJD" * 250_000, "eyJhb." * 160_000, "A" * 1_000_000 + ".eyJ", "-----BEGIN PRIVATE KEY-----" * 30_000, "token" * 200_000 + "=", "AKIA" * 250_000, "0a" * 500_000):
+        began = time.process_time()
+        secrets.find(text)
+        assert time.process_time() - began < 2
+
+
+def plain_digest(spans):
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def test_scan_queries_on_odd_rows(spark, tmp_path):
+    texts = [None, "", "é token = 'abcdef0123' a@b.org", "same +1 (743) 555-3824", "same +1 (743) 555-3824", "x " * 200_000 + "password: hunter22 10.0.0.1"]
+    rows = [(k if k != 3 else None, t, 7, "x") for k, t in enumerate(texts)]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "doc_id long, text string, n_email int, spans string").repartition(2).write.parquet(f"{path}/documents.parquet")
+    want = {(d, plain_digest(plain_secrets(t or ""))) for d, t, *_ in rows}
+    got = secrets.op7_secrets(spark, path).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.base_sha256) for r in got} == want
+    assert {(r.doc_id, r.n_assign) for r in got} == {(d, sum(s[0] == "assign" for s in plain_secrets(t or ""))) for d, t, *_ in rows}
+    got = pii.op9_pii(spark, path).collect()
+    assert {(r.doc_id, r.base_sha256) for r in got} == {(d, plain_digest(plain_pii(t or ""))) for d, t, *_ in rows}
+    masked = pii.redact(spark.read.parquet(f"{path}/documents.parquet"))
+    assert masked.columns == ["doc_id", "text", "n_email", "spans"] and masked.where("text IS NULL").count() == 1
+    spark.read.parquet(f"{path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert secrets.op7_secrets(spark, f"{tmp_path}/none").collect() == pii.op9_pii(spark, f"{tmp_path}/none").collect() == []
