@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import documents, staged
+from barloom.llm.common import documents, ship, staged
 from barloom.llm.graph import components
 
 SHINGLE = 5
@@ -252,6 +252,7 @@ def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, frequent_least: int = FREQUENT, paired: int = PAIRED) -> DataFrame:
     """(doc_id, n_shingles, component_id) of ``docs`` (doc_id, text), a stored table: it is read up to four times."""
     spark = docs.sparkSession
+    ship(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     described = staged(docs.mapInArrow(describe, "is_token long, doc_id long, n long, key binary, token long, seen long"), "join-described")
     rows = described.where("is_token = 0").select("doc_id", "n", "key")

@@ -10,6 +10,11 @@ coefficients a first scan and one refinement, so every coefficient has a non-zer
 decoder checks for such strides and then reads a scan at once with numpy; any other scan is read symbol by symbol.
 
 Blocks fill the luma plane, then both chroma planes (4:2:0), padded with zeros to whole units; a comment holds the payload's length.
+
+Defined cases: a null or empty text is a payload of 64 zero bytes; equal texts give equal files, and repeated rows are stored as often as
+they come; an empty table gives an empty result; the query reads doc_id and text only; columns of the input that are named like an added one
+(media; height, width, rgb) are replaced by it. A text is coded in its task, which holds its bits unpacked (a byte each) and the tensor: some
+forty times the text, so a text of a hundred megabytes needs a worker of four gigabytes.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import documents
+from barloom.llm.common import documents, ship
 from barloom.llm.spans import scan
 
 BLOCK = 64
@@ -440,6 +445,8 @@ def summary(text: str) -> tuple:
 
 def media_column(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``media``: the text stored as a progressive JPEG. A null text counts as empty."""
+    ship(docs.sparkSession)
+
     @F.pandas_udf("binary")
     def stored(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: encode(padded(t or "")))
@@ -449,6 +456,8 @@ def media_column(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def rgb_column(media: DataFrame, column: str = "media") -> DataFrame:
     """``media`` with ``height``, ``width`` and ``rgb``, the full-resolution tensor's bytes; null where the column is null."""
+    ship(media.sparkSession)
+
     @F.pandas_udf("height int, width int, rgb binary")
     def opened(files: pd.Series) -> pd.DataFrame:
         tensors = [None if f is None else tensor(decode(bytes(f))) for f in files]
@@ -456,7 +465,8 @@ def rgb_column(media: DataFrame, column: str = "media") -> DataFrame:
             {"height": "Int32", "width": "Int32"}
         )
 
-    return media.withColumn("_opened", opened(F.col(column))).select("*", "_opened.*").drop("_opened")
+    kept = [F.col(f"`{c}`") for c in media.columns if c not in ("height", "width", "rgb")]
+    return media.select(F.struct(*kept).alias("kept"), opened(F.col(column)).alias("opened")).select("kept.*", "opened.*")
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:

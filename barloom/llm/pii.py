@@ -11,7 +11,11 @@ schemes and account cues. At each anchor a local parser expands to the boundarie
 * iban (added): an account number after its cue, with a right mod-97 check
 
 Matches of a kind don't overlap: a parser takes up where the last match of its kind ended, also if that match failed
-validation. A null text counts as empty; the work is linear in the text.
+validation. The work is linear in the text, however long it is.
+
+Defined cases: a null text counts as empty and has no spans (:func:`redact` leaves it null); repeated rows are reported as often as they come;
+an empty table gives an empty result; the query reads doc_id and text only, and :func:`redact` replaces the text and carries all other
+columns along; a null id stays null.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import documents
+from barloom.llm.common import documents, ship
 from barloom.llm.spans import Span, digest, joined, scan
 
 KINDS = ("email", "ip", "card", "phone")
@@ -127,6 +131,8 @@ def redacted(text: str) -> str:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with personal data replaced; null texts stay null."""
+    ship(docs.sparkSession)
+
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(redacted, na_action="ignore")
