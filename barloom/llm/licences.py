@@ -7,7 +7,8 @@ rules in order: a rule holds where its identifiers stand next to each other in t
 names the licence; ``licences`` lists those of all rules that hold.
 
 Defined cases: a null or empty text has no sentences and no licence (null); repeated rows are reported as often as they
-come; an empty table gives an empty result. There is no shuffle.
+come; columns named like an added one are replaced; an empty table gives an empty result. There is no shuffle, and the time grows with the
+length of a text only.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ SENTENCES = {
     "apache-basis": [
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
     ],
-    "gpl3-named": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "gpl3-named": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3."],
     "gpl3-grant": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ],
@@ -56,7 +57,7 @@ SENTENCES = {
     "reserved": ["All rights reserved."],
 }
 
-#: Sentences and rules that the SQL, which is made from ``SENTENCES`` and ``RULES``, doesn't know.
+#: Further forms of the grants.
 FURTHER = {
     # programs that are named: "NAME is free software: you can ..."
     "gpl3-grant": [
@@ -78,6 +79,11 @@ FURTHER = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
         "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ],
+    "zlib-as-is": ["This software is provided 'as-is', without any express or implied warranty."],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "boost-grant": [
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"
+    ],
     "unlicense-grant": ["This is free and unencumbered software released into the public domain."],
     "apache-comply": ["you may not use this file except in compliance with the License"],
     "bsd-source": ["1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
@@ -95,6 +101,7 @@ NAMED = {
     "Apache-2.0": ["Apache License 2.0", "Apache License, Version 2.0", "Apache-2.0 License"],
     "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GPLv3"],
     "GPL-3.0-only": [],
+    "GPL-3.0-or-later": [],
     "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GPLv2"],
     "GPL-2.0-only": [],
     "GPL-2.0-or-later": [],
@@ -114,6 +121,16 @@ NAMED = {
     "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License, version 2.0"],
     "BSL-1.0": ["Boost Software License, Version 1.0"],
     "Unlicense": ["Unlicense"],
+    "Zlib": ["zlib License"],
+    "0BSD": ["BSD Zero Clause License"],
+    "BSD-4-Clause": ["BSD 4-Clause License"],
+    "MPL-1.1": ["Mozilla Public License 1.1", "Mozilla Public License, version 1.1"],
+    "EPL-1.0": ["Eclipse Public License 1.0", "Eclipse Public License, version 1.0"],
+    "EUPL-1.2": ["European Union Public Licence 1.2", "European Union Public License 1.2"],
+    "Artistic-2.0": ["Artistic License 2.0"],
+    "OFL-1.1": ["SIL Open Font License 1.1", "SIL Open Font License, Version 1.1"],
+    "PostgreSQL": ["PostgreSQL License"],
+    "WTFPL": ["WTFPL"],
     "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal License"],
 }
 for _kind, _words in {
@@ -154,6 +171,8 @@ FURTHER_RULES = [
     ("AGPL-3.0-or-later", ["agpl3-grant"]),
     ("ISC", ["isc-grant"]),
     ("Unlicense", ["unlicense-grant"]),
+    ("Zlib", ["zlib-grant"]),
+    ("BSL-1.0", ["boost-grant"]),
     *[(licence, [f"{licence.lower()}-known"]) for licence in NAMED],
 ]
 
@@ -197,11 +216,6 @@ def rules() -> list[tuple[str, list[str]]]:
     return [*RULES[:-1], *FURTHER_RULES, RULES[-1]]
 
 
-def catalogue() -> dict[str, str]:
-    """What the SQL knows: a sentence of several parts (an inner colon or stop) by its longest only."""
-    return {max(normalised(s), key=len): name for name, versions in SENTENCES.items() for s in versions}
-
-
 def sentences(text: Column) -> Column:
     parts = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), OTHER, " "), END)
     return F.filter(F.transform(parts, lambda s: F.trim(s, F.lit(EDGE))), lambda s: s != "")
@@ -223,17 +237,20 @@ def identifiers(text: Column) -> Column:
 
 
 def licences(docs: DataFrame, text: str = "text") -> DataFrame:
-    named = docs.withColumns({"_sentences": sentences(F.col(text)), "_ids": identifiers(F.col(text))})
-    sequence = F.concat(F.lit(","), F.array_join("_ids", ","), F.lit(","))
+    """``docs`` with the added columns; one of its own that has an added column's name is replaced."""
+    added = ["n_sentences", "n_known", "sentence_ids", "licence", "licences"]
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added]).alias("kept")
+    named = docs.select(kept, F.size(sentences(F.col(text))).cast("long").alias("n_sentences"), identifiers(F.col(text)).alias("ids"))
+    sequence = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
     holds = F.array(*[F.when(sequence.contains(f",{','.join(ids)},"), F.lit(name)) for name, ids in rules()])
-    found = named.withColumn("_found", F.array_distinct(F.filter(holds, lambda x: x.isNotNull())))
+    found = named.withColumn("found", F.array_distinct(F.filter(holds, lambda x: x.isNotNull())))
     return found.select(
-        *docs.columns,
-        F.size("_sentences").cast("long").alias("n_sentences"),
-        F.size("_ids").cast("long").alias("n_known"),
-        F.array_join("_ids", ",").alias("sentence_ids"),
-        F.get("_found", F.lit(0)).alias("licence"),
-        F.array_join("_found", ",").alias("licences"),
+        "kept.*",
+        "n_sentences",
+        F.size("ids").cast("long").alias("n_known"),
+        F.array_join("ids", ",").alias("sentence_ids"),
+        F.get("found", F.lit(0)).alias("licence"),
+        F.array_join("found", ",").alias("licences"),
     )
 
 
@@ -246,27 +263,40 @@ def quoted(x: str) -> str:
 
 
 def oracle() -> str:
-    keys, names = zip(*catalogue().items(), strict=True)
-    holds = ", ".join(f"CASE WHEN contains(seq, {quoted(',' + ','.join(ids) + ',')}) THEN {quoted(name)} END" for name, ids in RULES)
+    """SQL by another way: texts are cut into lines and sentences, runs of them are joined with a table of known sentences, and the first and
+    longest runs are picked one after the other."""
+    known = phrases(entries())
+    most = max(len(re.split("[ |]", k)) for k in known)
+    heads = sorted({" ".join(re.split("[ |]", k)[:1]) for k in known})
+    catalogue = ", ".join(f"({quoted(k)}, {quoted(name)})" for k, name in known.items())
+    holds = ", ".join(f"CASE WHEN contains(seq, {quoted(',' + ','.join(ids) + ',')}) THEN {quoted(name)} END" for name, ids in rules())
     # list_distinct doesn't keep the order, so a name counts where it stands first
     return rf"""
-WITH cut AS (
-  SELECT doc_id, list_filter(list_transform(
-    string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9.!?;:\n]+', ' ', 'g'), '[.!?;:]+ |\n'),
-    lambda s: trim(s, '.!?;: ')), lambda s: s <> '') AS sentences
-  FROM documents
-), named AS (
-  SELECT doc_id, sentences, list_filter(list_transform(sentences,
-    lambda s: list_extract([{", ".join(map(quoted, names))}], list_position([{", ".join(map(quoted, keys))}], s))), lambda x: x IS NOT NULL) AS ids
-  FROM cut
+WITH RECURSIVE catalogue(key, id) AS (VALUES {catalogue}),
+plain AS MATERIALIZED (
+  SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9.!?;:\n]+', ' ', 'g') AS t FROM documents
+), cut AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(regexp_replace(regexp_replace(chr(10) || t || chr(10), ' *[.!?;:]+[ \n][.!?;: \n]*', '|', 'g'), ' *\n[.!?;: ]*', chr(10), 'g'), '[^|\n]*[|\n]') AS parts
+  FROM plain
+), starts AS MATERIALIZED (
+  SELECT * FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM cut)
+  WHERE regexp_extract(parts[i], '^[^ |\n]*') IN ({", ".join(map(quoted, heads))})
+), best AS MATERIALIZED (
+  SELECT doc_id, i, max(l) AS l, arg_max(id, l) AS id FROM (
+    SELECT doc_id, i, l, replace(array_to_string(parts[i:i + l - 1], '')[:-2], chr(10), ' ') AS key FROM starts, range(1, {most + 1}) r(l) WHERE i + l - 1 <= len(parts)
+  ) JOIN catalogue USING (key) GROUP BY doc_id, i
+), followed AS MATERIALIZED (
+  SELECT a.doc_id, a.i, min(b.i) AS after FROM best a JOIN best b ON b.doc_id = a.doc_id AND b.i >= a.i + a.l GROUP BY a.doc_id, a.i
+), picked AS (
+  SELECT doc_id, min(i) AS i FROM best GROUP BY doc_id UNION ALL SELECT f.doc_id, f.after FROM picked p JOIN followed f ON f.doc_id = p.doc_id AND f.i = p.i
 ), seqs AS (
-  SELECT *, ',' || array_to_string(ids, ',') || ',' AS seq FROM named
+  SELECT doc_id, string_agg(id, ',' ORDER BY i) AS ids, count(*) AS n FROM picked JOIN best USING (doc_id, i) GROUP BY doc_id
 ), held AS (
-  SELECT *, list_filter([{holds}], lambda x: x IS NOT NULL) AS held FROM seqs
+  SELECT *, list_filter([{holds}], lambda x: x IS NOT NULL) AS held FROM (SELECT *, ',' || ids || ',' AS seq FROM seqs)
 ), firsts AS (
   SELECT *, list_filter(held, lambda x, i: list_position(held, x) = i) AS found FROM held
 )
-SELECT doc_id, len(sentences)::BIGINT AS n_sentences, len(ids)::BIGINT AS n_known, array_to_string(ids, ',') AS sentence_ids,
-       found[1] AS licence, array_to_string(found, ',') AS licences
-FROM firsts
+SELECT p.doc_id, len(list_filter(list_transform(string_split_regex(t, '[.!?;:]+ |\n'), lambda s: trim(s, '.!?;: ')), lambda s: s <> ''))::BIGINT AS n_sentences,
+       coalesce(n, 0)::BIGINT AS n_known, coalesce(ids, '') AS sentence_ids, found[1] AS licence, coalesce(array_to_string(found, ','), '') AS licences
+FROM plain p LEFT JOIN firsts f ON f.doc_id = p.doc_id
 """

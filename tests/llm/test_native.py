@@ -169,7 +169,9 @@ BY_HAND = {
     "SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
     "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
     "Licensed under the GNU General Public License, version 3.": "GPL-3.0",
-    "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0",
+    "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0-or-later",
+    "License: GPL-3.0": "GPL-3.0",
+    "SPDX-License-Identifier: Zlib": "Zlib",
     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "MPL-2.0",
     "SPDX-License-Identifier: MPL-2.0": "MPL-2.0",
     "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
@@ -259,6 +261,31 @@ def test_common_licence_lines(spark):
     assert found_licences(spark, list(by_hand)) == by_hand
 
 
+def test_licence_sql_agrees_on_odd_texts(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(12)
+    known = list(licences.phrases(licences.entries()))
+    bodies = [MIT, APACHE, GPL, BSD, *BY_HAND, "Licensed under CC BY-NC 4.0 or more.", "Released under the MIT License", None, "", "\n\n", "...", "é MIT License. ; License: MIT: x"]
+    for _ in range(250):  # known sentences, wrapped, run together and broken
+        words = " ".join(rng.choice(known).replace("|", rng.choice([". ", ": ", " ", "; "])) for _ in range(rng.randint(1, 3))).split(" ")
+        bodies.append("".join(w + rng.choice([" ", " ", " ", " ", "\n", " \n # ", ". ", "\n\n"][: rng.choice([4, 6, 8])]) for w in words))
+    rows = [(k, t, 1, "x") for k, t in enumerate(bodies)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids int, licence string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in licences.op8_licences(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == duck.execute(licences.oracle() + " ORDER BY 1").fetchall() and sum(r[2] > 1 for r in got) > 10
+    assert licences.licences(docs).columns == ["doc_id", "text", "ids", "n_sentences", "n_known", "sentence_ids", "licence", "licences"]
+
+
+def test_long_text_of_a_licence(spark):
+    text = "\n".join(["Words of no licence at all, and no stop"] * 40_000 + [MIT])
+    row = licences.licences(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.licence == "MIT" and row.n_known == 3
+
+
 def test_two_identifiers_never_share_a_sentence():
     with pytest.raises(ValueError):
         licences.phrases({"a": ["License: MIT"], "b": ["License; MIT."]})
