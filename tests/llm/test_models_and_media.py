@@ -130,28 +130,95 @@ def test_toxic_documents_are_found_in_held_out_rows(spark):
     assert caught >= 0.9 * sum(truth[r.doc_id] for r in held) and sum(r.predicted for r in held if not truth[r.doc_id]) <= 0.02 * len(held)
 
 
-def test_rare_expressions_are_evidence_at_any_size(spark):
-    counts = spark.createDataFrame([("zwurg", 0, 1, 300), ("zwurh", 1, 1, 2), ("about", 0, 0, 4_000_000_000), ("^^^^a", 2, 1, 900_000_000)], "expression string, part int, toxic int, n long")
-    assert sorted(toxicity.evidence(counts, -1)) == [("^^^^a", 9e8, 0.0), ("about", 0.0, 4e9), ("zwurg", 300.0, 0.0), ("zwurh", 2.0, 0.0)]
-    assert [e for e, *_ in sorted(toxicity.evidence(counts, 1))] == ["^^^^a", "about", "zwurg"]
-
-
-def test_unseen_expressions_back_off():
-    rng = random.Random(6)
-    seen = ["zwurgh"] * 3 + ["".join(rng.choice("abcdz") for _ in range(rng.randint(1, 7))) for _ in range(300)]
-    rows = {}
-    for k, w in enumerate(seen):
-        for e in toxicity.expressions(w):
-            t, o = rows.get(e, (0.0, 0.0))
-            rows[e] = (t + (k % 4 == 0 or k < 3), o + (k % 4 > 0 and k >= 3))
-    model = toxicity.Model([(e, t, o) for e, (t, o) in rows.items()])
-    ratio = model.backoff()
-    words = seen + ["ozwurgha", "xyz", "urgh", "q", "ab", "éa"] + ["".join(rng.choice("abcdezurghx") for _ in range(6)) for _ in range(300)]
-    for e in {e for w in words for e in toxicity.expressions(w)}:
-        assert abs(ratio(e) - np.log(model.likelihood(e, 0) / model.likelihood(e, 1))) < 1e-9
-    # three toxic occurrences count, and so do the ends of a form that wasn't seen
-    assert ratio("zwurg") > 0 and ratio("owurg") > 0 and "owurg" not in rows
-    assert toxicity.Scorer(ratio)("ozwurgha") > 0
+class PlainModel:
+    """Kneser and Ney's definition, read off: counts of whole expressions by class, then how many expressions continue each shorter one."""
+
+    def __init__(self, rows):
+        self.counts = {}
+        for side in "toe":
+            now = {e: {"t": t, "o": o, "e": t + o}[side] for e, t, o in rows}
+            for order in range(5, 0, -1):
+                self.counts[side, order] = {g: n for g, n in now.items() if n}
+                now = {}
+                for g in self.counts[side, order]:
+                    now[g[1:]] = now.get(g[1:], 0) + 1
+
+    def likelihood(self, gram, side):
+        if not gram:
+            return 1 / (max(2, len(self.counts["e", 1])) + 1)
+        counts = self.counts["e" if len(gram) <= 2 else side, len(gram)]
+        same = [n for g, n in counts.items() if g[:-1] == gram[:-1]]
+        rest = self.likelihood(gram[1:], side)
+        return rest if not same else max(counts.get(gram, 0) - 0.75, 0) / sum(same) + 0.75 * len(same) / sum(same) * rest
+
+    def ratio(self, gram):
+        return np.log(self.likelihood(gram, "t") / self.likelihood(gram, "o"))
+
+
+def small_counts(seed=6):
+    rng = random.Random(seed)
+    words = ["zwurgh"] * 3 + ["".join(rng.choice("abcdzé") for _ in range(rng.randint(1, 7))) for _ in range(120)]
+    counts = {}
+    for k, word in enumerate(words):
+        for e in toxicity.expressions(word):
+            key = (e, k % 4, int(k % 5 == 0 or k < 3))
+            counts[key] = counts.get(key, 0) + 1
+    return words, [(*key, n) for key, n in counts.items()]
+
+
+def test_models_equal_kneser_and_neys_definition(spark):
+    words, counts = small_counts()
+    tables = toxicity.fitted(spark.createDataFrame(counts, "gram string, part int, toxic int, n long").repartition(3))
+    rng = random.Random(7)
+    unseen = ["ozwurgha", "xyz", "urgh", "q", "ab", "éa"] + ["".join(rng.choice("abcdezurghx") for _ in range(6)) for _ in range(60)]
+    wanted = sorted({e for w in words + unseen for e in toxicity.expressions(w)} | {"owurg"})
+    for model in (-1, 2):
+        rows = {}
+        for e, part, toxic, n in counts:
+            if part != model:
+                t, o = rows.get(e, (0, 0))
+                rows[e] = (t + n * toxic, o + n * (1 - toxic))
+        plain = PlainModel([(e, *n) for e, n in rows.items()])
+        likelihoods, lefts, least = (t.where(F.col("model") == model) for t in tables)
+        held = toxicity.Model(toxicity.Lookup(likelihoods, "gram", ["p_t", "p_o"]), toxicity.Lookup(lefts, "context", ["left_t", "left_o"]), least.first()["least"])
+        got = dict(zip(wanted, held.ratios(wanted), strict=True))
+        assert all(abs(got[e] - plain.ratio(e)) < 1e-9 for e in wanted)
+        # three toxic occurrences count, and so do the ends of a form that wasn't seen
+        assert got["zwurg"] > 0 and got["owurg"] > 0 and "owurg" not in rows
+    ids = spark.createDataFrame([(k, w) for k, w in enumerate([*unseen, " ".join(words), "", None, "1 2 zwurgh ZWURGH"])], "k long, text string")
+    sent = toxicity.rated(ids, tables, -1, 10**9, "k long, x double").collect()
+    joined = toxicity.rated(ids, tables, -1, 0, "k long, x double").collect()
+    assert len(sent) == len(joined) == ids.count()
+    by_k = {r.k: r.x for r in joined}
+    assert all(abs(r.x - by_k[r.k]) < 1e-9 for r in sent)
+    final = PlainModel([(e, sum(n for g, _, t, n in counts if g == e and t), sum(n for g, _, t, n in counts if g == e and not t)) for e in {c[0] for c in counts}])
+    assert abs(by_k[len(unseen) + 3] - 2 * sum(final.ratio(e) for e in toxicity.expressions("zwurgh")) / 22) < 1e-9
+
+
+def test_models_of_one_session_do_not_mix(spark):
+    """Labels turned around, over and over: each call's scores follow its own labels."""
+    docs, labels = labelled(300, 9)
+    table = spark.createDataFrame(docs, DOCS).repartition(2).cache()
+    truth = {k: t for k, _, t in labels}
+    for turn in range(4):
+        own = [(k, q, t if turn % 2 == 0 else 1 - t) for k, q, t in labels]
+        got = toxicity.toxicity(table, spark.createDataFrame(own, "doc_id long, quality int, toxic int")).collect()
+        high, low = [sum(r.score for r in got if truth[r.doc_id] == side) / sum(truth[r.doc_id] == side for r in got) for side in (1, 0)]
+        assert (high > low) == (turn % 2 == 0)
+
+
+def test_toxicity_query_on_odd_rows(spark, tmp_path):
+    docs, labels = labelled(400, 3)
+    docs += [(9001, None, None, None, 0), (9002, "", "en", "s", 0), (9003, "zwurgh ba " * 60_000, "en", "s", 0), (None, "ba ko", "en", "s", 0), docs[0], docs[0]]
+    labels += [(9002, 1, None), (None, 1, 1), (77_777, 1, 1), labels[0]]
+    spark.createDataFrame([(*r, 1.0, 7) for r in docs], f"{DOCS}, score double, part int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.op4_toxicity(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+    rows = got.collect()
+    of = {r.doc_id: r.score for r in rows}
+    assert len(rows) == len(docs) and of[9001] == of[9002] and of[9003] > 0.5 and len({r.score for r in rows if r.doc_id == docs[0][0]}) == 1
+    assert toxicity.toxicity(spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0), spark.read.parquet(f"{tmp_path}/labels.parquet")).collect() == []
 
 
 def test_toxicity_without_labels(spark):
