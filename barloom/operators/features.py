@@ -52,10 +52,11 @@ def true_range() -> Column:
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
-def feature_panel(panel: DataFrame, bench: DataFrame) -> DataFrame:
-    """``panel`` (bars) with the 25 model inputs; unknown values get their defaults, infinite ones 0."""
+def measured(panel: DataFrame, bench: DataFrame) -> DataFrame:
+    """``panel`` (bars) with the recurrences and changes that the inputs and their variants are made of. What isn't used is pruned."""
     df = numbered(align_benchmark(panel, bench))
-    delta = F.col("close") - F.lag("close").over(ws())
+    before = F.lag("close").over(ws())
+    delta = F.col("close") - before
     df = df.withColumns(
         {
             "_gain": F.greatest(delta, F.lit(0.0)) + F.lit(0.0) * delta,
@@ -63,13 +64,39 @@ def feature_panel(panel: DataFrame, bench: DataFrame) -> DataFrame:
             "_r": change("close", 1),
             "_rb": change("bclose", 1),
             "_tr": true_range(),
+            "_gap": F.abs(ratio(F.col("open") - before, before)),
         }
     )
     df = weighted_sums(df, {"_sg": ("_gain", 13 / 14), "_sl": ("_loss", 13 / 14)})
+    df = wilder(df, {"_ag": "_gain", "_al": "_loss", "_atr": "_tr"}, 14)
     df = ema(df, {"_e12": ("close", 2 / 13), "_e26": ("close", 2 / 27), "_e20": ("close", 2 / 21)})
     df = ema(df.withColumn("_macd", F.col("_e12") - F.col("_e26")), {"_signal": ("_macd", 0.2)})
-    close, volume = F.col("close"), F.col("volume")
     low14, high14 = (full(14, c, f(c).over(w(14))) for c, f in (("low", F.min), ("high", F.max)))
+    return df.withColumn("_k14", ratio(100 * (F.col("close") - low14), high14 - low14))
+
+
+KEPT = ["symbol", "bar", "open", "high", "low", "close", "volume", "rn"]
+
+
+def feature_panel(panel: DataFrame, bench: DataFrame) -> DataFrame:
+    """``panel`` (bars) with the 25 model inputs; unknown values get their defaults, infinite ones 0."""
+    return measured(panel, bench).select(*KEPT, *[e.alias(c) for c, e in inputs().items()])
+
+
+def extra_features(panel: DataFrame, bench: DataFrame) -> DataFrame:
+    """Further inputs and variants: population deviations, Wilder's smoothing, drawdowns, tails, bands, liquidity and crosses."""
+    return measured(panel, bench).select("symbol", "bar", "close", *[e.alias(c) for c, e in extras().items()])
+
+
+def all_features(panel: DataFrame, bench: DataFrame, wanted: list[str]) -> DataFrame:
+    """The inputs and the ``wanted`` extras from one pass over the bars."""
+    more = extras()
+    return measured(panel, bench).select(*KEPT, *[e.alias(c) for c, e in inputs().items()], *[more[c].alias(c) for c in wanted])
+
+
+def inputs() -> dict[str, Column]:
+    """The 25 model inputs over the columns of :func:`measured`."""
+    close, volume = F.col("close"), F.col("volume")
     sma20, sma50 = full(20, "close", F.avg("close").over(w(20))), full(50, "close", F.avg("close").over(w(50)))
     vol20 = full(20, "_r", F.stddev_samp("_r").over(w(20)) * YEAR)
     v_mean, v_std = full(20, "volume", F.avg("volume").over(w(20))), full(20, "volume", F.stddev_samp("volume").over(w(20)))
@@ -81,7 +108,7 @@ def feature_panel(panel: DataFrame, bench: DataFrame) -> DataFrame:
     values = {
         "rsi_14": F.when(F.col("rn") >= 14, 100 - 100 / (1 + ratio(F.col("_sg"), F.col("_sl")))),
         "macd_hist": ratio(F.col("_macd") - F.col("_signal"), close),
-        "stoch_k": ratio(100 * (close - low14), high14 - low14),
+        "stoch_k": F.col("_k14"),
         "roc_12": ret[12] * 100,
         "sma_20_dist": ratio(close - sma20, sma20),
         "sma_50_dist": ratio(close - sma50, sma50),
@@ -105,8 +132,7 @@ def feature_panel(panel: DataFrame, bench: DataFrame) -> DataFrame:
         "beta_nifty": clamp(beta, 0.2, 3) + F.lit(0.0) * beta,
         "relative_strength_nifty": ret[20] - change("bclose", 20),
     }
-    kept = ["symbol", "bar", "open", "high", "low", "close", "volume", "rn"]
-    return df.select(*kept, *[F.coalesce(finite(e), F.lit(DEFAULTS[c])).alias(c) for c, e in values.items()])
+    return {c: F.coalesce(finite(e), F.lit(DEFAULTS[c])) for c, e in values.items()}
 
 
 def drawdown(values: Column) -> Column:
@@ -120,27 +146,9 @@ def drawdown(values: Column) -> Column:
     return F.aggregate(values, start, step)["dd"]
 
 
-def extra_features(panel: DataFrame, bench: DataFrame) -> DataFrame:
-    """Further inputs and variants: population deviations, Wilder's smoothing, drawdowns, tails, bands, liquidity and crosses."""
-    df = numbered(align_benchmark(panel, bench))
-    before = F.lag("close").over(ws())
-    delta = F.col("close") - before
-    df = df.withColumns(
-        {
-            "_gain": F.greatest(delta, F.lit(0.0)),
-            "_loss": F.greatest(-delta, F.lit(0.0)),
-            "_r": change("close", 1),
-            "_rb": change("bclose", 1),
-            "_tr": true_range(),
-            "_gap": F.abs(ratio(F.col("open") - before, before)),
-        }
-    )
-    df = wilder(df, {"_ag": "_gain", "_al": "_loss", "_atr": "_tr"}, 14)
-    df = ema(df, {"_e12": ("close", 2 / 13), "_e26": ("close", 2 / 27)})
-    df = ema(df.withColumn("macd_line", F.col("_e12") - F.col("_e26")), {"macd_signal": ("macd_line", 0.2)})
-    close = F.col("close")
-    low14, high14 = (full(14, c, f(c).over(w(14))) for c, f in (("low", F.min), ("high", F.max)))
-    df = df.withColumn("_k", ratio(100 * (close - low14), high14 - low14))
+def extras() -> dict[str, Column]:
+    """The variants over the columns of :func:`measured`."""
+    close, line = F.col("close"), F.col("_macd")
     returns = F.sort_array(F.filter(F.collect_list("_r").over(w(60)), lambda x: x.isNotNull()))
     n60 = F.size(returns)
     tail = F.when(n60 >= 20, F.get(returns, F.floor(n60 * 0.05).cast("int"))).otherwise(-0.03)
@@ -154,35 +162,32 @@ def extra_features(panel: DataFrame, bench: DataFrame) -> DataFrame:
     pairs = F.count(F.when(F.col("_r").isNotNull() & F.col("_rb").isNotNull(), 1)).over(w(60))
     beta = F.when(pairs >= 20, ratio(F.covar_pop("_r", "_rb").over(w(60)), F.var_pop("_rb").over(w(60))))
     closes = F.collect_list("close")
-    return df.select(
-        "symbol",
-        "bar",
-        "close",
-        rsi.alias("rsi_14_wilder"),
-        F.when(rsi > 70, "OVERBOUGHT").when(rsi < 30, "OVERSOLD").when(rsi.isNotNull(), "NEUTRAL").alias("rsi_stance"),
-        "macd_line",
-        "macd_signal",
-        (F.col("macd_line") - F.col("macd_signal")).alias("macd_hist_raw"),
-        F.when(F.col("macd_line") >= F.col("macd_signal"), "BULLISH").otherwise("BEARISH").alias("macd_trend"),
-        full(3, "_k", F.avg("_k").over(w(3))).alias("stoch_d"),
-        change("close", 10).alias("momentum_10"),
-        F.col("_atr").alias("atr_14"),
-        vol.alias("ann_vol_pop"),
-        full(20, "_r", F.sqrt(F.avg(F.pow(F.least(F.col("_r"), F.lit(0.0)) + F.lit(0.0) * F.col("_r"), 2)).over(w(20))) * YEAR, 10).alias("downside_pop"),
-        drawdown(closes.over(w(20))).alias("max_drawdown_20d"),
-        drawdown(closes.over(w(60))).alias("max_drawdown_60d"),
-        F.coalesce(F.avg("_gap").over(w(20)), F.lit(0.005)).alias("gap_risk"),
-        tail.alias("tail_risk_5pct"),
-        ratio(F.stddev_pop("volume").over(w(20)), v_mean).alias("volume_stability"),
-        F.log10(F.greatest(F.lit(1.0), close * v_mean)).alias("liquidity_score"),
-        F.round(F.coalesce(beta, clamp(vol / 0.15, 0.4, 2.5)), 2).alias("beta_pop"),
-        full(5, "close", ratio(close - F.avg("close").over(w(20)), sd20), 5).alias("close_zscore"),
-        (F.size(F.filter(closes.over(w(60)), lambda x: x < close)) / F.count("close").over(w(60)) * 100).alias("close_percentile"),
-        F.when(sma50 >= sma200, "GOLDEN").when(sma50 < sma200, "DEATH").alias("golden_cross"),
-        (sma20 + 2 * sd20).alias("bb_upper"),
-        sma20.alias("bb_middle"),
-        (sma20 - 2 * sd20).alias("bb_lower"),
-    )
+    return {
+        "rsi_14_wilder": rsi,
+        "rsi_stance": F.when(rsi > 70, "OVERBOUGHT").when(rsi < 30, "OVERSOLD").when(rsi.isNotNull(), "NEUTRAL"),
+        "macd_line": line,
+        "macd_signal": F.col("_signal"),
+        "macd_hist_raw": line - F.col("_signal"),
+        "macd_trend": F.when(line >= F.col("_signal"), "BULLISH").otherwise("BEARISH"),
+        "stoch_d": full(3, "_k14", F.avg("_k14").over(w(3))),
+        "momentum_10": change("close", 10),
+        "atr_14": F.col("_atr"),
+        "ann_vol_pop": vol,
+        "downside_pop": full(20, "_r", F.sqrt(F.avg(F.pow(F.least(F.col("_r"), F.lit(0.0)) + F.lit(0.0) * F.col("_r"), 2)).over(w(20))) * YEAR, 10),
+        "max_drawdown_20d": drawdown(closes.over(w(20))),
+        "max_drawdown_60d": drawdown(closes.over(w(60))),
+        "gap_risk": F.coalesce(F.avg("_gap").over(w(20)), F.lit(0.005)),
+        "tail_risk_5pct": tail,
+        "volume_stability": ratio(F.stddev_pop("volume").over(w(20)), v_mean),
+        "liquidity_score": F.log10(F.greatest(F.lit(1.0), close * v_mean)),
+        "beta_pop": F.round(F.coalesce(beta, clamp(vol / 0.15, 0.4, 2.5)), 2),
+        "close_zscore": full(5, "close", ratio(close - F.avg("close").over(w(20)), sd20), 5),
+        "close_percentile": (F.size(F.filter(closes.over(w(60)), lambda x: x < close)) / F.count("close").over(w(60)) * 100),
+        "golden_cross": F.when(sma50 >= sma200, "GOLDEN").when(sma50 < sma200, "DEATH"),
+        "bb_upper": (sma20 + 2 * sd20),
+        "bb_middle": sma20,
+        "bb_lower": (sma20 - 2 * sd20),
+    }
 
 
 def feature_grid(panel: DataFrame, returns=(1, 3, 5, 10, 20, 60, 100, 200), means=(20, 50, 100, 200), emas=(9, 20, 50), rsis=(7, 14, 21)) -> DataFrame:

@@ -106,12 +106,20 @@ def trade_metrics(trades: DataFrame, keys: list[str]) -> DataFrame:
 def equity_curve(trades: DataFrame, keys: list[str], order: list[str], share: float = 1.0) -> DataFrame:
     """Compound equity from 100 along the trades' exits, and the fall from its peak. A loss of everything leaves 0.
 
-    Log returns are summed per key; for one key with very many trades sum them per day first (``order`` = a day).
+    Log returns run within a day (``order``'s first column) and are carried from day to day over one row per day, so the trades of one key
+    are spread over its days.
     """
-    step = F.greatest(F.lit(1e-9), 1 + share * F.col("net"))
-    along = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    df = trades.withColumn("equity", 100 * F.exp(F.sum(F.log(step)).over(along)))
-    return df.withColumn("drawdown", F.col("equity") / F.greatest(F.lit(100.0), F.max("equity").over(along)) - 1)
+    day, rest = order[0], order[1:] or order[:1]
+    gain = F.log(F.greatest(F.lit(1e-9), 1 + share * F.col("net")))
+    within = Window.partitionBy(*keys, day).orderBy(*rest).rowsBetween(Window.unboundedPreceding, 0)
+    df = trades.withColumn("_sum", F.sum(gain).over(within)).withColumn("_top", F.max("_sum").over(within))
+    days = df.groupBy(*keys, day).agg(F.sum(gain).alias("_all"), F.max("_sum").alias("_high"))
+    along = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_before", F.coalesce(F.sum("_all").over(along), F.lit(0.0))).withColumn("_peak", F.max(F.col("_before") + F.col("_high")).over(along))
+    df = df.join(days.select(*keys, day, "_before", "_peak"), [*keys, day])
+    level = F.col("_before") + F.col("_sum")
+    peak = F.greatest(F.lit(0.0), F.col("_peak"), F.col("_before") + F.col("_top"))
+    return df.withColumns({"equity": 100 * F.exp(level), "drawdown": F.exp(level - peak) - 1}).drop("_sum", "_top", "_before", "_peak")
 
 
 def risk_metrics(trades: DataFrame, keys: list[str], order: list[str], days: Column, share: float = 0.05, free: float = 0.065) -> DataFrame:
@@ -154,8 +162,14 @@ def fit_buckets(scored: DataFrame) -> DataFrame:
     )
     rows = scored.select("horizon", "ret", F.explode(held).alias("b")).select("horizon", "b.*", "ret", (F.col("ret") > 0).alias("up"))
     side = ["horizon", "kind", "low", "high", "least", "up"]
-    size = F.count("*").over(Window.partitionBy(*side))
-    place = F.row_number().over(Window.partitionBy(*side).orderBy(F.abs("ret")))
+    # places are counted within cells of a thousandth and moved on by the cells before, so a side is spread over its cells
+    rows = rows.withColumn("_cell", F.floor(F.abs("ret") * 1000))
+    cells = rows.groupBy(*side, "_cell").agg(F.count("*").alias("_n"))
+    every = Window.partitionBy(*side)
+    cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(every.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    cells = cells.withColumn("_size", F.sum("_n").over(every)).drop("_n")
+    rows = rows.join(cells, [*side, "_cell"])
+    size, place = F.col("_size"), F.col("_before") + F.row_number().over(Window.partitionBy(*side, "_cell").orderBy(F.abs("ret")))
     cut = F.floor(size * 0.1)
     kept = rows.withColumn("_kept", (place > cut) & (place <= size - cut))
     out = kept.groupBy("horizon", "kind", "low", "high", "least").agg(
@@ -173,11 +187,16 @@ def fit_binned_isotonic(scored: DataFrame, bins: int = 8, least: int = 15, prior
 
     Pooling adjacent violators is written as max over j <= i of min over k >= i of the mean of bins j to k: at most ``bins`` rows per horizon.
     """
-    place = F.row_number().over(Window.partitionBy("horizon").orderBy("prob", "outcome")) - 1
-    n = F.count("*").over(Window.partitionBy("horizon"))
-    size = F.greatest(F.lit(1), F.floor(n / bins))
-    binned = scored.withColumn("bin", F.least(F.lit(bins - 1), F.floor(place / size)).cast("int"))
-    level = binned.groupBy("horizon", "bin").agg(F.sum("prob").alias("sp"), F.sum("outcome").alias("sy"), F.count("*").alias("n"))
+    # rows are counted by probability and outcome first; those of one count may fall into several bins
+    counts = scored.groupBy("horizon", "prob", "outcome").agg(F.count("*").alias("k"))
+    own = Window.partitionBy("horizon")
+    counts = counts.withColumn("upto", F.sum("k").over(own.orderBy("prob", "outcome").rowsBetween(Window.unboundedPreceding, 0)))
+    counts = counts.withColumns({"begin": F.col("upto") - F.col("k"), "size": F.greatest(F.lit(1), F.floor(F.sum("k").over(own) / bins))})
+    first, last = (F.least(F.lit(bins - 1), F.floor(x / F.col("size"))).cast("int") for x in (F.col("begin"), F.col("upto") - 1))
+    spread = counts.withColumn("bin", F.explode(F.sequence(first, last)))
+    end = F.when(F.col("bin") == bins - 1, F.col("upto")).otherwise(F.least(F.col("upto"), (F.col("bin") + 1) * F.col("size")))
+    spread = spread.withColumn("k", end - F.greatest(F.col("begin"), F.col("bin") * F.col("size")))
+    level = spread.groupBy("horizon", "bin").agg(F.sum(F.col("prob") * F.col("k")).alias("sp"), F.sum(F.col("outcome") * F.col("k")).alias("sy"), F.sum("k").alias("n"))
     packed = level.groupBy("horizon").agg(F.sort_array(F.collect_list(F.struct("bin", "sp", "sy", "n"))).alias("b"))
 
     def mean(j: Column, k: Column) -> Column:

@@ -1,16 +1,20 @@
 """Exponentially weighted sums without Python: a linear recurrence over each symbol's rows.
 
-Rows are cut into chunks of ``CHUNK``. Within a chunk, the sum of x weighted by q ** -k is a running window sum, rescaled by q ** k; what
-earlier full chunks leave (one value each) is folded into a carry. All windows are clustered by symbol, so a frame that is already
-partitioned by symbol isn't shuffled again, and nothing is joined. ``q ** -CHUNK`` must stay within a double: q of 0.07 or more.
+Rows are cut into chunks. Within a chunk, the sum of x weighted by q ** -k is a running window sum, rescaled by q ** k; the last full chunk's
+sum is carried on by a second running window. A chunk is so long that what earlier chunks leave is under a double's last digit (with several
+q in one call, the carry is passed on as often as that takes). All windows share one clustering and order, nothing is joined, and the work is
+linear in a symbol's rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 256
+#: Powers of q stay within exp(+-300), and carries under exp(-40) don't count.
+WIDEST, LEAST = 300, 40
 
 
 def numbered(df: DataFrame, symbol: str = "symbol", order: str = "bar") -> DataFrame:
@@ -18,25 +22,23 @@ def numbered(df: DataFrame, symbol: str = "symbol", order: str = "bar") -> DataF
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(symbol).orderBy(order)) - 1)
 
 
-def carry(q: float):
-    return lambda acc, x: acc * q**CHUNK + x
-
-
 def weighted_sums(df: DataFrame, sums: dict[str, tuple[str, float]], symbol: str = "symbol") -> DataFrame:
     """For each ``out: (column, q)``: out = column + q * (out of the row before). ``df`` has ``rn``; null values count as 0."""
-    chunk = (F.col("rn") / CHUNK).cast("int")
-    df = df.withColumns({"_chunk": chunk, "_k": F.col("rn") - chunk * CHUNK})
-    within = Window.partitionBy(symbol, "_chunk").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    rates = {out: -math.log(q) for out, (_, q) in sums.items()}
+    chunk = max(2, int(WIDEST / max(rates.values())))
+    passes = {out: math.ceil(LEAST / (rate * chunk)) for out, rate in rates.items()}
+    number = (F.col("rn") / chunk).cast("int")
+    df = df.withColumns({"_chunk": number, "_k": F.col("rn") - number * chunk})
+    within = Window.partitionBy(symbol, "_chunk").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns(
         {f"_{out}": F.pow(F.lit(q), F.col("_k")) * F.sum(F.coalesce(F.col(c), F.lit(0.0)) * F.pow(F.lit(q), -F.col("_k"))).over(within) for out, (c, q) in sums.items()}
     )
-    earlier = Window.partitionBy(symbol).orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
-    # the last row of each full chunk holds what it leaves; collect_list skips the nulls of the others
-    carried = {
-        f"_c_{out}": F.aggregate(F.collect_list(F.when(F.col("_k") == CHUNK - 1, F.col(f"_{out}"))).over(earlier), F.lit(0.0), carry(q)) for out, (_, q) in sums.items()
-    }
-    df = df.withColumns(carried)
-    added = {out: F.col(f"_{out}") + F.col(f"_c_{out}") * F.pow(F.lit(q), F.col("_k") + 1) for out, (_, q) in sums.items()}
+    earlier = Window.partitionBy(symbol).orderBy("_chunk", "rn").rowsBetween(Window.unboundedPreceding, -1)
+    for n in range(max(passes.values())):
+        # what the last full chunk before this row leaves, with what had been carried into it
+        ends = {out: F.col(f"_{out}") + (F.coalesce(f"_c_{out}", F.lit(0.0)) * sums[out][1] ** chunk if n else 0.0) for out in sums if n < passes[out]}
+        df = df.withColumns({f"_c_{out}": F.last(F.when(F.col("_k") == chunk - 1, e), ignorenulls=True).over(earlier) for out, e in ends.items()})
+    added = {out: F.col(f"_{out}") + F.coalesce(f"_c_{out}", F.lit(0.0)) * F.pow(F.lit(q), F.col("_k") + 1) for out, (_, q) in sums.items()}
     return df.withColumns(added).drop("_chunk", "_k", *[f"{p}{out}" for out in sums for p in ("_", "_c_")])
 
 

@@ -51,9 +51,7 @@ def resample_ticks(spark, sf_dir):
 
 
 def resample_monthly(spark, sf_dir):
-    """Monthly bars of the last three years of trades."""
-    trades = tables.trades(spark, sf_dir).where(F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))
-    return rounded(tables.to_bars(trades.withColumn("bar", F.to_date(F.date_trunc("month", "l_shipdate"))), ["symbol", "bar"], "px", "qty", "seq"))
+    return rounded(tables.to_bars(tables.trades(spark, sf_dir).withColumn("bar", F.to_date(F.date_trunc("month", "l_shipdate"))), ["symbol", "bar"], "px", "qty", "seq"))
 
 
 def normalize_quotes(spark, sf_dir):
@@ -62,7 +60,7 @@ def normalize_quotes(spark, sf_dir):
 
 
 def session_status(spark, sf_dir):
-    return tables.ticks(spark, sf_dir).groupBy("symbol", cleaning.session_status(F.col("ts")).alias("status")).agg(F.count("*").alias("n"))
+    return tables.ticks(spark, sf_dir).select("symbol", "seq", cleaning.session_status(F.col("ts")).alias("status"))
 
 
 SESSION = """CASE WHEN dayofweek({t}) IN (0, 6) THEN 'CLOSED' WHEN hour({t}) * 60 + minute({t}) BETWEEN 540 AND 554 THEN 'PRE_OPEN'
@@ -72,16 +70,15 @@ CENTS = "round(({})::DECIMAL(20,6), 2)::DOUBLE"
 
 def min_history(spark, sf_dir):
     panel = tables.bars(spark, sf_dir)
-    index = tables.universe(spark, sf_dir).where("rank % 10 = 1")  # stands for the index symbols
+    index = tables.universe(spark, sf_dir).where("tier = 'SMALL'")  # stands for the index symbols
     return rounded(cleaning.exclude_symbols(cleaning.min_history(panel, 340), index))
 
 
 def upsert_dimension(spark, sf_dir):
     universe = tables.universe(spark, sf_dir)
-    parts = tables.table(spark, sf_dir, "part").where("p_size <= 3").select(
-        F.concat(F.lit("New"), F.col("p_brand")).alias("symbol"), F.col("p_name").alias("name"), F.col("p_type").alias("sector"), "p_partkey"
-    )
-    source = parts.unionByName(parts.withColumn("symbol", F.substring("symbol", 4, 20)).where("p_partkey % 2 = 0"))
+    # each part brings its brand, which is known, and its brand with its size, which is new
+    parts = tables.table(spark, sf_dir, "part").select(F.col("p_brand").alias("symbol"), F.col("p_name").alias("name"), F.col("p_type").alias("sector"), "p_partkey", "p_size")
+    source = parts.unionByName(parts.withColumn("symbol", F.concat_ws("/", "symbol", "p_size"))).drop("p_size")
     return cleaning.upsert_dimension(universe.select("symbol", "name", "sector"), source, "symbol", "p_partkey")
 
 
@@ -127,12 +124,14 @@ def make_folds(spark, sf_dir):
 
 def fold_assignment(spark, sf_dir):
     panel = tables.bars(spark, sf_dir).select("symbol", "bar")
-    return labels.assign_folds(panel, labels.make_folds(panel)).groupBy("fold", "role").agg(F.count("*").alias("n"), F.min("bar").cast("string").alias("first"), F.max("bar").cast("string").alias("last"))
+    return rounded(labels.assign_folds(panel, labels.make_folds(panel)).select("fold", "role", "symbol", "bar"))
 
 
 def benchmark_align(spark, sf_dir):
     panel = tables.bars(spark, sf_dir)
-    sparse = tables.benchmark(panel).where(F.dayofyear("bar") % 3 == 0)  # with gaps, so that values are carried on
+    # one value a month, so that it is carried on over the month's other bars
+    monthly = tables.benchmark(panel).groupBy(F.date_trunc("month", "bar").alias("month")).agg(F.max("bar").alias("bar"), F.max_by("bclose", "bar").alias("bclose"))
+    sparse = monthly.drop("month")
     return rounded(align_benchmark(panel.select("symbol", "bar", "close"), sparse))
 
 
@@ -236,7 +235,7 @@ ORACLE_SQL = {
     ),
     "resample_monthly": sql(
         f"SELECT symbol, bar::VARCHAR AS bar, {r(PX4 + ' volume')} FROM (SELECT symbol, date_trunc('month', l_shipdate)::DATE AS bar, arg_min(px, seq) AS open, max(px) AS high, "
-        "min(px) AS low, arg_max(px, seq) AS close, sum(qty) AS volume FROM trades WHERE l_shipdate >= DATE '1998-01-01' GROUP BY ALL)"
+        "min(px) AS low, arg_max(px, seq) AS close, sum(qty) AS volume FROM trades GROUP BY ALL)"
     ),
     "normalize_quotes": sql(
         f"""SELECT CASE WHEN upper(trim(symbol)) LIKE '%.NS' THEN upper(trim(symbol)) ELSE upper(trim(symbol)) || '.NS' END AS ticker,
@@ -246,15 +245,15 @@ ORACLE_SQL = {
         CASE {SESSION.format(t="(bar + INTERVAL 570 MINUTE)")} WHEN 'OPEN' THEN 'LIVE' WHEN 'PRE_OPEN' THEN 'DELAYED' ELSE 'CLOSED' END AS freshness
         FROM (SELECT *, coalesce(nullif(prev_close, 0), price) AS b FROM quotes)"""
     ),
-    "session_status": sql(f"SELECT symbol, {SESSION.format(t='(ts + INTERVAL 330 MINUTE)')} AS status, count(*) AS n FROM ticks GROUP BY ALL"),
+    "session_status": sql(f"SELECT symbol, seq, {SESSION.format(t='(ts + INTERVAL 330 MINUTE)')} AS status FROM ticks"),
     "min_history": sql(
-        f"SELECT symbol, bar::VARCHAR AS bar, {r(PX4 + ' volume')} FROM bars WHERE symbol NOT IN (SELECT symbol FROM universe WHERE rank % 10 = 1) "
+        f"SELECT symbol, bar::VARCHAR AS bar, {r(PX4 + ' volume')} FROM bars WHERE symbol NOT IN (SELECT symbol FROM universe WHERE tier = 'SMALL') "
         "QUALIFY count(*) OVER (PARTITION BY symbol) >= 340"
     ),
     "upsert_dimension": sql(
         """SELECT symbol, coalesce(n.name, u.name) AS name, coalesce(n.sector, u.sector) AS sector FROM universe u FULL JOIN news n USING (symbol)""",
-        news="""SELECT * FROM (SELECT p_brand AS symbol, p_name AS name, p_type AS sector, p_partkey FROM part WHERE p_size <= 3 AND p_partkey % 2 = 0
-          UNION ALL SELECT 'New' || p_brand, p_name, p_type, p_partkey FROM part WHERE p_size <= 3)
+        news="""SELECT * FROM (SELECT p_brand AS symbol, p_name AS name, p_type AS sector, p_partkey FROM part
+          UNION ALL SELECT p_brand || '/' || p_size, p_name, p_type, p_partkey FROM part)
           QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY p_partkey) = 1""",
     ),
     "feed_items": sql(
@@ -297,13 +296,13 @@ ORACLE_SQL = {
         folds=FOLDS,
     ),
     "fold_assignment": sql(
-        "SELECT fold::INT AS fold, role, count(*) AS n, min(bar)::VARCHAR AS first, max(bar)::VARCHAR AS last FROM bars JOIN ranges ON bar >= lo AND bar < hi GROUP BY fold, role",
+        "SELECT fold::INT AS fold, role, symbol, bar::VARCHAR AS bar FROM bars JOIN ranges ON bar >= lo AND bar < hi",
         folds=FOLDS,
         ranges="SELECT fold, 'TRAIN' AS role, train_start AS lo, val_start AS hi FROM folds UNION ALL SELECT fold, 'VALIDATION', val_start, test_start FROM folds UNION ALL SELECT fold, 'TEST', test_start, test_end FROM folds",
     ),
     "benchmark_align": sql(
         "SELECT symbol, bar::VARCHAR AS bar, round(close, 6) AS close, round(last_value(x IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING), 6) AS bclose "
-        "FROM (SELECT b.symbol, b.bar, b.close, s.bclose AS x FROM bars b LEFT JOIN (SELECT * FROM bench WHERE dayofyear(bar) % 3 = 0) s ON b.bar = s.bar)"
+        "FROM (SELECT b.symbol, b.bar, b.close, s.bclose AS x FROM bars b LEFT JOIN (SELECT max(bar) AS bar, arg_max(bclose, bar) AS bclose FROM bench GROUP BY date_trunc('month', bar)) s ON b.bar = s.bar)"
     ),
     "forward_path": sql(
         "SELECT symbol, bar::VARCHAR AS bar, count(*) OVER w AS n, round(max(high) OVER w, 6) AS top, round(min(low) OVER w, 6) AS bottom FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)"

@@ -59,7 +59,7 @@ CTES = {
     "universe": """SELECT *, CASE WHEN rank <= 8 THEN 'LARGE' WHEN rank <= 16 THEN 'MID' ELSE 'SMALL' END AS tier FROM (
       SELECT row_number() OVER (ORDER BY p_brand) AS rank, p_brand AS symbol, min(p_name) AS name, min(string_split(p_type, ' ')[1]) AS sector
       FROM part GROUP BY p_brand)""",
-    "headlines": """SELECT doc_id AS id, substr(text, 1, 120) AS title, source,
+    "headlines": """SELECT doc_id AS id, text AS title, source,
       'https://news.example/' || source || '/' || doc_id AS url FROM documents""",
     "quotes": """SELECT symbol, bar, open, high, low, close AS price, volume, prev_close FROM (
       SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY bar) AS prev_close FROM bars)

@@ -97,8 +97,8 @@ def risk_by_horizon(spark, sf_dir):
 
 
 def equity_curve(spark, sf_dir):
-    df = outcomes.equity_curve(trades(spark, sf_dir).where("horizon = '5d'"), ["horizon"], ["exit_bar", "symbol", "bar"], 0.05)
-    return rounded(df.select("symbol", "bar", "exit_bar", "equity", "drawdown"))
+    df = outcomes.equity_curve(trades(spark, sf_dir), ["horizon"], ["exit_bar", "symbol", "bar"], 0.05)
+    return rounded(df.select("horizon", "symbol", "bar", "exit_bar", "equity", "drawdown"))
 
 
 def calibration_metrics(spark, sf_dir):
@@ -209,7 +209,7 @@ def symbol_sentiment(spark, sf_dir):
 
 def time_ago(spark, sf_dir):
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
-    return tables.ticks(spark, sf_dir).groupBy(news.time_ago(F.col("ts"), now).alias("ago")).agg(F.count("*").alias("n"))
+    return tables.ticks(spark, sf_dir).select("seq", news.time_ago(F.col("ts"), now).alias("ago"))
 
 
 def search_universe(spark, sf_dir):
@@ -256,9 +256,8 @@ def model_gates(spark, sf_dir):
 
 
 def resolved_predictions(spark, sf_dir):
-    """Stored predictions with what came of them."""
-    df = scored(spark, sf_dir).where("horizon = '5d'")
-    return rounded(df.groupBy("symbol").agg(F.count("*").alias("n"), F.avg(((F.col("prob") >= 0.5) == (F.col("ret") > 0)).cast("double")).alias("correct")))
+    """How often each symbol's predictions came true."""
+    return rounded(scored(spark, sf_dir).groupBy("symbol", "horizon").agg(F.count("*").alias("n"), F.avg(((F.col("prob") >= 0.5) == (F.col("ret") > 0)).cast("double")).alias("correct")))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -283,7 +282,9 @@ def count_of(words: list[str]) -> str:
 
 NEWS = f"""SELECT *, {case_of(news.CATEGORIES, 'Corporate')} AS category, {case_of(news.IMPACT, 'LOW')} AS impact,
   CASE WHEN plus > minus THEN 'POSITIVE' WHEN minus > plus THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS sentiment FROM (
-  SELECT *, {count_of(news.POSITIVE)} AS plus, {count_of(news.NEGATIVE)} AS minus FROM (SELECT *, lower(title) AS t FROM headlines))"""
+  SELECT *, {count_of(news.POSITIVE)} AS plus, {count_of(news.NEGATIVE)} AS minus FROM (SELECT *, lower(title) AS t FROM (
+    SELECT * REPLACE (CASE WHEN len(p) > 1 THEN trim(array_to_string(p[1:len(p) - 1], ' - ')) ELSE title END AS title,
+      CASE WHEN len(p) > 1 THEN coalesce(nullif(trim(p[len(p)]), ''), source) ELSE source END AS source) FROM (SELECT *, string_split(title, ' - ') AS p FROM headlines))))"""
 VALUED = """SELECT p.*, cur AS current_price, (qty * average)::DECIMAL(18,2) AS invested, (qty * cur2)::DECIMAL(18,2) AS current_value, (qty * today)::DECIMAL(18,2) AS today_pnl FROM (
   SELECT p.*, cur, cur::DECIMAL(18,2) AS cur2, (cur - coalesce(nullif(prev_close, 0), cur))::DECIMAL(18,2) AS today FROM (
     SELECT p.*, coalesce(nullif(q.price, 0), p.average::DOUBLE) AS cur, q.prev_close FROM held p LEFT JOIN quotes q USING (symbol)) p) p"""
@@ -340,7 +341,7 @@ ORACLE_SQL = {
         sqrt(sum(pow(0.05 * net, 2)) FILTER (net < 0) / count(*)) AS down, least(0, min(drawdown)) AS max_drawdown FROM curve GROUP BY horizon))""",
         **T, curve=CURVE,
     ),
-    "equity_curve": sql(f"SELECT {B}, exit_bar::VARCHAR AS exit_bar, {r('equity drawdown')} FROM curve WHERE horizon = '5d'", **T, curve=CURVE),
+    "equity_curve": sql(f"SELECT horizon, {B}, exit_bar::VARCHAR AS exit_bar, {r('equity drawdown')} FROM curve", **T, curve=CURVE),
     "calibration_metrics": sql(
         f"""SELECT horizon, partition, n::BIGINT AS n, {r('brier ece mce')}, k AS populated_bins, CASE WHEN ece <= 0.06 AND n >= 50 THEN 'HIGH' WHEN ece <= 0.12 AND n >= 20 THEN 'MEDIUM' ELSE 'POOR' END AS quality FROM (
         SELECT horizon, partition, {CALIBRATED} FROM (SELECT horizon, partition, {BIN} AS bin, count(*) AS n, sum(prob) AS sp, sum(outcome) AS sy, sum(pow(prob - outcome, 2)) AS se FROM scored GROUP BY ALL) GROUP BY ALL)""",
@@ -425,8 +426,8 @@ ORACLE_SQL = {
         news=NEWS, named=NAMED,
     ),
     "time_ago": sql(
-        """SELECT CASE WHEN m < 1 THEN 'Just now' WHEN m < 60 THEN m::VARCHAR || 'm ago' WHEN m < 1440 THEN (m // 60)::VARCHAR || 'h ago' ELSE (m // 1440)::VARCHAR || 'd ago' END AS ago, count(*) AS n
-        FROM (SELECT floor((epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts))) / 60)::BIGINT AS m FROM ticks) GROUP BY 1"""
+        """SELECT seq, CASE WHEN m < 1 THEN 'Just now' WHEN m < 60 THEN m::VARCHAR || 'm ago' WHEN m < 1440 THEN (m // 60)::VARCHAR || 'h ago' ELSE (m // 1440)::VARCHAR || 'd ago' END AS ago
+        FROM (SELECT seq, floor((epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts))) / 60)::BIGINT AS m FROM ticks)"""
     ),
     "search_universe": sql("SELECT * FROM universe WHERE contains(lower(symbol), 'eco') OR contains(lower(name), 'eco') OR contains(lower(sector), 'eco') ORDER BY rank LIMIT 30"),
     "screener": sql("SELECT * FROM universe WHERE tier = 'MID' AND rank <= 20 ORDER BY rank LIMIT 5 OFFSET 2"),
@@ -447,5 +448,5 @@ ORACLE_SQL = {
         SELECT horizon, {CALIBRATED} FROM (SELECT horizon, {BIN} AS bin, count(*) AS n, sum(prob) AS sp, sum(outcome) AS sy, sum(pow(prob - outcome, 2)) AS se FROM scored WHERE partition = 'VALIDATION' GROUP BY ALL) GROUP BY horizon)""",
         **S,
     ),
-    "resolved_predictions": sql("SELECT symbol, count(*) AS n, round(avg(((prob >= 0.5) = (ret > 0))::INT), 6) AS correct FROM scored WHERE horizon = '5d' GROUP BY symbol", **S),
+    "resolved_predictions": sql("SELECT symbol, horizon, count(*) AS n, round(avg(((prob >= 0.5) = (ret > 0))::INT), 6) AS correct FROM scored GROUP BY symbol, horizon", **S),
 }

@@ -20,11 +20,10 @@ LOTS = 0.0001
 
 
 def state(spark, sf_dir) -> DataFrame:
-    """Features and further inputs of each bar, with the market's regime. The features are joined to their variants by symbol and bar."""
+    """Features and further inputs of each bar, in one pass over the bars, with the market's regime (one row per bar)."""
     panel = tables.bars(spark, sf_dir)
     bench = tables.benchmark(panel)
-    extra = features.extra_features(panel, bench).select("symbol", "bar", "atr_14", "max_drawdown_60d", "gap_risk", "tail_risk_5pct", "liquidity_score")
-    df = features.feature_panel(panel, bench).join(extra, ["symbol", "bar"])
+    df = features.all_features(panel, bench, ["atr_14", "max_drawdown_60d", "gap_risk", "tail_risk_5pct", "liquidity_score"])
     regime = labels.market_regime(bench, tables.vix(bench)).select("bar", "regime")
     return df.join(regime, "bar").withColumn("news_sentiment", F.lit(None).cast("double"))
 
@@ -48,7 +47,7 @@ def risk_levels(spark, sf_dir):
 
 
 def decisions(spark, sf_dir):
-    return rated(spark, sf_dir).groupBy("regime", "decision").agg(F.count("*").alias("n"))
+    return rounded(rated(spark, sf_dir).select("symbol", "bar", "regime", "decision"))
 
 
 def scenarios(spark, sf_dir):
@@ -69,23 +68,34 @@ def movement_catalyst(spark, sf_dir):
     return rounded(layered(df, scoring.CATALYST).select("symbol", "bar", "direction", "surge", "catalyst", "confidence", "legacy_confidence"))
 
 
+def near(e: str, digits: int) -> str:
+    """Rounded by way of a decimal: halves, which are common here, go the same way wherever this is computed."""
+    return f"CAST(round(CAST({e} AS DECIMAL(24, 10)), {digits}) AS DOUBLE)"
+
+
 #: Gains and losses of a five-bar position as the fallback distribution gives them.
 RANKING = [
-    {"vol5": "round(atr_percent * sqrt(5), 4)"},
-    {"gain5": "round(0.85 * vol5, 4)"},
+    {"vol5": near("atr_percent * sqrt(5)", 4)},
+    {"gain5": near("0.85 * vol5", 4)},
     {"ev": "prob_5d * gain5 - downside * gain5", "dev": "greatest(0.01, coalesce(nullif(downside_deviation, 0), atr_p * 0.7))"},
     {
-        "low_risk": "round(0.30 * least(1.0, greatest(0, (ev + 0.02) / 0.05)) + 0.30 * least(1.0, greatest(0, (ev / dev + 0.5) / 2.5))"
-        " + 0.25 * (1 - risk_score / 100.0) + 0.15 * CASE WHEN illiquid = 1 THEN 0.3 ELSE 1.0 END, 4)",
-        "high_alpha": "round(0.30 * least(1.0, greatest(0, (ev + 0.01) / 0.08)) + 0.25 * least(1.0, greatest(0, reward_risk / 4.0)) + 0.20 * least(1.0, 1.0 / 3.0)"
-        " + 0.10 * CASE WHEN beta >= 1.1 THEN 1.0 ELSE 0.6 END - CASE WHEN vol_a > 0.45 THEN (vol_a - 0.45) * 1.5 ELSE 0 END"
-        " - CASE WHEN drawdown > 0.15 THEN (drawdown - 0.15) * 1.2 ELSE 0 END, 4)",
+        "low_risk": near(
+            "0.30 * least(1.0, greatest(0, (ev + 0.02) / 0.05)) + 0.30 * least(1.0, greatest(0, (ev / dev + 0.5) / 2.5))"
+            " + 0.25 * (1 - risk_score / 100.0) + 0.15 * CASE WHEN illiquid = 1 THEN 0.3 ELSE 1.0 END",
+            4,
+        ),
+        "high_alpha": near(
+            "0.30 * least(1.0, greatest(0, (ev + 0.01) / 0.08)) + 0.25 * least(1.0, greatest(0, reward_risk / 4.0)) + 0.20 * (CAST(1 AS DOUBLE) / 3)"
+            " + 0.10 * CASE WHEN beta >= 1.1 THEN 1.0 ELSE 0.6 END - CASE WHEN vol_a > 0.45 THEN (vol_a - 0.45) * 1.5 ELSE 0 END"
+            " - CASE WHEN drawdown > 0.15 THEN (drawdown - 0.15) * 1.2 ELSE 0 END",
+            4,
+        ),
         "sells": "CASE WHEN decision IN ('SELL', 'STRONG_SELL') THEN 1 ELSE 0 END",
         "conviction": "CAST(round(CASE decision WHEN 'STRONG_BUY' THEN 100 WHEN 'BUY' THEN 80 WHEN 'ACCUMULATE' THEN 60 ELSE 40 END + round(prob_20d * 100, 0) + reward_risk * 10, 0) AS BIGINT)",
         "alpha": "CAST(round(prob_20d * 100 + reward_risk * 20 + atr_p * 500, 0) AS BIGINT)",
-        "est_beta": "round(1.35 + atr_p * 25, 2)",
-        "target_percent": "round((target - close) / close * 100, 1)",
-        "stop_percent": "round((close - stop_loss) / close * 100, 1)",
+        "est_beta": near("1.35 + atr_p * 25", 2),
+        "target_percent": near("(target - close) / close * 100", 1),
+        "stop_percent": near("(close - stop_loss) / close * 100", 1),
     },
 ]
 #: The data's swings are far wider than a stock's, so the limits are parameters.
@@ -150,7 +160,7 @@ _OF = {c: "(rsi_14 - 50) * 0.005" if c == "rsi_14" else f"{c} * 0.12" if c == "n
 ORACLE_SQL = {
     "scored_signals": sql(f"SELECT {B}, signal_quality, data_quality, {r(SCORED)} FROM ({nested('state', scoring.SCORES)})"),
     "risk_levels": sql(f"SELECT {B}, risk_score, risk_state, illiquid, {r(RISKS)} FROM rated", **LOCAL),
-    "decisions": sql("SELECT regime, decision, count(*) AS n FROM rated GROUP BY ALL", **LOCAL),
+    "decisions": sql(f"SELECT {B}, regime, decision FROM rated", **LOCAL),
     "scenarios": sql(
         f"SELECT {B}, {r('bull_return base_return bear_return bull_prob base_prob bear_prob bull_price base_price bear_price support')} FROM ({nested('state', scoring.SCORES + scoring.SCENARIOS)})"
     ),

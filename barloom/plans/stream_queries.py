@@ -50,12 +50,12 @@ def stream_headlines(spark, sf_dir):
     docs = streams.stream_table(spark, f"{sf_dir}/documents.parquet")
     lines = docs.select(
         F.col("doc_id").alias("id"),
-        F.substring("text", 1, 120).alias("title"),
+        F.col("text").alias("title"),
         "source",
-        F.concat(F.lit("https://news.example/"), F.col("source"), F.lit("/"), F.sha2(F.substring("text", 1, 120), 256)).alias("url"),
+        F.concat(F.lit("https://news.example/"), F.col("source"), F.lit("/"), F.sha2("text", 256)).alias("url"),
         F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"),
     )
-    return streams.drained(streams.stream_headlines(lines), "headlines").groupBy("category", "sentiment").agg(F.count("*").alias("n"))
+    return streams.drained(streams.stream_headlines(lines), "headlines").select("url", "category", "sentiment", "impact")
 
 
 def stream_ledger(spark, sf_dir):
@@ -115,6 +115,6 @@ ORACLE_SQL = {
         "SELECT ('0x' || substr(md5(symbol), 1, 8))::BIGINT AS alert, min(ts)::VARCHAR AS ts, round(arg_min(px, row(ts, seq)), 6) AS px FROM ticks JOIN tops USING (symbol) WHERE px >= target GROUP BY symbol",
         tops="SELECT symbol, quantile_cont(px, 0.98) AS target FROM ticks GROUP BY symbol",
     ),
-    "stream_headlines": sql("SELECT category, sentiment, count(DISTINCT source || '/' || sha256(title)) AS n FROM news GROUP BY ALL", news=NEWS),
+    "stream_headlines": sql("SELECT DISTINCT url, category, sentiment, impact FROM news", news=NEWS, headlines="SELECT doc_id AS id, text AS title, source, 'https://news.example/' || source || '/' || sha256(text) AS url FROM documents"),
     "scan_bars": sql(f"SELECT symbol, bar::VARCHAR AS bar, {r('open high low close volume')} FROM bars WHERE symbol <> 'Brand#1' QUALIFY count(*) OVER (PARTITION BY symbol) >= 340"),
 }

@@ -95,10 +95,11 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as news: the whole text is searched for words."""
     docs = table(spark, sf_dir, "documents")
     return docs.select(
         F.col("doc_id").alias("id"),
-        F.substring("text", 1, 120).alias("title"),
+        F.col("text").alias("title"),
         F.col("source").alias("source"),
         F.concat(F.lit("https://news.example/"), F.col("source"), F.lit("/"), F.col("doc_id")).alias("url"),
     )

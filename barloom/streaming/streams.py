@@ -77,7 +77,8 @@ def alerts(quotes: DataFrame, wanted: DataFrame) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
             return
-        first = pd.concat(list(batches)).sort_values(["ts", "seq"]).iloc[0]
+        # of each batch only its first row is kept
+        first = pd.concat([b.nsmallest(1, ["ts", "seq"]) for b in batches]).nsmallest(1, ["ts", "seq"]).iloc[0]
         state.update((True,))
         yield pd.DataFrame([(*key, first.ts, first.px)], columns=["alert", "ts", "px"])
 
