@@ -6,11 +6,12 @@ A document's set holds the hashes of its five-word shingles; two documents link
 1. Equal sets are one set: only its first document, the representative, is compared.
 2. Tokens are ordered: those that are frequent in the corpus last, the rest by hash. Linked sets share a token among the first
    ``n - ceil(t n) + 1`` of each, so only these go to the index lists, and an entry carries its set's size and position.
-3. Within a list, blocks of positions are skipped that are too late to be a pair's first common token (:data:`WITHIN`), and
-   a pair is dropped if the tokens it shares in all lists can't make up the likeness.
+3. A list is held in the order of sizes and positions. Blocks of sizes that can't link are skipped, positions tell which entries can be a
+   pair's first common token (:data:`WITHIN`), and a pair is dropped if the tokens it shares in all lists can't make up the likeness.
 4. Lists of frequent tokens are not paired. Each of their sets is compared with the list's first set alone, and the answers of the
    others are derived: two sets of one component need no comparison, nor do sets whose distances from the first differ by more than
-   a link allows (the Jaccard distance is a metric). What is then left undecided is compared.
+   a link allows (the Jaccard distance is a metric). What is left is cut into blocks of one size, position and likeness to the first, and only
+   entries of two blocks that pass all these tests are compared; other pairs are never made.
 5. Links are joined to components.
 
 Frequent tokens come from counts over all documents: each task reports the tokens that repeat among its documents. Only those whose
@@ -18,8 +19,12 @@ sum reaches ``max(FREQUENT, rows / 8192)`` are broadcast; as the sum over all to
 are no more than 8192 times the shingles of an average set. The order only needs to be the same everywhere, so a token that
 escapes this count costs time and no result.
 
+Entries of frequent tokens aren't shuffled by token, so a token that a third of all documents hold is no task's burden; the first document of each is
+an aggregation, broadcast like the tokens themselves.
+
 Defined cases: null and empty texts have no shingles and link with nothing; fewer than five words are one shingle; a null id
-has no component; repeated rows link with each other; an empty table gives an empty result.
+has no component; repeated rows link with each other; columns other than doc_id and text are not read; an empty table gives an empty result;
+a very long text is one task's set, eight bytes a word.
 """
 
 from __future__ import annotations
@@ -156,13 +161,16 @@ def read_lists(percent: int, paired: int):
     """
 
     def pairs(group: np.ndarray) -> np.ndarray:
-        i, j = np.triu_indices(group.shape[1], 1)
+        group = group[:, np.argsort(group[2], kind="stable")]  # by size, then position
         n, at, late = group[2] >> 32, group[2] & 0xFFFFFFFF, group[3] >> 1
-        keep = np.maximum(n[i], n[j]) * percent <= np.minimum(n[i], n[j]) * 100
-        i, j = i[keep], j[keep]
+        # each entry meets those after it, up to the largest size that can link with its own
+        counts = np.searchsorted(n, n * 100 // percent, side="right") - np.arange(len(n)) - 1
+        i = np.repeat(np.arange(len(n)), counts)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
         room = np.minimum(n[i] - at[i], n[j] - at[j])
         kind = np.where(room * (100 + percent) >= percent * (n[i] + n[j]), 0, 3)
-        return np.stack([kind, group[1][i], group[1][j], n[i] << 32 | n[j], np.minimum(late[i], late[j])])
+        a, b = np.where(group[1][i] < group[1][j], (i, j), (j, i))
+        return np.stack([kind, group[1][a], group[1][b], n[a] << 32 | n[b], np.minimum(late[i], late[j])])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: np.ndarray | None = None
@@ -271,8 +279,14 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, frequent_least:
         (F.col("n") * (1 << 32) + F.col("at")).alias("placed"),
         (F.col("late") * 2 + (F.col("at") >= F.expr(prefix_sql("n", percent)) - F.col("late")).cast("long")).alias("late"),
     )
-    listed = packed.repartition("token").sortWithinPartitions("token", "doc_id").mapInArrow(read_lists(percent, paired), LISTED)
-    listed = staged(listed, "join-listed")
+    packed = staged(packed, "join-entries")
+    often = packed.where("late % 2 = 1")
+    heads = F.broadcast(often.groupBy("token").agg(F.min("doc_id").alias("head")))
+    zero = F.lit(0).cast("long")
+    with_head = often.join(heads, "token").where("doc_id <> head").select(zero + 1, "head", "doc_id", zero, zero)
+    of_often = often.select(zero + 2, "token", "doc_id", "placed", zero)
+    lists = packed.where("late % 2 = 0").repartition("token").sortWithinPartitions("token", "doc_id").mapInArrow(read_lists(percent, paired), LISTED)
+    listed = staged(lists.union(with_head).union(of_often), "join-listed")
 
     plain = listed.where("kind IN (0, 3)").groupBy("a", "b", "c", "d").agg(F.count("*").alias("shared"), F.min("kind").alias("kind")).where("kind = 0")
     late = listed.where("kind = 2 AND d = 1").groupBy("b").agg(F.count("*").alias("more"))
@@ -308,20 +322,36 @@ def prefix_sql(n: str, percent: int) -> str:
 
 
 def undecided(entries: DataFrame, parts: DataFrame, results: DataFrame, percent: int) -> DataFrame:
-    """Pairs of unpaired lists that neither components nor distances from the list's first document decide."""
+    """Pairs of unpaired lists that neither components nor distances from the list's first document decide.
+
+    Entries are cut into blocks of one token, size, position and likeness (in twentieths); the blocks of a token are matched within a band of
+    sizes, and only entries of matching blocks are paired.
+    """
     placed = entries.select(F.col("a").alias("token"), F.col("b").alias("doc"), F.shiftright("c", 32).alias("n"), F.col("c").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"))
     placed = placed.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     several = placed.groupBy("token").agg(F.min("doc").alias("first"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     likeness = results.select(F.col("a").alias("first"), F.col("b").alias("doc"), (F.col("both") / F.col("either")).alias("likeness"))
     judged = placed.join(several.select("token", "first"), "token").join(likeness, ["first", "doc"], "left")
-    judged = staged(judged.withColumn("likeness", F.when(F.col("doc") == F.col("first"), 1.0).otherwise(F.col("likeness"))), "join-judged")
-    apart = f"abs(a.likeness - b.likeness) <= {(100 - percent) / 100 + 1e-9}"
-    return (
-        judged.alias("a")
-        .join(judged.alias("b"), F.expr(f"a.token = b.token AND a.doc < b.doc AND a.component <> b.component AND {apart} AND {WITHIN.format(p=percent)}"))
-        .select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"))
-        .distinct()
-    )
+    judged = judged.withColumn("likeness", F.when(F.col("doc") == F.col("first"), 1.0).otherwise(F.col("likeness")))
+    judged = staged(judged.withColumn("step", F.floor(F.col("likeness") * 20)), "join-judged")
+
+    key = ["token", "n", "at", "step"]
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
+    blocks = judged.groupBy(*key).agg(*[f(c).alias(f"{name}_{c}") for c in ("component", "likeness") for name, f in (("low", F.min), ("high", F.max))])
+    blocks = staged(blocks.withColumn("band", band), "join-blocks")
+    a, b = blocks.alias("a"), blocks.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).alias("b")
+    far = (100 - percent) / 100 + 1e-9
+    # the larger one is a; of blocks of one size the later, or the same
+    matching = f"""a.token = b.token AND a.band = b.band AND b.n * 100 >= {percent} * a.n AND {WITHIN.format(p=percent)}
+        AND (a.n > b.n OR (a.n = b.n AND (a.at > b.at OR (a.at = b.at AND a.step >= b.step))))
+        AND a.low_likeness - b.high_likeness <= {far} AND b.low_likeness - a.high_likeness <= {far}
+        AND NOT (a.low_component = a.high_component AND b.low_component = b.high_component AND a.low_component = b.low_component)"""
+    met = a.join(b, F.expr(matching)).select("a.token", *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ab" for c in key[1:]])
+    one, other = (judged.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("n", "at", "step", "doc", "component", "likeness")]) for side in "ab")
+    both = met.join(one, ["token", "a_n", "a_at", "a_step"]).join(other, ["token", "b_n", "b_at", "b_step"])
+    same = "a_n = b_n AND a_at = b_at AND a_step = b_step"
+    kept = both.where(f"a_component <> b_component AND abs(a_likeness - b_likeness) <= {far} AND a_doc <> b_doc AND (NOT ({same}) OR a_doc < b_doc)")
+    return kept.select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b")).distinct()
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
