@@ -135,6 +135,11 @@ def inputs() -> dict[str, Column]:
     return {c: F.coalesce(finite(e), F.lit(DEFAULTS[c])) for c, e in values.items()}
 
 
+def warm(features: DataFrame, least: int = 50) -> DataFrame:
+    """Only bars that have ``least`` bars of their symbol up to them: before that there are no features."""
+    return features.where(F.col("rn") + 1 >= least)
+
+
 def drawdown(values: Column) -> Column:
     """The deepest fall from a peak within an array, as a positive share."""
     start = F.struct(F.lit(None).cast("double").alias("peak"), F.lit(0.0).alias("dd"))

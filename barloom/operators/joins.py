@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,15 +42,31 @@ def enrich_trades(trades: DataFrame, universe: DataFrame, quotes: DataFrame) ->
     )
 
 
+#: Names that are broadcast at once.
+NAMES = 10_000
+
+
+def containing(texts: DataFrame, names: DataFrame, met: Column) -> DataFrame:
+    """``texts`` joined with the ``names`` (one row per symbol, with ``symbol``) that ``met`` finds in them.
+
+    A containment join has no key: the names are broadcast, beyond ``NAMES`` of them in blocks of so many, one after the other.
+    """
+    blocks = -(-names.count() // NAMES)
+    if blocks <= 1:
+        return texts.join(F.broadcast(names), met)
+    parts = [texts.join(F.broadcast(names.where(F.pmod(F.xxhash64("symbol"), F.lit(blocks)) == k)), met) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def tag_headlines(headlines: DataFrame, universe: DataFrame) -> DataFrame:
     """The first symbol, by rank, whose ticker (from three letters) or name's first word (from four) stands in the title.
 
-    A containment join has no key; the universe is a bounded dimension, so it is broadcast.
+    The join is :func:`containing`.
     """
     words = universe.select("rank", "symbol", F.lower("symbol").alias("_t"), F.lower(F.split("name", " ")[0]).alias("_w"))
     title = F.lower("title")
     hit = ((F.length("_t") >= 3) & title.contains(F.col("_t"))) | ((F.length("_w") >= 4) & title.contains(F.col("_w")))
-    tagged = headlines.select("id", "title").join(F.broadcast(words), hit).groupBy("id").agg(F.min_by("symbol", "rank").alias("affected"))
+    tagged = containing(headlines.select("id", "title"), words, hit).groupBy("id").agg(F.min_by("symbol", "rank").alias("affected"))
     return headlines.join(tagged, "id", "left")
 
 
@@ -77,7 +95,7 @@ def calibrate(scored: DataFrame, knots: DataFrame, prob: str = "prob") -> DataFr
         F.when(F.col("_k").isNull() | (n < 2), F.round("_p", 4))
         .when(F.col("_p") <= first["x"], first["y"])
         .when(F.col("_p") >= last["x"], last["y"])
-        .otherwise(F.round(clamp(between, 0.05, 0.95), 4))
+        .otherwise(F.round(clamp(between, 0.05, 0.95).cast("decimal(24,10)"), 4).cast("double"))
     )
     return df.withColumn("calibrated", value).drop("_k", "_p")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -13,9 +14,11 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.columns import clamp, sigmoid
 from barloom.operators import labels, outcomes
 from barloom.operators.features import DEFAULTS, feature_panel
 from barloom.sources import tables
+from barloom.sources.shared import shared_path
 
 INPUTS = [c for c in DEFAULTS if c not in ("annualized_volatility", "momentum_5", "momentum_20")]
 
@@ -35,37 +38,107 @@ def logistic_weights(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.createDataFrame(rows, "input string, weight double")
 
 
-def walk_forward(frame: DataFrame, panel: DataFrame, rounds: int = 5) -> DataFrame:
-    """Boosted trees by fold: fitted on training rows, stopped by validation rows, measured on test rows. Folds are fitted one after the other, each fit is distributed."""
+#: The inputs of the linear score.
+LINEAR = [
+    "rsi_14", "macd_hist", "sma_20_dist", "sma_50_dist", "ema_20_dist", "atr_percent", "bb_width", "stoch_k", "volume_z_score", "annualized_volatility",
+    "downside_deviation", "beta_nifty", "relative_strength_nifty", "momentum_5", "momentum_20",
+]
+
+
+def score_logistic(df: DataFrame, weights: DataFrame, bias: float = 0.0, out: str = "prob") -> DataFrame:
+    """``df`` with a probability by ``weights`` (input, mean, std, weight; a row per input): a standardised dot product through a sigmoid, clamped.
+
+    An unknown input counts as its mean.
+    """
+    z = F.lit(bias)
+    for r in weights.orderBy("input").collect():
+        x = F.when(F.col(r.input).isNull() | F.isnan(r.input), F.lit(r.mean)).otherwise(F.col(r.input))
+        z = z + (x - F.lit(r.mean)) / F.lit(r.std or 1.0) * F.lit(r.weight or 0.0)
+    return df.withColumn(out, F.round(clamp(sigmoid(clamp(z, -10, 10)), 0.05, 0.95).cast("decimal(20,10)"), 4).cast("double"))
+
+
+def linear_weights(frame: DataFrame) -> DataFrame:
+    """A weight per input, its correlation with the label: a plain linear score's table, from one aggregation."""
+    of = [F.struct(F.lit(c).alias("input"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.corr(c, "label").alias("weight")) for c in LINEAR]
+    return frame.agg(F.array(*of).alias("w")).select(F.explode("w").alias("w")).select("w.*")
+
+
+def with_vector(frame: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=INPUTS, outputCol="features").transform(frame).select("symbol", "bar", "features", "label")
+
+
+def score_model(model, rows: DataFrame) -> DataFrame:
+    """Probabilities of a fitted model, clamped and to four decimals; ``label`` becomes ``outcome``."""
+    p = F.get(vector_to_array("probability"), F.lit(1))
+    return model.transform(rows).withColumn("prob", F.round(clamp(p, 0.05, 0.95), 4)).withColumnRenamed("label", "outcome")
+
+
+def fold_predictions(frame: DataFrame, panel: DataFrame, rounds: int = 5) -> DataFrame | None:
+    """Boosted trees by fold, fitted on training rows and stopped by validation rows: predictions of validation and test rows.
+
+    Folds without 50 training, 20 validation and 20 test rows are left out. Folds are fitted one after the other, each fit is distributed.
+    """
     spark = frame.sparkSession
-    frame = VectorAssembler(inputCols=INPUTS, outputCol="features").transform(frame).select("symbol", "bar", "features", "label").cache()
-    out = None
+    frame = with_vector(frame).cache()
+    out = []
     for fold in labels.make_folds(panel).collect():
         rows = labels.assign_folds(frame, spark.createDataFrame([fold.asDict()], labels.make_folds(panel).schema))
-        fitted = rows.where("role <> 'TEST'").withColumn("held", F.col("role") == "VALIDATION")
-        if fitted.where("NOT held").count() < 50 or fitted.where("held").count() < 20:
-            continue
-        model = GBTClassifier(maxIter=rounds, maxDepth=3, validationIndicatorCol="held", seed=7).fit(fitted)
-        tested = model.transform(rows.where("role = 'TEST'")).select(F.lit(fold["fold"]).alias("fold"), F.get(vector_to_array("probability"), F.lit(1)).alias("prob"), F.col("label").alias("outcome"))
-        out = tested if out is None else out.unionByName(tested)
-    metrics = outcomes.calibration_metrics(out, ["fold"]).select("fold", "n", "brier", "ece")
-    return metrics.join(outcomes.auc(out, ["fold"]).select("fold", "auc", "accuracy"), "fold")
+        sizes = {r.role: r["count"] for r in rows.groupBy("role").count().collect()}
+        if all(sizes.get(role, 0) >= least for role, least in (("TRAIN", 50), ("VALIDATION", 20), ("TEST", 20))):
+            fitted = rows.where("role <> 'TEST'").withColumn("held", F.col("role") == "VALIDATION")
+            model = GBTClassifier(maxIter=rounds, maxDepth=3, validationIndicatorCol="held", seed=7).fit(fitted)
+            out.append(score_model(model, rows.where("role <> 'TRAIN'")).select(F.lit(fold["fold"]).alias("fold"), "role", "symbol", "bar", "prob", "outcome"))
+    done = staged(reduce(DataFrame.unionByName, out)) if out else None
+    frame.unpersist()
+    return done
+
+
+def staged(df: DataFrame) -> DataFrame:
+    path = shared_path(df.sparkSession, "predictions")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def walk_forward(predictions: DataFrame) -> DataFrame:
+    """Test metrics by fold of :func:`fold_predictions`."""
+    tested = predictions.where("role = 'TEST'")
+    metrics = outcomes.calibration_metrics(tested, ["fold"]).select("fold", "n", "brier", "ece")
+    return metrics.join(outcomes.auc(tested, ["fold"]).select("fold", "auc", "accuracy"), "fold")
 
 
-def isotonic_knots(scored: DataFrame, points: int = 10, least: int = 15, prior: int = 10) -> DataFrame:
-    """Knots per horizon on a grid of probabilities: isotonic fits, pulled towards one half where few rows support them, non-decreasing."""
+def final_fit_holdout(frame: DataFrame, panel: DataFrame, rounds: int = 5, holdout: int = 6) -> tuple[object, DataFrame]:
+    """The model fitted on all rows before the last ``holdout`` months of ``panel``, and its metrics on the rows after (one row)."""
+    start = panel.agg(F.add_months(F.max("bar"), -holdout)).first()[0]
+    frame = with_vector(frame).cache()
+    model = GBTClassifier(maxIter=rounds, maxDepth=3, seed=7).fit(frame.where(F.col("bar") < F.lit(start)))
+    held = staged(score_model(model, frame.where(F.col("bar") >= F.lit(start))).select("bar", "prob", "outcome")).withColumn("model", F.lit("final"))
+    frame.unpersist()
+    right = (F.col("prob") > 0.5) == (F.col("outcome") == 1)
+    sums = held.groupBy("model").agg(F.min("bar").alias("first"), F.max("bar").alias("last"), F.count("*").alias("n"), F.avg(F.pow(F.col("prob") - F.col("outcome"), 2)).alias("brier"), (F.avg(right.cast("double")) * 100).alias("win_rate"))
+    return model, sums.join(outcomes.auc(held, ["model"]).select("model", "auc", "accuracy"), "model")
+
+
+def isotonic_knots(scored: DataFrame, points: int = 10, least: int = 15, prior: int = 10, enough: int = 20) -> DataFrame:
+    """Knots per horizon on a grid of probabilities: isotonic fits, pulled towards one half where few rows support them, non-decreasing.
+
+    A horizon with under ``enough`` rows has no knots but one row that says so (``status``).
+    """
     grid = [round(0.05 + 0.9 * k / (points - 1), 3) for k in range(points)]
-    out = None
+    out = scored.sparkSession.createDataFrame([], "horizon string, x double, fit double, support bigint, status string")
+    sizes = {r.horizon: r["count"] for r in scored.groupBy("horizon").count().collect()}
     for horizon in ("1d", "5d", "20d"):
+        if sizes.get(horizon, 0) < enough:
+            out = out.unionByName(scored.sparkSession.createDataFrame([(horizon, None, None, sizes.get(horizon, 0), "INSUFFICIENT_DATA")], out.schema))
+            continue
         own = scored.where(F.col("horizon") == horizon).select("prob", F.col("outcome").alias("label"))
         model = IsotonicRegression(featuresCol="prob", labelCol="label").fit(VectorAssembler(inputCols=["prob"], outputCol="v").transform(own).drop("prob").withColumnRenamed("v", "prob"))
         near = own.select(F.explode(F.array(*[F.when(F.abs(F.col("prob") - x) <= 0.08, F.lit(x)) for x in grid])).alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count("*").alias("support"))
         fits = own.sparkSession.createDataFrame([(x, min(0.95, max(0.05, float(model.predict(x))))) for x in grid], "x double, fit double")
-        knots = fits.join(near, "x", "left").select(F.lit(horizon).alias("horizon"), "x", "fit", F.coalesce("support", F.lit(0)).alias("support"))
-        out = knots if out is None else out.unionByName(knots)
+        knots = fits.join(near, "x", "left").select(F.lit(horizon).alias("horizon"), "x", "fit", F.coalesce("support", F.lit(0)).alias("support"), F.lit("OK").alias("status"))
+        out = out.unionByName(knots)
     pulled = F.when(F.col("support") < least, (F.col("fit") * F.col("support") + 0.5 * prior) / (F.col("support") + prior)).otherwise(F.col("fit"))
     up = Window.partitionBy("horizon").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    return out.select("horizon", "x", F.max(F.round(pulled, 3)).over(up).alias("y"), "support")
+    return out.select("horizon", "x", F.max(F.round(pulled, 3)).over(up).alias("y"), "support", "status")
 
 
 def score_external(df: DataFrame, model: Callable[[pd.DataFrame], pd.Series], columns: list[str], out: str = "prob") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.operators.joins import containing
+
 #: Keywords by category in order of precedence, of sentiment, and by impact.
 CATEGORIES = {
     "Macro": ["rbi", "inflation", "gdp", "fed", "deficit", "rupee", "repo"],
@@ -80,21 +82,30 @@ def time_ago(published: Column, now: Column) -> Column:
 
 
 def symbol_sentiment(classified: DataFrame, universe: DataFrame) -> DataFrame:
-    """A score of -20 to 20 per symbol: headlines that name it weigh more than those that name its sector.
+    """A score of -20 to 20 per symbol: headlines that name it weigh more than those that name its sector. Hits are summed before the shuffle."""
+    sums = mentions(classified, universe).groupBy("symbol").agg(F.sum("points").alias("sum"), F.count("*").alias("news"), F.min_by("title", "id").alias("headline"))
+    out = universe.select("symbol").join(sums, "symbol", "left").select("symbol", clamped("sum").alias("score"), F.coalesce("news", F.lit(0)).alias("news"), "headline")
+    return structured(out.withColumn("label", label()))
+
+
+def clamped(total: str) -> Column:
+    return F.greatest(F.lit(-20), F.least(F.lit(20), F.coalesce(total, F.lit(0)))).cast("long")
+
+
+def label() -> Column:
+    return F.when(F.col("score") >= 4, "BULLISH").when(F.col("score") <= -4, "BEARISH").otherwise("NEUTRAL")
+
 
-    A containment join has no key; the universe is a bounded dimension and broadcast, and hits are summed before the shuffle.
-    """
+def mentions(classified: DataFrame, universe: DataFrame) -> DataFrame:
+    """``classified`` headlines by the symbols they name or whose sector they name, with the points that each counts."""
     words = universe.select("symbol", F.lower("symbol").alias("_t"), F.lower(F.split("name", " ")[0]).alias("_w"), F.lower("sector").alias("_s"))
     title = F.lower("title")
     direct = ((F.length("_t") >= 3) & title.contains(F.col("_t"))) | ((F.length("_w") >= 4) & title.contains(F.col("_w")))
     sector = (F.length("_s") >= 3) & title.contains(F.col("_s"))
-    met = classified.select("id", "title", "sentiment", "impact").join(F.broadcast(words), direct | sector)
+    met = containing(classified, words, direct | sector)
     weight = F.when(direct, F.when(F.col("impact") == "HIGH", 8).when(F.col("impact") == "MEDIUM", 5).otherwise(3)).otherwise(F.when(F.col("impact") == "HIGH", 3).otherwise(2))
     sign = F.when(F.col("sentiment") == "POSITIVE", 1).when(F.col("sentiment") == "NEGATIVE", -1).otherwise(0)
-    sums = met.groupBy("symbol").agg(F.sum(weight * sign).alias("sum"), F.count("*").alias("news"), F.min_by("title", "id").alias("headline"))
-    score = F.greatest(F.lit(-20), F.least(F.lit(20), F.coalesce("sum", F.lit(0)))).cast("long")
-    out = universe.select("symbol").join(sums, "symbol", "left").select("symbol", score.alias("score"), F.coalesce("news", F.lit(0)).alias("news"), "headline")
-    return structured(out.withColumn("label", F.when(F.col("score") >= 4, "BULLISH").when(F.col("score") <= -4, "BEARISH").otherwise("NEUTRAL")))
+    return met.withColumn("points", weight * sign).drop("_t", "_w", "_s")
 
 
 def structured(scored: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import money, return_percent
+from barloom.functions.columns import money, money_times, return_percent
 
 HOLDINGS = "portfolio long, symbol string, qty long, average double, cash double, accepted long, rejected long"
 
@@ -75,6 +75,22 @@ def concentration(valued: DataFrame, universe: DataFrame, cash: float = 1_000_00
     )
 
 
+def journal(trades: DataFrame, universe: DataFrame, text: str = "", side: str | None = None, order: str = "newest") -> DataFrame:
+    """Trades whose symbol or name holds ``text``, of one side or both, in order: ``newest``, ``oldest`` or ``highest_value``."""
+    value = money_times(F.col("qty"), F.col("price"))
+    named = trades.join(universe.select("symbol", "name"), "symbol", "left").withColumn("value", value)
+    found = F.lower("symbol").contains(text.lower()) | F.coalesce(F.lower("name").contains(text.lower()), F.lit(False))
+    kept = named.where(found & (F.col("side") == side if side else F.lit(True)))
+    return kept.orderBy({"newest": F.desc("ts"), "oldest": F.asc("ts"), "highest_value": F.desc("value")}[order])
+
+
+def user_alerts(alerts: DataFrame) -> DataFrame:
+    """Active alerts (user, symbol, level, condition, created, active), each user's newest first, with the condition's shown name."""
+    shown = F.when(F.col("condition") == "GREATER_THAN", "ABOVE").otherwise("BELOW")
+    place = F.row_number().over(Window.partitionBy("user").orderBy(F.desc("created"), "symbol", "level"))
+    return alerts.where("active").select("user", "symbol", "level", shown.alias("condition"), "created", place.cast("long").alias("place"))
+
+
 def brackets(buys: DataFrame) -> DataFrame:
     """Stop and target of buys (price, model_stop, model_target): 5% under and 8% over, unless the model's lie on the right side."""
     price = F.col("price")

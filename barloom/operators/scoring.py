@@ -5,7 +5,7 @@ Formulas are levels of SQL expressions, so that one definition serves batches, s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import layered
@@ -164,15 +164,28 @@ def contributions(scored: DataFrame) -> DataFrame:
     return scored.select("symbol", "bar", F.posexplode(ordered).alias("place", "c")).select("symbol", "bar", "place", "c.*")
 
 
-def evidence(scored: DataFrame) -> DataFrame:
-    """Texts that speak for a score, each with its kind and weight."""
+def tenths(x: Column) -> Column:
+    """One decimal, as text."""
+    return F.round(x, 1).cast("decimal(20,1)").cast("string")
+
+
+def evidence(scored: DataFrame, news: DataFrame | None = None) -> DataFrame:
+    """Texts that speak for a score, each with its kind and weight. ``news`` holds a row per symbol (symbol, headline, score, severity, event)."""
+    if news is None:
+        scored = scored.withColumn("news", F.lit(None).cast("struct<headline: string, score: bigint, severity: string, event: string>"))
+    else:
+        scored = scored.join(news.select("symbol", F.struct("headline", "score", "severity", "event").alias("news")), "symbol", "left")
+    plus = F.when(F.col("news.score") > 0, "+").otherwise("")
+    told = F.concat(F.lit("["), F.col("news.event"), F.lit("] "), F.col("news.headline"), F.lit(" (sentiment "), plus, F.col("news.score").cast("string"), F.lit(", severity "), F.col("news.severity"), F.lit(")"))
+    z = F.col("volume_z_score")
     dist = F.col("sma_50_dist") * 100
     stance = F.when(F.col("rsi_14") > 70, "overbought").when(F.col("rsi_14") < 30, "oversold").otherwise("balanced")
     signed = F.when(dist >= 0, "+").otherwise("")
     items = [
-        F.struct(F.lit("TECHNICAL").alias("kind"), F.concat(F.lit("RSI(14) is "), stance).alias("text"), F.lit(0.25).alias("weight")),
-        F.struct(F.lit("TREND").alias("kind"), F.concat(signed, F.round(dist, 1).cast("decimal(20,1)").cast("string"), F.lit("% from the 50-bar mean")).alias("text"), F.lit(0.20).alias("weight")),
-        F.when(F.abs("volume_z_score") > 1, F.struct(F.lit("LIQUIDITY").alias("kind"), F.when(F.col("volume_z_score") > 1.5, "volume far above usual").otherwise("volume unusual").alias("text"), F.lit(0.15).alias("weight"))),
+        F.when(F.col("news.headline").isNotNull(), F.struct(F.lit("NEWS").alias("kind"), told.alias("text"), F.lit(0.30).alias("weight"))),
+        F.struct(F.lit("TECHNICAL").alias("kind"), F.concat(F.lit("RSI(14) at "), tenths(F.col("rsi_14")), F.lit(", "), stance).alias("text"), F.lit(0.25).alias("weight")),
+        F.struct(F.lit("TREND").alias("kind"), F.concat(signed, tenths(dist), F.lit("% from the 50-bar mean")).alias("text"), F.lit(0.20).alias("weight")),
+        F.when(F.abs("volume_z_score") > 1, F.struct(F.lit("LIQUIDITY").alias("kind"), F.concat(F.lit("volume z-score "), F.when(z >= 0, "+").otherwise(""), tenths(z), F.lit(", "), F.when(z > 1.5, "far above usual").otherwise("unusual")).alias("text"), F.lit(0.15).alias("weight"))),
         F.struct(F.lit("REGIME").alias("kind"), F.concat(F.lit("regime "), F.col("regime")).alias("text"), F.lit(0.10).alias("weight")),
     ]
     return scored.select("symbol", "bar", F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("e")).select("symbol", "bar", "e.*")

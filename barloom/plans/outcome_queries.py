@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import rounded
 from barloom.operators import joins, labels, news, outcomes, portfolio, scoring
 from barloom.plans.data_queries import NAMED, POSITIONS, decimals, named, positions
+from barloom.plans.news_sql import NEWS, TOLD
 from barloom.plans.oracle import layered as nested
 from barloom.plans.oracle import rounded as r
 from barloom.plans.oracle import sql
@@ -268,23 +269,6 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 
-def any_of(words: list[str]) -> str:
-    return "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
-
-
-def case_of(sets: dict[str, list[str]], other: str) -> str:
-    return "CASE " + " ".join(f"WHEN {any_of(words)} THEN '{name}'" for name, words in sets.items()) + f" ELSE '{other}' END"
-
-
-def count_of(words: list[str]) -> str:
-    return "(" + " + ".join(f"contains(t, '{w}')::INT" for w in words) + ")"
-
-
-NEWS = f"""SELECT *, {case_of(news.CATEGORIES, 'Corporate')} AS category, {case_of(news.IMPACT, 'LOW')} AS impact,
-  CASE WHEN plus > minus THEN 'POSITIVE' WHEN minus > plus THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS sentiment FROM (
-  SELECT *, {count_of(news.POSITIVE)} AS plus, {count_of(news.NEGATIVE)} AS minus FROM (SELECT *, lower(title) AS t FROM (
-    SELECT * REPLACE (CASE WHEN len(p) > 1 THEN trim(array_to_string(p[1:len(p) - 1], ' - ')) ELSE title END AS title,
-      CASE WHEN len(p) > 1 THEN coalesce(nullif(trim(p[len(p)]), ''), source) ELSE source END AS source) FROM (SELECT *, string_split(title, ' - ') AS p FROM headlines))))"""
 VALUED = """SELECT p.*, cur AS current_price, (qty * average)::DECIMAL(18,2) AS invested, (qty * cur2)::DECIMAL(18,2) AS current_value, (qty * today)::DECIMAL(18,2) AS today_pnl FROM (
   SELECT p.*, cur, cur::DECIMAL(18,2) AS cur2, (cur - coalesce(nullif(prev_close, 0), cur))::DECIMAL(18,2) AS today FROM (
     SELECT p.*, coalesce(nullif(q.price, 0), p.average::DOUBLE) AS cur, q.prev_close FROM held p LEFT JOIN quotes q USING (symbol)) p) p"""
@@ -368,7 +352,7 @@ ORACLE_SQL = {
     "binned_isotonic": sql(f"SELECT horizon, {r('x y')}, n FROM knots", **S, bins8=BINS8, blocks=BLOCKS, knots=KNOTS),
     "calibrated": sql(
         f"""SELECT {B}, horizon, prob + 0.0 AS prob, CASE WHEN p <= min_x THEN min_y WHEN p >= max_x THEN max_y
-        ELSE round(greatest(0.05, least(0.95, y0 + (p - x0) / (x1 - x0) * (y1 - y0))), 4) END AS calibrated FROM (
+        ELSE round(greatest(0.05, least(0.95, y0 + (p - x0) / (x1 - x0) * (y1 - y0)))::DECIMAL(24, 10), 4)::DOUBLE END AS calibrated FROM (
         SELECT s.symbol, s.bar, s.horizon, s.prob, greatest(0.01, least(0.99, s.prob)) AS p, e.*, k.x0, k.y0, k.x1, k.y1 FROM scored s
         JOIN (SELECT horizon AS hz, min(x) AS min_x, max(x) AS max_x, arg_min(y, x) AS min_y, arg_max(y, x) AS max_y FROM knots GROUP BY 1) e ON e.hz = s.horizon
         LEFT JOIN (SELECT horizon, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM knots WINDOW w AS (PARTITION BY horizon ORDER BY x)) k
@@ -416,13 +400,7 @@ ORACLE_SQL = {
     ),
     "classify_headlines": sql("SELECT id, category, sentiment, impact, 'news_' || substr(base64(encode(url)), 1, 16) AS article_id, source, length(title) AS title_length FROM news", news=NEWS),
     "symbol_sentiment": sql(
-        f"""SELECT symbol, score, news, headline, label, CASE WHEN score >= 25 THEN 'VERY_BULLISH' WHEN score >= 8 THEN 'BULLISH' WHEN score <= -25 THEN 'VERY_BEARISH' WHEN score <= -8 THEN 'BEARISH' ELSE 'NEUTRAL' END AS level,
-        CASE WHEN abs(score) >= 35 THEN 'CRITICAL' WHEN abs(score) >= 20 THEN 'HIGH' WHEN abs(score) >= 10 THEN 'MEDIUM' WHEN abs(score) > 0 THEN 'LOW' ELSE 'NONE' END AS severity, {case_of(news.EVENTS, 'GENERAL')} AS event FROM (
-        SELECT *, lower(coalesce(headline, '')) AS t, CASE WHEN score >= 4 THEN 'BULLISH' WHEN score <= -4 THEN 'BEARISH' ELSE 'NEUTRAL' END AS label FROM (
-        SELECT u.symbol, greatest(-20, least(20, coalesce(sum(CASE WHEN m.direct THEN CASE impact WHEN 'HIGH' THEN 8 WHEN 'MEDIUM' THEN 5 ELSE 3 END ELSE CASE WHEN impact = 'HIGH' THEN 3 ELSE 2 END END
-          * CASE sentiment WHEN 'POSITIVE' THEN 1 WHEN 'NEGATIVE' THEN -1 ELSE 0 END), 0)))::BIGINT AS score, count(m.id) AS news, arg_min(m.title, m.id) AS headline
-        FROM named u LEFT JOIN (SELECT u.symbol AS sym, n.*, contains(n.t, lower(u.symbol)) OR contains(n.t, string_split(u.name, ' ')[1]) AS direct FROM news n JOIN named u
-          ON contains(n.t, lower(u.symbol)) OR (length(string_split(u.name, ' ')[1]) >= 4 AND contains(n.t, string_split(u.name, ' ')[1])) OR contains(n.t, lower(u.sector))) m ON m.sym = u.symbol GROUP BY u.symbol))""",
+        "SELECT symbol, score, news, headline, label, level, severity, event FROM told", told=TOLD,
         news=NEWS, named=NAMED,
     ),
     "time_ago": sql(

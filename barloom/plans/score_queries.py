@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import layered, rounded
-from barloom.operators import features, labels, scoring
+from barloom.operators import features, labels, news, scoring
 from barloom.operators.features import w
 from barloom.operators.joins import latest, top
 from barloom.plans.oracle import layered as nested
 from barloom.plans.oracle import rounded as r
 from barloom.plans.oracle import sql
-from barloom.plans.data_queries import REGIME
+from barloom.plans.data_queries import NAMED, REGIME, named
+from barloom.plans.news_sql import NEWS, TOLD
 from barloom.sources import tables
 
 #: Volumes here are far below shares traded on an exchange, so the least volume is scaled.
@@ -60,7 +61,8 @@ def feature_contributions(spark, sf_dir):
 
 
 def evidence(spark, sf_dir):
-    return rounded(scoring.evidence(state(spark, sf_dir)))
+    told = news.symbol_sentiment(news.classify(tables.headlines(spark, sf_dir)), named(tables.universe(spark, sf_dir)))
+    return rounded(scoring.evidence(state(spark, sf_dir), told))
 
 
 def movement_catalyst(spark, sf_dir):
@@ -142,11 +144,11 @@ def symbol_profile(spark, sf_dir):
 
 
 def row_fingerprint(spark, sf_dir):
-    """A digest of each bar's features in name order, at two decimals as whole numbers, for finding changed rows."""
-    digits = 100
+    """A digest of each bar's features as a JSON object in name order, at six decimals, for finding changed rows."""
     names = sorted(features.DEFAULTS)
     df = features.feature_panel(panel := tables.bars(spark, sf_dir), tables.benchmark(panel))
-    text = F.concat_ws(",", *[F.concat(F.lit(f'"{c}":'), F.floor(F.col(c) * digits + 0.5).cast("bigint").cast("string")) for c in names])
+    six = {c: F.expr(f"CAST(CAST(floor({c} * 1000000 + 0.5) AS DECIMAL(20, 0)) * CAST('0.000001' AS DECIMAL(7, 6)) AS STRING)") for c in names}
+    text = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{c}":'), e) for c, e in six.items()]), F.lit("}"))
     return rounded(df.select("symbol", "bar", F.sha2(text, 256).alias("digest")))
 
 
@@ -171,11 +173,13 @@ ORACLE_SQL = {
     ),
     "evidence": sql(
         f"""SELECT {B}, kind, text, weight FROM (
-        SELECT symbol, bar, 'TECHNICAL' AS kind, 'RSI(14) is ' || CASE WHEN rsi_14 > 70 THEN 'overbought' WHEN rsi_14 < 30 THEN 'oversold' ELSE 'balanced' END AS text, 0.25::DOUBLE AS weight FROM full_state
+        SELECT s.symbol, bar, 'NEWS' AS kind, '[' || n.event || '] ' || n.headline || ' (sentiment ' || CASE WHEN n.score > 0 THEN '+' ELSE '' END || n.score || ', severity ' || n.severity || ')' AS text, 0.30::DOUBLE AS weight
+          FROM full_state s JOIN told n USING (symbol) WHERE n.headline IS NOT NULL
+        UNION ALL SELECT symbol, bar, 'TECHNICAL' AS kind, 'RSI(14) at ' || round(rsi_14, 1)::DECIMAL(20,1)::VARCHAR || ', ' || CASE WHEN rsi_14 > 70 THEN 'overbought' WHEN rsi_14 < 30 THEN 'oversold' ELSE 'balanced' END AS text, 0.25::DOUBLE AS weight FROM full_state
         UNION ALL SELECT symbol, bar, 'TREND', CASE WHEN sma_50_dist >= 0 THEN '+' ELSE '' END || round(sma_50_dist * 100, 1)::DECIMAL(20,1)::VARCHAR || '% from the 50-bar mean', 0.20 FROM full_state
-        UNION ALL SELECT symbol, bar, 'LIQUIDITY', CASE WHEN volume_z_score > 1.5 THEN 'volume far above usual' ELSE 'volume unusual' END, 0.15 FROM full_state WHERE abs(volume_z_score) > 1
+        UNION ALL SELECT symbol, bar, 'LIQUIDITY', 'volume z-score ' || CASE WHEN volume_z_score >= 0 THEN '+' ELSE '' END || round(volume_z_score, 1)::DECIMAL(20,1)::VARCHAR || ', ' || CASE WHEN volume_z_score > 1.5 THEN 'far above usual' ELSE 'unusual' END, 0.15 FROM full_state WHERE abs(volume_z_score) > 1
         UNION ALL SELECT symbol, bar, 'REGIME', 'regime ' || regime, 0.10 FROM full_state)""",
-        **LOCAL,
+        **LOCAL, told=TOLD, news=NEWS, named=NAMED,
     ),
     "movement_catalyst": sql(
         f"SELECT {B}, direction, round(surge, 6) AS surge, catalyst, confidence, legacy_confidence FROM ({nested('vols', scoring.SCORES + scoring.CATALYST)})",
@@ -205,6 +209,6 @@ ORACLE_SQL = {
         f"SELECT {B}, {r('close rsi_14 macd_hist sma_20_dist sma_50_dist bb_width atr_14 vol_20d')} FROM state QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar DESC) = 1"
     ),
     "row_fingerprint": sql(
-        f"SELECT {B}, sha256(concat_ws(',', " + ", ".join(f"""'"{c}":' || floor({c} * 100 + 0.5)::BIGINT""" for c in sorted(features.DEFAULTS)) + ")) AS digest FROM panel"
+        f"SELECT {B}, sha256('{{' || concat_ws(',', " + ", ".join(f"""'"{c}":' || (floor({c} * 1000000 + 0.5)::DECIMAL(20, 0) * 0.000001::DECIMAL(7, 6))::VARCHAR""" for c in sorted(features.DEFAULTS)) + ") || '}') AS digest FROM panel"
     ),
 }

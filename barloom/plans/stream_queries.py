@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import rounded
-from barloom.operators import models
+from barloom.operators import labels, models, scoring
+from barloom.operators.features import feature_panel
+from barloom.plans.data_queries import NAMED, named
+from barloom.plans.news_sql import NEWS
+from barloom.plans.oracle import layered as nested
 from barloom.plans.oracle import rounded as r
 from barloom.plans.oracle import sql
-from barloom.plans.outcome_queries import NEWS, scored
+from barloom.plans.outcome_queries import S, SCORES_ONLY, scored
 from barloom.sources import files, tables
 from barloom.sources.shared import shared_path
 from barloom.streaming import streams
@@ -89,7 +96,49 @@ def fit_logistic(spark, sf_dir):
 
 
 def walk_forward(spark, sf_dir):
-    return models.walk_forward(models.training_frame(spark, sf_dir), tables.bars(spark, sf_dir))
+    """Test metrics by horizon and fold."""
+    panel, out = tables.bars(spark, sf_dir), []
+    for h in ("1d", "5d", "20d"):
+        made = models.fold_predictions(models.training_frame(spark, sf_dir, h), panel)
+        out += [models.walk_forward(made).withColumn("horizon", F.lit(h))] if made is not None else []
+    return reduce(DataFrame.unionByName, out)
+
+
+def final_fit_holdout(spark, sf_dir):
+    """Holdout metrics by horizon of models fitted on everything before."""
+    panel = tables.bars(spark, sf_dir)
+    parts = [models.final_fit_holdout(models.training_frame(spark, sf_dir, h), panel)[1].withColumn("horizon", F.lit(h)) for h in ("1d", "5d", "20d")]
+    return rounded(reduce(DataFrame.unionByName, parts))
+
+
+def score_logistic(spark, sf_dir):
+    """Bars' linear scores by weights from all labelled bars."""
+    panel = tables.bars(spark, sf_dir)
+    df = feature_panel(panel, tables.benchmark(panel))
+    weights = models.linear_weights(labels.forward_labels(df).withColumn("label", F.col("target_5d")).where("label IS NOT NULL"))
+    return rounded(models.score_logistic(df, weights).select("symbol", "bar", "prob"))
+
+
+def feed(docs):
+    """Documents as a feed of headlines, a quarter of an hour apart."""
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 900)
+    url = F.concat(F.lit("https://news.example/"), F.col("source"), F.lit("/"), F.col("doc_id"))
+    return docs.select(F.col("doc_id").alias("id"), F.col("text").alias("title"), "source", url.alias("url"), at.alias("ts"))
+
+
+def stream_sentiment(spark, sf_dir):
+    docs = streams.stream_table(spark, f"{sf_dir}/documents.parquet")
+    return rounded(streams.drained(streams.stream_sentiment(feed(docs), named(tables.universe(spark, sf_dir))), "sentiment"))
+
+
+def stored_predictions(spark, sf_dir):
+    """All predictions, written by year, read back and resolved."""
+    panel = tables.bars(spark, sf_dir)
+    df = scoring.score(feature_panel(panel, tables.benchmark(panel)).withColumns({"news_sentiment": F.lit(None).cast("double"), "atr_14": F.lit(None).cast("double")}))
+    long = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"prob_{h}").alias("prob")) for h in labels.HORIZONS])
+    path = shared_path(spark, "stored-predictions")
+    files.write_predictions(df.select("symbol", "bar", F.explode(long).alias("x")).select("symbol", "bar", "x.*"), path)
+    return rounded(files.resolve_predictions(spark.read.parquet(path), panel, labels.HORIZONS))
 
 
 def fit_isotonic(spark, sf_dir):
@@ -98,6 +147,7 @@ def fit_isotonic(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     stream_latest_quote, stream_bars, stream_activity, stream_exits, stream_alerts, stream_headlines, stream_ledger, scan_bars, fit_logistic, walk_forward, fit_isotonic,
+    final_fit_holdout, score_logistic, stream_sentiment, stored_predictions,
 )}
 
 LAST = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM ticks)"
@@ -116,5 +166,29 @@ ORACLE_SQL = {
         tops="SELECT symbol, quantile_cont(px, 0.98) AS target FROM ticks GROUP BY symbol",
     ),
     "stream_headlines": sql("SELECT DISTINCT url, category, sentiment, impact FROM news", news=NEWS, headlines="SELECT doc_id AS id, text AS title, source, 'https://news.example/' || source || '/' || sha256(text) AS url FROM documents"),
+    "stream_sentiment": sql(
+        """SELECT symbol, start::VARCHAR AS start, score, news, CASE WHEN score >= 4 THEN 'BULLISH' WHEN score <= -4 THEN 'BEARISH' ELSE 'NEUTRAL' END AS label FROM (
+        SELECT symbol, start, greatest(-20, least(20, sum(points)))::BIGINT AS score, count(*) AS news FROM (SELECT symbol, points, time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS start FROM met, range(4) t(k))
+        WHERE start + INTERVAL 24 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM fed) GROUP BY ALL)""",
+        fed="SELECT doc_id AS id, TIMESTAMP '2024-01-01' + doc_id * INTERVAL 15 MINUTE AS ts FROM documents",
+        met="""SELECT symbol, ts, CASE WHEN direct THEN CASE impact WHEN 'HIGH' THEN 8 WHEN 'MEDIUM' THEN 5 ELSE 3 END ELSE CASE WHEN impact = 'HIGH' THEN 3 ELSE 2 END END
+          * CASE sentiment WHEN 'POSITIVE' THEN 1 WHEN 'NEGATIVE' THEN -1 ELSE 0 END AS points FROM (
+          SELECT u.symbol, n.*, f.ts, contains(n.t, lower(u.symbol)) OR contains(n.t, string_split(u.name, ' ')[1]) AS direct FROM news n JOIN fed f USING (id) JOIN named u
+          ON contains(n.t, lower(u.symbol)) OR (length(string_split(u.name, ' ')[1]) >= 4 AND contains(n.t, string_split(u.name, ' ')[1])) OR contains(n.t, lower(u.sector)))""",
+        news=NEWS, named=NAMED,
+    ),
+    "score_logistic": sql(
+        "SELECT symbol, bar::VARCHAR AS bar, round(greatest(0.05, least(0.95, 1 / (1 + exp(-greatest(-10, least(10, z))))))::DECIMAL(20, 10), 4)::DOUBLE AS prob FROM (SELECT symbol, bar, "
+        + " + ".join(f"({c} - m_{c}) / s_{c} * w_{c}" for c in sorted(models.LINEAR))
+        + " AS z FROM panel, weights)",
+        labelled="SELECT *, (lead(close, 5) OVER (PARTITION BY symbol ORDER BY bar) / close - 1 - " + repr(labels.round_trip_cost()) + " > 0)::INT::DOUBLE AS label FROM panel",
+        weights="SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}, corr({c}, label) AS w_{c}" for c in models.LINEAR) + " FROM labelled WHERE label IS NOT NULL",
+    ),
+    "stored_predictions": sql(
+        "SELECT symbol, bar::VARCHAR AS bar, horizon, prob + 0.0 AS prob, round(ret, 6) + 0.0 AS actual_return, then_::VARCHAR AS resolved_at, ((prob >= 0.5) = (ret > 0))::INT AS correct FROM ("
+        + " UNION ALL ".join(f"SELECT symbol, bar, '{h}' AS horizon, prob_{h} AS prob, lead(close, {n}) OVER ws / close - 1 AS ret, lead(bar, {n}) OVER ws AS then_ FROM all_scored WINDOW ws AS (PARTITION BY symbol ORDER BY bar)" for h, n in labels.HORIZONS.items())
+        + ")",
+        plain_state=S["plain_state"], all_scored=nested("plain_state", SCORES_ONLY),
+    ),
     "scan_bars": sql(f"SELECT symbol, bar::VARCHAR AS bar, {r('open high low close volume')} FROM bars WHERE symbol <> 'Brand#1' QUALIFY count(*) OVER (PARTITION BY symbol) >= 340"),
 }

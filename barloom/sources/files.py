@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Files of a year: its symbols are dealt to so many tasks.
+PARTS = 16
 #: Fields of a model document.
 MANIFEST = (
     "version string, type string, trainEnd string, validationEnd string, testEnd string, calibrationKnots array<array<double>>, "
@@ -19,7 +21,7 @@ def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
     Only the years written are replaced.
     """
     by_year = bars.withColumn("year", F.year("bar"))
-    writer = by_year.repartition("year").sortWithinPartitions("symbol", "bar").write.partitionBy("year").mode(mode)
+    writer = by_year.repartition("year", F.pmod(F.xxhash64("symbol"), F.lit(PARTS))).sortWithinPartitions("symbol", "bar").write.partitionBy("year").mode(mode)
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
@@ -48,6 +50,20 @@ def scan_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return knots, docs.select("version", F.explode("empiricalDistributions").alias("b")).select("version", "b.*")
 
 
+def write_predictions(predictions: DataFrame, path: str) -> None:
+    """Predictions (symbol, bar, horizon, prob) by year of their bar."""
+    predictions.withColumn("year", F.year("bar")).repartition("year", F.pmod(F.xxhash64("symbol"), F.lit(PARTS))).write.partitionBy("year").mode("append").parquet(path)
+
+
+def resolve_predictions(stored: DataFrame, panel: DataFrame, horizons: dict[str, int]) -> DataFrame:
+    """Stored predictions with what came of them: the horizon's return, whether the direction was right, and the bar that tells; null while open."""
+    ws = Window.partitionBy("symbol").orderBy("bar")
+    ahead = panel.withColumns({f"_o_{h}": F.struct(F.lit(h).alias("horizon"), (F.lead("close", n).over(ws) / F.col("close") - 1).alias("actual_return"), F.lead("bar", n).over(ws).alias("resolved_at")) for h, n in horizons.items()})
+    outcomes = ahead.select("symbol", "bar", F.explode(F.array(*[f"_o_{h}" for h in horizons])).alias("o")).select("symbol", "bar", "o.*")
+    joined = stored.drop("year").join(outcomes, ["symbol", "bar", "horizon"], "left")
+    return joined.withColumn("correct", ((F.col("prob") >= 0.5) == (F.col("actual_return") > 0)).cast("int"))
+
+
 def export_ledger(trades: DataFrame, path: str, zone: str = "Asia/Kolkata") -> None:
     """A quoted CSV of trades with the exchange's local time."""
     shown = trades.withColumn("local_time", F.date_format(F.from_utc_timestamp("ts", zone), "yyyy-MM-dd HH:mm:ss"))

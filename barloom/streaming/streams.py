@@ -108,6 +108,14 @@ def stream_headlines(headlines: DataFrame, late: str = "1 day") -> DataFrame:
     return news.classify(headlines.withWatermark("ts", late).dropDuplicatesWithinWatermark(["url"]))
 
 
+def stream_sentiment(headlines: DataFrame, universe: DataFrame, width: str = "24 hours", slide: str = "6 hours", late: str = "10 minutes") -> DataFrame:
+    """Each symbol's score and number of headlines over closed sliding windows (append mode). The universe is a table."""
+    met = news.mentions(news.classify(headlines.withWatermark("ts", late)), universe)
+    sums = met.groupBy("symbol", F.window("ts", width, slide).alias("w")).agg(F.sum("points").alias("sum"), F.count("*").alias("news"))
+    scored = sums.select("symbol", F.col("w.start").alias("start"), news.clamped("sum").alias("score"), "news")
+    return scored.withColumn("label", news.label())
+
+
 def stream_activity(quotes: DataFrame, width: str = "24 hours", slide: str = "6 hours", late: str = "10 minutes") -> DataFrame:
     """Sliding sums per symbol over closed windows (append mode)."""
     sums = quotes.withWatermark("ts", late).groupBy("symbol", F.window("ts", width, slide).alias("w")).agg(F.count("*").alias("n"), F.sum("px").alias("total"))
