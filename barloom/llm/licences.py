@@ -227,11 +227,26 @@ def marked(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(plain, STOP, "|"), LINE, "\n")
 
 
+def pattern(keys: list[str]) -> str:
+    """One pattern for all keys, as a tree of words: a longer key goes before its beginning. A space in a key may be a line's end."""
+    tree: dict = {}
+    for key in keys:
+        node = tree
+        for gap, word in re.findall(r"([ |]?)([^ |]+)", key):
+            node = node.setdefault({"": "", " ": r"[ \n]", "|": r"\|"}[gap] + re.escape(word), {})
+        node[""] = {}
+
+    def shown(node: dict) -> str:
+        parts = [word + shown(rest) for word, rest in node.items() if word] + [""] * ("" in node)
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return shown(tree)
+
+
 def identifiers(text: Column) -> Column:
     """Identifiers of the known sentences, in the order of the text."""
     known = phrases(entries())
-    longest = [re.escape(k).replace(r"\ ", r"[ \n]") for k in sorted(known, key=len, reverse=True)]
-    found = F.regexp_extract_all(marked(text), F.lit(rf"(?<![^|\n])(?:{'|'.join(longest)})(?![^|\n])"), F.lit(0))
+    found = F.regexp_extract_all(marked(text), F.lit(rf"(?<![^|\n]){pattern(list(known))}(?![^|\n])"), F.lit(0))
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     return F.transform(found, lambda s: F.element_at(names, F.translate(s, "\n", " ")))
 
