@@ -11,10 +11,12 @@ Two empty sketches resemble each other fully (1.0), an empty and another one not
 
 The query also needs the next document in descending order of id. Ids are cut into ranges at approximate quantiles,
 so text is shuffled once, by range; each range also gets the first document of the following range, and a window
-within the range finds the neighbour. At most ``MOST_RANGES`` such documents exist, whatever the input.
+within the range finds the neighbour. At most ``MOST_RANGES`` such documents exist, whatever the input. An id that fills several ranges
+(a missing one, say) is spread over them by a hash of the text.
 
-Defined cases: a null text counts as empty; null ids come last; repeated rows and ids are ordered by text; with one
-document the next one is the document itself; an empty table gives an empty result.
+Defined cases: a null text counts as empty; null ids come last; rows of one id are ordered by a hash of their text; with one
+document the next one is the document itself; the query reads doc_id and text only; an empty table gives an empty result; a very long text is
+one row, its shingles' hashes eight bytes a word.
 """
 
 from __future__ import annotations
@@ -111,28 +113,34 @@ def range_of(key: Column, bounds: list[int]) -> Column:
 
 def with_next(docs: DataFrame, value: Callable[[Column], Column]) -> DataFrame:
     """``docs`` (doc_id, text) with ``value`` of the text, and ``next_text`` and ``next_value`` of the next document in descending order of id."""
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_key"))
+    text = F.coalesce("text", F.lit(""))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
+    keyed = docs.select("doc_id", text.alias("text"), key.alias("_key"), F.shiftrightunsigned(F.xxhash64(text), 1).alias("_hash"))
     ranges = min(MOST_RANGES, -(-docs.count() // RANGE_ROWS))
     bounds: list[int] = []
     if ranges > 1:
         shares = [i / ranges for i in range(1, ranges)]
-        bounds = sorted(set(keyed.agg(F.percentile_approx("_key", shares, max(10_000, 10 * ranges))).first()[0]))
+        bounds = sorted(keyed.agg(F.percentile_approx("_key", shares, max(10_000, 10 * ranges))).first()[0])
     keyed = keyed.withColumn("_range", range_of(F.col("_key"), bounds))
-    # the first key of each range, handed to the range above; one row per range
-    firsts = keyed.groupBy("_range").agg(F.max("_key").alias("_first"))
+    if len(set(bounds)) < len(bounds):
+        # a key that is a bound n times has n ranges: its rows go down from the highest by their hash
+        below = F.when(F.col("_key") == _NO_ID, F.lit(0)).otherwise(range_of(F.greatest(F.col("_key"), F.lit(_NO_ID + 1)) - 1, bounds))
+        own = F.greatest(F.col("_range") - below, F.lit(1))
+        keyed = keyed.withColumn("_range", F.col("_range") - F.least(own - 1, F.floor(F.col("_hash") / F.lit(2.0**63) * own)).cast("int"))
+    # the first row of each range, handed to the range above; one row per range
+    firsts = keyed.groupBy("_range").agg(F.max(F.struct("_key", (-F.col("_hash")).alias("_minus"))).alias("_first"))
     lower = Window.partitionBy(F.lit(0)).orderBy("_range")
-    handed = firsts.select(
-        F.col("_range").alias("_to"),
-        F.coalesce(F.lag("_first").over(lower), F.max("_first").over(Window.partitionBy(F.lit(0)))).alias("_key"),
-    )
-    guests = keyed.join(F.broadcast(handed), "_key").select("doc_id", "text", "_key", F.col("_to").alias("_range"), F.lit(1).alias("_guest"))
+    handed = firsts.select(F.col("_range").alias("_to"), F.coalesce(F.lag("_first").over(lower), F.max("_first").over(Window.partitionBy(F.lit(0)))).alias("_first"))
+    handed = handed.select("_to", F.col("_first._key").alias("_key"), (-F.col("_first._minus")).alias("_hash"))
+    guests = keyed.join(F.broadcast(handed), ["_key", "_hash"]).groupBy("_to").agg(F.min("text").alias("text"))
+    guests = guests.select(F.lit(None).cast(keyed.schema["doc_id"].dataType).alias("doc_id"), "text", F.lit(0).cast("long").alias("_key"), F.lit(0).cast("long").alias("_hash"), F.col("_to").alias("_range"), F.lit(1).alias("_guest"))
     dealt = keyed.withColumn("_guest", F.lit(0)).unionByName(guests).repartition("_range").withColumn("value", value(F.col("text")))
-    order = Window.partitionBy("_range").orderBy("_guest", F.desc("_key"), "text")
+    order = Window.partitionBy("_range").orderBy("_guest", F.desc("_key"), "_hash", "text")
     return (
         dealt.withColumn("next_text", F.lead("text").over(order))
         .withColumn("next_value", F.lead("value").over(order))
         .where(F.col("_guest") == 0)
-        .drop("_guest", "_key", "_range")
+        .drop("_guest", "_key", "_hash", "_range")
     )
 
 

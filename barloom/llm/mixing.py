@@ -9,7 +9,8 @@ after a lost executor, takes the same copies.
 
 Defined cases: a null or empty text has size 0 and takes 0 words (it may still be drawn); a null source is a source
 of its own, ordered last; a source without words has target 0; equal rows are drawn one by one; an empty table gives
-an empty result. Only the named columns are read, others are carried along untouched by :func:`mix`.
+an empty result. Only the named columns are read, others, of whatever name, are carried along untouched by :func:`mix`. A very long text is
+counted where it lies and moved once.
 """
 
 from __future__ import annotations
@@ -56,21 +57,34 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_p
 
 def draw(sizes: DataFrame, rows: int, weights: tuple[int, ...] = WEIGHTS, share_pct: int = 150, most: int = 2) -> DataFrame:
     """``sizes`` (``_null``, ``_source``, ``_id``, ``_size``) with source_size, target and ``copies`` per row."""
+    joined = expecting(sizes, fit_targets(sizes, weights, share_pct, most), rows)
+    summed = running_total(joined, ["_null", "_source"], ["_band", "_salt"], [F.col("_size"), F.col("_id").asc_nulls_first()], "_expected", "_upto")
+    return drawn(summed)
+
+
+def fit_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_pct: int = 150, most: int = 2) -> DataFrame:
+    """:func:`source_targets`, stored; broadcast up to ``BROADCAST_SOURCES`` of them."""
     targets = staged(source_targets(sizes, weights, share_pct, most), "mix-targets")
-    if targets.count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
+    return F.broadcast(targets) if targets.count() <= BROADCAST_SOURCES else targets
+
+
+def expecting(sizes: DataFrame, targets: DataFrame, rows: int, salt: str = "_id") -> DataFrame:
+    """``sizes`` with the expected copies of each row, and the band of sizes and the salt that it is summed in."""
     bits = F.bin("_size")
     expected = F.floor(F.col("target") * UNIT / F.col("source_size")).cast("long")
-    # 24 bits of a digest of the source's name stand for the random offset, so that reruns agree
-    name = F.concat(F.when(F.col("_null") == 1, F.lit("null:")).otherwise(F.lit("source:")), F.col("_source"))
-    offset = F.conv(F.substring(F.md5(name), 1, 6), 16, 10).cast("long")
-    joined = (
+    return (
         sizes.join(targets, ["_null", "_source"])
         .withColumn("_expected", F.when(F.col("source_size") > 0, expected).otherwise(F.lit(0)))
         .withColumn("_band", F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 1, 4)))
-        .withColumn("_salt", salt_of("_id", salts(rows)))
+        .withColumn("_salt", salt_of(salt, salts(rows)))
     )
-    summed = running_total(joined, ["_null", "_source"], ["_band", "_salt"], [F.col("_size"), F.col("_id").asc_nulls_first()], "_expected", "_upto")
+
+
+def drawn(summed: DataFrame) -> DataFrame:
+    """``summed`` (with ``_upto``, the running sum of expected copies) with ``copies``: the whole numbers that the row's part of the sum crosses."""
+    # 24 bits of a digest of the source's name stand for the random offset, so that reruns agree
+    name = F.concat(F.when(F.col("_null") == 1, F.lit("null:")).otherwise(F.lit("source:")), F.col("_source"))
+    offset = F.conv(F.substring(F.md5(name), 1, 6), 16, 10).cast("long")
     crossed = F.floor((F.col("_upto") + offset) / UNIT) - F.floor((F.col("_upto") - F.col("_expected") + offset) / UNIT)
     return summed.withColumn("copies", crossed.cast("long")).drop("_upto", "_expected", "_band", "_salt", "weight")
 
@@ -86,8 +100,7 @@ def keyed(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    drawn = draw(staged(keyed(docs), "mix-sizes"), docs.count())
-    return drawn.select(
+    return draw(staged(keyed(docs), "mix-sizes"), docs.count()).select(
         F.col("_id").alias("doc_id"),
         F.col("_size").alias("size"),
         "source_size",
@@ -100,22 +113,24 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_pct: int = 150, most: int = 2) -> DataFrame:
     """``docs`` with each row as often as it was drawn. ``docs`` should be a stored table: it is read twice.
 
-    Rows are numbered by their id; rows that share an id share the sum of its copies out evenly by draw order.
+    Rows are drawn as they stand, so repeated and missing ids need no care. Sizes alone make the targets and the offsets of the running sums;
+    texts are shuffled once.
     """
     rows = docs.count()
-    drawn = draw(staged(keyed(docs), "mix-sizes"), rows, weights, share_pct, most)
-    copies = drawn.groupBy("_id").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
     # the row travels as one struct, so that none of its columns can clash with those added here
-    boxed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_key"))
-    same_id = Window.partitionBy("_key").orderBy(F.length("_doc.text"), "_doc.text")
-    numbered = boxed.withColumn("_row", F.row_number().over(same_id))
-    times = F.coalesce(F.get("_copies", F.col("_row") - 1), F.lit(0)).cast("int")
-    return (
-        numbered.join(copies, F.col("_key").eqNullSafe(F.col("_id")))
-        .where(times > 0)
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times)))
-        .select("_doc.*")
-    )
+    boxed = docs.select(F.struct("*").alias("_doc"))
+    of = [F.col("_doc.doc_id").alias("_id"), F.col("_doc.source").isNull().cast("int").alias("_null"), F.coalesce("_doc.source", F.lit("")).alias("_source")]
+    full = boxed.select("_doc", *of, word_count("_doc.text").alias("_size"), F.xxhash64("_doc").alias("_tie")).withColumn("_deal", F.coalesce("_id", "_tie"))
+    sizes = staged(full.drop("_doc"), "mix-sizes")
+    targets = fit_targets(sizes, weights, share_pct, most)
+    group, bucket = ["_null", "_source"], ["_band", "_salt"]
+    before = Window.partitionBy(*group).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = expecting(sizes, targets, rows, "_deal").groupBy(*group, *bucket).agg(F.sum("_expected").alias("_sum"))
+    offsets = sums.select(*group, *bucket, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*group, *bucket).orderBy("_size", F.col("_id").asc_nulls_first(), "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    summed = expecting(full, targets, rows, "_deal").withColumn("_own", F.sum("_expected").over(within)).join(offsets, group + bucket)
+    times = drawn(summed.withColumn("_upto", F.col("_own") + F.col("_before"))).where("copies > 0")
+    return times.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("_doc.*")
 
 
 OP3_SQL = r"""

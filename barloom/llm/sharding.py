@@ -9,7 +9,8 @@ Its length is at most sqrt(2 * all bytes), because n different sizes add up to n
 reaches the driver, where a feasibility check is a few binary searches. Rows are placed by Spark.
 
 Defined cases: a null text counts as empty (size 8, checksum 0) and is grouped with empty texts; repeated rows are rows
-of their own with a slot each; an empty table gives an empty result; with few groups some shards stay empty.
+of their own with a slot each; an empty table gives an empty result; with few groups some shards stay empty; the query reads doc_id and
+text only; a very long text is one group, and the capacity is at least its size.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from barloom.llm.common import documents, running_total, salt_of, salts, staged
 
 SHARDS = 24
 ROW_BYTES = 8
+HOT_SHARE = 8192
 
 
 class Runs:
@@ -102,8 +104,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "shard-rows",
     )
-    groups = staged(narrow.groupBy("_text").agg(F.sum("size").alias("_bytes")), "shard-groups")
-    placed = narrow.join(shard_groups(groups, "_text", "_bytes", SHARDS, rows).select("_text", "shard"), "_text")
+    groups = staged(narrow.groupBy("_text").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows")), "shard-groups")
+    sharded = staged(shard_groups(groups, "_text", "_bytes", SHARDS, rows).select("_text", "_rows", "shard"), "shard-placed")
+    # texts that at least one row in HOT_SHARE holds are at most HOT_SHARE texts: they are broadcast, so that their rows stay where they are
+    often = F.col("_rows") * HOT_SHARE >= rows
+    hot, rest = F.broadcast(sharded.where(often).select("_text", "shard")), sharded.where(~often).select("_text", "shard")
+    placed = narrow.join(hot, "_text").unionByName(narrow.join(hot.select("_text"), "_text", "left_anti").join(rest, "_text"))
     numbered = running_total(
         placed.withColumn("_salt", salt_of("doc_id", salts(rows, 4))).withColumn("_one", F.lit(1)),
         ["shard"],

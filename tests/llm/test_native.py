@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +63,61 @@ def test_fingerprint_query_edits_with_the_next_document(spark, tmp_path, monkeyp
         assert 0 <= got[d].near_edited <= 1 and 0 <= got[d].near_next <= 1
 
 
+def plain_words(text):
+    return [w for w in re.split("[ \t\n\x0b\x0c\r]+", (text or "").lower()) if w]
+
+
+def test_sketch_columns_equal_brute_force(spark, tmp_path, monkeypatch):
+    """Likenesses by exact sets where a sketch holds all shingles, and the bottom hashes themselves where it doesn't."""
+    monkeypatch.setattr(fp, "RANGE_ROWS", 30)
+    rng = random.Random(14)
+    base = [f"w{k}" for k in range(500)]
+    rows = []
+    for k in range(150):
+        at, n = rng.randint(0, 300), rng.choice([0, 2, 4, 5, 9, 40, 100, 130, 190])
+        rows.append((k, " ".join(base[at : at + n]), "s"))
+    rows += [(900, None, "s"), (901, " \n", "s"), (902, "Word " * 30_000, "s"), (903, " ".join(str(rng.random()) for _ in range(20_000)), "s")]
+    got = {r.doc_id: r for r in fp.op1_fingerprints(spark, table(spark, tmp_path, rows)).collect()}
+
+    def shingles(text):
+        w = plain_words(text)
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    order = sorted(rows, reverse=True)
+    exact = 0
+    for (d, t, _), (_, after, _) in zip(order, order[1:] + order[:1], strict=True):
+        t, after = t or "", after or ""
+        cut = len(t) // 3
+        a, b, e = shingles(t), shingles(after), shingles(t[: len(t) - cut] + after[:cut])
+        assert len(got[d].fingerprint) == 16 * min(128, len(a)) and len(got[d].edited_fingerprint) == 16 * min(128, len(e))
+        for x, y, value in ((a, e, got[d].near_edited), (a, b, got[d].near_next)):
+            if len(x | y) <= 128:
+                exact += 1
+                assert value == (len(x & y) / len(x | y) if x | y else 1.0)
+            else:
+                assert abs(value - len(x & y) / len(x | y)) < 0.25
+        assert got[d].shingles == len(a) if len(a) < 128 else abs(got[d].shingles / len(a) - 1) < 0.4
+    assert exact > 200
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_an_id_that_many_rows_share_is_spread_over_ranges(spark, hot):
+    rows = [(hot if k % 2 else k, f"text {k} " * 3) for k in range(400)] + [(hot, "same")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(fp, "RANGE_ROWS", 25)
+        got = fp.with_next(docs, lambda t: F.length(t)).collect()
+    assert len(got) == len(rows) and all(r.next_value == len(r.next_text) for r in got)
+    # each row is the next one of exactly one row, and ids never rise but once, at the end
+    assert sorted(r.text for r in got) == sorted(r.next_text for r in got)
+    ids = {}
+    for d, t in rows:
+        ids.setdefault(t, d)
+    low = -1
+    rises = [(r.doc_id, ids[r.next_text]) for r in got if (low if ids[r.next_text] is None else ids[r.next_text]) > (low if r.doc_id is None else r.doc_id)]
+    assert len(rises) == 1
+
+
 def test_range_lookup_in_two_steps(spark):
     bounds = list(range(0, 5000, 7))
     df = spark.createDataFrame([(k,) for k in (-3, 0, 6, 7, 2099, 2100, 4998, 9999)], "k long").select("k", fp.range_of(F.col("k"), bounds).alias("r"))
@@ -107,6 +163,49 @@ def test_mix_repeats_rows(spark, tmp_path):
     assert mixed.count() == drawn.agg(F.sum("copies")).first()[0]
 
 
+def test_mix_draws_rows_without_or_with_one_id(spark):
+    rng = random.Random(15)
+    rows = [(None if k % 3 else 5, " ".join(["x"] * rng.randint(0, 60)) + f" {k}", rng.choice(["a", "b", None]), k, "clash") for k in range(600)] + [(9, None, "a", 1, "c")] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _size int, _doc string").repartition(3)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    got = mixed.collect()
+    size, taken = {}, {}
+    for _, t, s, *_ in rows:
+        size[s] = size.get(s, 0) + len((t or "").split())
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + len((r.text or "").split())
+    # 150 percent by the weights 3, 1, 2 where no source exceeds twice its size
+    budget, weight = 1.5 * sum(size.values()), {"a": 3, "b": 1, None: 2}
+    left, target = set(size), {}
+    while left:
+        level = budget / sum(weight[k] for k in left)
+        full = {k for k in left if level * weight[k] > 2 * size[k]} or left
+        for k in full:
+            target[k] = min(2 * size[k], level * weight[k])
+        budget -= sum(target[k] for k in full)
+        left -= full
+    assert all(abs(taken[k] - target[k]) <= 130 for k in size)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
+    assert mixing.mix(docs.limit(0)).collect() == []
+
+
+def test_shards_with_a_text_that_many_rows_hold(spark, tmp_path):
+    rows = [(k, "common" if k % 3 == 0 else f"text {k} " * (k % 9), "s") for k in range(900)] + [(5000, "long " * 100_000, "s")]
+    got = sharding.op6_sharding(spark, table(spark, tmp_path, rows)).collect()
+    text_of = {d: t for d, t, _ in rows}
+    shards, slots, load = {}, {}, {}
+    for r in got:
+        shards.setdefault(text_of[r.doc_id], set()).add(r.shard)
+        slots.setdefault(r.shard, []).append(r.slot)
+        load[r.shard] = load.get(r.shard, 0) + r.size
+    assert len(got) == len(rows) and all(len(s) == 1 for s in shards.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    groups = {}
+    for _, t, _ in rows:
+        groups[t] = groups.get(t, 0) + len(t) + 8
+    assert max(load.values()) == brute_cuts(sorted(groups.values(), reverse=True), 24)
+
+
 def brute_cuts(sizes, shards):
     def need(capacity):
         n, room = 1, capacity
