@@ -8,6 +8,10 @@ result as Parquet to the shared folder and hands the reread table on. All but th
 * personal_data: e-mail addresses, numbers and accounts are replaced by their kind, and ``n_chars`` follows
 * mixture: documents are repeated or left out so that sources meet their weights
 * packing: the mixture's token pieces get a sequence and an offset
+
+Defined cases: a null or empty text passes every stage (neutral, no copy, nothing to mask, size 0, one piece); rows without an id are kept by the
+first three stages, of rows that share one the second keeps one; columns of any name are carried through the first four stages; repeated rows
+are one document after the second stage; an empty table stays empty; very long texts are whole in every stage, in one row each.
 """
 
 from __future__ import annotations
@@ -37,10 +41,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without an id are no document's copy and stay; of rows that share an id one stays."""
-    parts = jaccard_components(docs)
+    parts = jaccard_components(docs.select("doc_id", "text"))
     first = keep(docs, parts.where("doc_id = component_id").select("doc_id").distinct())
-    same = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")], "text")
-    return first.withColumn("_row", F.row_number().over(same)).where("_row = 1").drop("_row").unionByName(docs.where("doc_id IS NULL"))
+    # the row travels as one struct, so that none of its columns can clash
+    boxed = first.select(F.col("doc_id").alias("id"), F.struct("*").alias("doc"))
+    same = Window.partitionBy("id").orderBy(F.xxhash64("doc"), "doc.text")
+    one = boxed.withColumn("place", F.row_number().over(same)).where("place = 1").select("doc.*")
+    return one.unionByName(docs.where("doc_id IS NULL"))
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
