@@ -66,3 +66,47 @@ def test_empty_table_and_repeated_rows(spark):
     got = sorted(((r.doc_id or -1), r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert [(d, n) for d, n, _ in got] == [(-1, 2), (3, 2), (5, 2), (5, 2), (9, 0)]
     assert [c for d, _, c in got] == [None, 3, 3, 3, 9]
+
+
+def test_boilerplate_that_does_not_link_makes_no_pairs(spark, monkeypatch):
+    """Many sets that share 31 of 35 shingles, next to the limit: blocks are skipped by position, so no pair of them is compared."""
+    from barloom.llm import jaccard
+
+    words = [f"c{k}" for k in range(35)]
+    docs = spark.createDataFrame([(k, " ".join([*words, *(f"own{k}x{j}" for j in range(4))])) for k in range(3000)], "doc_id long, text string").repartition(4)
+    seen = []
+    compared = jaccard.compared
+
+    def counting(docs, pairs):
+        seen.append(pairs.count())
+        return compared(docs, pairs)
+
+    monkeypatch.setattr(jaccard, "compared", counting)
+    got = jaccard.jaccard_components(docs).collect()
+    assert len(got) == 3000 and all(r.component_id == r.doc_id and r.n_shingles == 35 for r in got)
+    assert sum(seen) < 5 * 3000
+
+
+def test_blocks_keep_every_link_of_a_frequent_list(spark):
+    """Sets around a common core, of many sizes: what a list's first set can't decide is compared."""
+    rng = random.Random(21)
+    core = [f"c{k}" for k in range(40)]
+    texts = {}
+    for k in range(220):
+        own = [f"o{rng.randint(0, 9)}y{j}" for j in range(rng.randint(0, 9))]
+        texts[k] = " ".join(core[rng.randint(0, 3) : 40 - rng.randint(0, 3)] + own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, frequent_least=5, paired=8).collect()}
+    assert got == brute(texts)
+
+
+def test_query_with_very_long_text_and_clashing_columns(spark, tmp_path):
+    from barloom.llm.jaccard import op5_jaccard
+
+    rng = random.Random(22)
+    long = [f"w{rng.randint(0, 10**6)}" for _ in range(120_000)]
+    texts = {1: " ".join(long), 2: " ".join(long[:100_000]), 3: " ".join(long[:80_000]), 4: None, 5: "a b", 6: "A  b"}
+    rows = [(k, t, 1, 2) for k, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, n int, token int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op5_jaccard(spark, str(tmp_path)).collect()}
+    assert got == brute(texts)

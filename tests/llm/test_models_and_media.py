@@ -1,5 +1,6 @@
 """Packing, toxicity, media and the pipeline: round trips, held-out accuracy and brute force."""
 
+import hashlib
 import random
 import zlib
 
@@ -238,6 +239,225 @@ def test_jpeg_round_trip_and_both_readers_agree():
         assert jpeg.payload(jpeg.decode(jpeg.encode(data))) == data
 
 
+class Bits:
+    """Writes scans by the format's rules, one bit after the other: the tests' own encoder of progressive scans."""
+
+    def __init__(self):
+        self.bits = []
+
+    def put(self, value, n):
+        self.bits += [value >> k & 1 for k in range(n - 1, -1, -1)]
+
+    def symbol(self, value):
+        self.put(value, 8)  # all codes are eight bits long, a symbol's code is its rank in the table
+
+    def amount(self, value):
+        n = abs(value).bit_length()
+        self.put(value if value >= 0 else value + (1 << n) - 1, n)
+
+    def data(self):
+        bits = self.bits + [1] * (-len(self.bits) % 8)
+        return np.packbits(np.array(bits, np.uint8)).tobytes().replace(b"\xff", b"\xff\0")
+
+
+#: Every symbol that a progressive scan can hold, but one, so that no code is all ones.
+SYMBOLS = [r << 4 | s for r in range(16) for s in range(11)]
+
+
+def dc_scan(parts, low, restart):
+    """First DC scan over blocks in their order: a list per unit of (component, value)."""
+    out, bits, before = [], Bits(), {}
+    for k, unit in enumerate(parts):
+        if restart and k and k % restart == 0:
+            out.append(bits.data())
+            bits, before = Bits(), {}
+        for c, value in unit:
+            now = value >> low
+            step = now - before.get(c, 0)
+            before[c] = now
+            bits.symbol(SYMBOLS.index(abs(step).bit_length()))
+            bits.amount(step)
+    return [*out, bits.data()]
+
+
+def shifted(x, low):
+    return (abs(x) >> low) * (1 if x >= 0 else -1)
+
+
+def ac_first(blocks, first, last, low, restart):
+    out, bits, run = [], Bits(), 0
+
+    def end():
+        nonlocal run
+        if run:
+            n = run.bit_length() - 1
+            bits.symbol(SYMBOLS.index(n << 4))
+            bits.put(run - (1 << n), n)
+            run = 0
+
+    for k, block in enumerate(blocks):
+        if restart and k and k % restart == 0:
+            end()
+            out.append(bits.data())
+            bits = Bits()
+        zeros, values = 0, [shifted(int(x), low) for x in block[first : last + 1]]
+        final = max([j for j, x in enumerate(values) if x], default=-1)
+        for x in values[: final + 1]:
+            if not x:
+                zeros += 1
+                continue
+            end()
+            while zeros > 15:
+                bits.symbol(SYMBOLS.index(0xF0))
+                zeros -= 16
+            bits.symbol(SYMBOLS.index(zeros << 4 | abs(x).bit_length()))
+            bits.amount(x)
+            zeros = 0
+        if final < last - first:
+            run += 1
+    end()
+    return [*out, bits.data()]
+
+
+def ac_refine(blocks, first, last, low, restart):
+    """Each block by itself: new coefficients with their zero runs, corrections of known ones, then an end of band."""
+    out, bits = [], Bits()
+    for k, block in enumerate(blocks):
+        if restart and k and k % restart == 0:
+            out.append(bits.data())
+            bits = Bits()
+        zeros, waiting = 0, []
+        values = [abs(int(x)) >> low for x in block[first : last + 1]]
+        final = max([j for j, v in enumerate(values) if v == 1], default=-1)
+        for j, v in enumerate(values):
+            if v > 1:
+                waiting.append(v & 1)
+            elif v == 0:
+                zeros += 1
+                if zeros == 16 and j < final:
+                    bits.symbol(SYMBOLS.index(0xF0))
+                    for b in waiting:
+                        bits.put(b, 1)
+                    zeros, waiting = 0, []
+            else:
+                bits.symbol(SYMBOLS.index(zeros << 4 | 1))
+                bits.put(int(block[first + j] > 0), 1)
+                for b in waiting:
+                    bits.put(b, 1)
+                zeros, waiting = 0, []
+        if final < len(values) - 1:
+            bits.symbol(SYMBOLS.index(0))
+            for b in waiting:
+                bits.put(b, 1)
+    return [*out, bits.data()]
+
+
+def picture_of(rng, height, width, restart, colour=True):
+    """A progressive file of random coefficients (negative, zero runs, empty blocks) and these coefficients by component."""
+    mcu = 16 if colour else 8
+    rows, columns = -(-height // mcu), -(-width // mcu)
+    sampling = [(2, 2), (1, 1), (1, 1)] if colour else [(1, 1)]
+    grids = []
+    for h, v in sampling:
+        blocks = np.zeros((rows * v, columns * h, 64), int)
+        for b in blocks.reshape(-1, 64):
+            b[0] = rng.randint(-200, 200)
+            for k in rng.sample(range(1, 64), rng.choice([0, 0, 1, 3, 20])):
+                b[k] = rng.choice([-1, 1]) * rng.randint(1, 60)
+        grids.append(blocks)
+    table = bytes(0 if k != 7 else len(SYMBOLS) for k in range(16)) + bytes(SYMBOLS)
+    frame = bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(grids), *(x for i, (h, v) in enumerate(sampling) for x in (i + 1, h << 4 | v, 0))])
+    out = [b"\xff\xd8", jpeg.segment(0xDB, bytes([0, *[2] * 64])), jpeg.segment(0xC2, frame), jpeg.segment(0xC4, b"\0" + table), jpeg.segment(0xC4, b"\x10" + table)]
+    if restart:
+        out.append(jpeg.segment(0xDD, restart.to_bytes(2, "big")))
+
+    def scan(ids, first, last, high, low, intervals):
+        out.append(jpeg.scan_header(ids, 0, first, last, high, low))
+        out.append(intervals[0] + b"".join(b"\xff" + bytes([0xD0 + k % 8]) + x for k, x in enumerate(intervals[1:])))
+
+    units = [[(i, int(grids[i][r * v + y, c * h + x, 0])) for i, (h, v) in enumerate(sampling) for y in range(v) for x in range(h)] for r in range(rows) for c in range(columns)]
+    scan(list(range(1, len(grids) + 1)), 0, 0, 0, 1, dc_scan(units, 1, restart))
+    refine, bits = [], Bits()
+    for k, unit in enumerate(units):
+        if restart and k and k % restart == 0:
+            refine.append(bits.data())
+            bits = Bits()
+        for _, value in unit:
+            bits.put(value & 1, 1)
+    scan(list(range(1, len(grids) + 1)), 0, 0, 1, 0, [*refine, bits.data()])
+    want = []
+    for i, (h, v) in enumerate(sampling):
+        # a scan of one component leaves out the blocks that lie beyond the picture
+        own = grids[i][: -(-height * v // (8 * sampling[0][1])), : -(-width * h // (8 * sampling[0][0]))]
+        blocks = list(own.reshape(-1, 64))
+        scan([i + 1], 1, 9, 0, 2, ac_first(blocks, 1, 9, 2, restart))
+        scan([i + 1], 10, 63, 0, 2, ac_first(blocks, 10, 63, 2, restart))
+        for low in (1, 0):
+            scan([i + 1], 1, 63, low + 1, low, ac_refine(blocks, 1, 63, low, restart))
+        seen = np.zeros_like(grids[i])
+        seen[: own.shape[0], : own.shape[1]] = own
+        seen[:, :, 0] = grids[i][:, :, 0]
+        want.append(seen.reshape(-1, 64))
+    return b"".join([*out, b"\xff\xd9"]), want
+
+
+@pytest.mark.parametrize(("height", "width", "restart", "colour"), [(16, 16, 0, True), (48, 64, 0, True), (37, 21, 0, True), (37, 53, 3, True), (9, 40, 2, False), (64, 8, 0, False)])
+def test_scans_of_any_kind_are_accumulated(height, width, restart, colour):
+    rng = random.Random(height * 100 + width)
+    for _ in range(4):
+        data, want = picture_of(rng, height, width, restart, colour)
+        picture = jpeg.decode(data)
+        for c, blocks in zip(picture.components.values(), want, strict=True):
+            assert (c.coefficients == blocks).all()
+        rgb = jpeg.tensor(picture)
+        assert rgb.shape == (height, width, 3)
+        # samples are rounded from single precision, so one that lies halfway may differ by one, a colour by three
+        apart = np.abs(rgb.astype(int) - plain_tensor(picture, want, height, width))
+        assert apart.max() <= 3
+
+
+def plain_tensor(picture, want, height, width):
+    """The definition, sample by sample: the inverse transform's double sum, nearest chroma, and the colour formula."""
+    order = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (x[0] + x[1], x[0] if (x[0] + x[1]) % 2 else x[1]))
+    basis = np.array([[(np.sqrt(0.5) if u == 0 else 1) / 2 * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+    planes = []
+    for c, blocks in zip(picture.components.values(), want, strict=True):
+        plane = np.zeros((8 * c.rows, 8 * c.columns))
+        for n, block in enumerate(blocks):
+            square = np.zeros((8, 8))
+            for k, (r, q) in enumerate(order):
+                square[r, q] = 2 * block[k]
+            samples = np.einsum("uv,ux,vy->xy", square, basis, basis)
+            y, x = divmod(n, c.columns)
+            plane[8 * y : 8 * y + 8, 8 * x : 8 * x + 8] = samples
+        planes.append(np.clip(np.rint(np.round(plane, 3)) + 128, 0, 255))
+    top = max(p.shape[0] for p in planes)
+    planes = [p.repeat(top // p.shape[0], 0).repeat(top // p.shape[0], 1)[:height, :width] for p in planes]
+    if len(planes) == 1:
+        return np.repeat(planes[0][:, :, None], 3, axis=2).astype(np.uint8)
+    y, b, r = planes[0], planes[1] - 128, planes[2] - 128
+    return np.clip(np.rint(np.stack([y + 1.402 * r, y - 0.344136 * b - 0.714136 * r, y + 1.772 * b], axis=2)), 0, 255).astype(np.uint8)
+
+
+def test_media_query_on_odd_rows(spark, tmp_path):
+    texts = [None, "", "x" * 64, "x" * 64, "é" * 33, "word " * 60_000]
+    rows = [(k, t, 5, "x") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, height int, rgb string").repartition(2).write.parquet(f"{tmp_path}/t/documents.parquet")
+    got = {r.doc_id: r for r in jpeg.op10_media(spark, f"{tmp_path}/t").collect()}
+    for k, text in enumerate(texts):
+        data = (text or "").encode()
+        full = data + bytes(-len(data) % 64 if data else 64)
+        assert (got[k].n_bytes, got[k].payload_bytes, got[k].tail_crc32) == (len(data), len(full), zlib.crc32(full[-64:]))
+        assert got[k].payload_sha256 == hashlib.sha256(full).hexdigest()
+        stored = jpeg.encode(full)
+        assert (got[k].media_bytes, got[k].media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+    assert got[2].feature == got[3].feature and got[0].feature == got[1].feature
+    opened = jpeg.rgb_column(jpeg.media_column(spark.read.parquet(f"{tmp_path}/t/documents.parquet")))
+    assert opened.columns == ["doc_id", "text", "media", "height", "width", "rgb"] and opened.where("length(rgb) = height * width * 3").count() == len(texts)
+    spark.read.parquet(f"{tmp_path}/t/documents.parquet").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert jpeg.op10_media(spark, f"{tmp_path}/none").collect() == []
+
+
 def test_inverse_transform_of_a_flat_block():
     c = jpeg.Component(1, 1, 0, 1, 1, np.zeros((1, 64), np.int32))
     c.coefficients[0, 0] = 80
@@ -271,3 +491,27 @@ def test_pipeline_drops_masks_and_packs(spark, tmp_path):
     assert masked.where(F.col("text").contains("@")).count() == 0 and masked.where(~F.col("text").contains("[EMAIL]")).count() == 0
     packed = corpus_pipeline.STAGES[4][1](spark, state, path)
     assert packed.select("doc_id").distinct().count() == state.select("doc_id").distinct().count()
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty texts, repeated rows and ids, very long texts and clashing names pass all stages; an empty table stays empty."""
+    docs, labels = labelled(150, 8)
+    rows = [(*d, 1, 2, "x") for d in docs] + [(None, "no id here at all", None, None, None, None, None, None), (None, None, "en", "s", 0, 1, 1, "y"), (7001, None, "en", None, 0, 1, 1, "y"), (7002, "", None, "s", 0, 1, 1, "y")]
+    rows += [(7003, "same row of some more words", "en", "s", 0, 1, 1, "y")] * 3 + [(7003, "other words under the same id", "en", "s", 0, 1, 1, "y"), (7004, "ba ko ti " * 50_000, "en", "s", 0, 1, 1, "y")]
+    schema = f"{DOCS}, place int, id int, _doc string"
+    for name, part in (("full", rows), ("none", [])):
+        path = f"{tmp_path}/{name}"
+        spark.createDataFrame(part, schema).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame(labels if part else [], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        state = spark.read.parquet(f"{path}/documents.parquet")
+        columns, counts = state.columns, []
+        for stage, function in corpus_pipeline.STAGES[:4]:
+            function(spark, state, path).write.parquet(f"{path}/{stage}")
+            state = spark.read.parquet(f"{path}/{stage}")
+            assert state.columns == columns
+            counts.append(state.count())
+            if stage == "near_duplicates" and part:
+                kept = state.collect()
+                assert sum(r.doc_id == 7003 for r in kept) == 1 and sum(r.doc_id is None for r in kept) == 2 and {7001, 7002, 7004} <= {r.doc_id for r in kept}
+        packed = corpus_pipeline.STAGES[4][1](spark, state, path).collect()
+        assert (len(packed) >= counts[-1] > 0) if part else (counts == [0] * 4 and packed == [])
