@@ -1,8 +1,8 @@
 """Exponentially weighted sums without Python: a linear recurrence over each symbol's rows.
 
 Rows are cut into chunks. Within a chunk, the sum of x weighted by q ** -k is a running window sum, rescaled by q ** k; the last full chunk's
-sum is carried on by a second running window. A chunk is so long that what earlier chunks leave is under a double's last digit (with several
-q in one call, the carry is passed on as often as that takes). All windows share one clustering and order, nothing is joined, and the work is
+sum is carried on by a second running window. A chunk is so long that what earlier chunks leave is under a double's last digit; sums
+whose q are too far apart for one length of chunk get their own. All windows share one clustering and order, nothing is joined, and the work is
 linear in a symbol's rows.
 """
 
@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Powers of q stay within exp(+-300), and carries under exp(-40) don't count.
+#: Powers of q stay within exp(+-300), and what is under exp(-40) doesn't count.
 WIDEST, LEAST = 300, 40
 
 
@@ -25,8 +25,16 @@ def numbered(df: DataFrame, symbol: str = "symbol", order: str = "bar") -> DataF
 def weighted_sums(df: DataFrame, sums: dict[str, tuple[str, float]], symbol: str = "symbol") -> DataFrame:
     """For each ``out: (column, q)``: out = column + q * (out of the row before). ``df`` has ``rn``; null values count as 0."""
     rates = {out: -math.log(q) for out, (_, q) in sums.items()}
-    chunk = max(2, int(WIDEST / max(rates.values())))
-    passes = {out: math.ceil(LEAST / (rate * chunk)) for out, rate in rates.items()}
+    left = sorted(sums, key=rates.get, reverse=True)
+    while left:
+        chunk = max(2, int(WIDEST / rates[left[0]]))
+        same = [out for out in left if out == left[0] or rates[out] * chunk >= LEAST]
+        df = chunked_sums(df, {out: sums[out] for out in same}, symbol, chunk)
+        left = [out for out in left if out not in same]
+    return df
+
+
+def chunked_sums(df: DataFrame, sums: dict[str, tuple[str, float]], symbol: str, chunk: int) -> DataFrame:
     number = (F.col("rn") / chunk).cast("int")
     df = df.withColumns({"_chunk": number, "_k": F.col("rn") - number * chunk})
     within = Window.partitionBy(symbol, "_chunk").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
@@ -34,10 +42,7 @@ def weighted_sums(df: DataFrame, sums: dict[str, tuple[str, float]], symbol: str
         {f"_{out}": F.pow(F.lit(q), F.col("_k")) * F.sum(F.coalesce(F.col(c), F.lit(0.0)) * F.pow(F.lit(q), -F.col("_k"))).over(within) for out, (c, q) in sums.items()}
     )
     earlier = Window.partitionBy(symbol).orderBy("_chunk", "rn").rowsBetween(Window.unboundedPreceding, -1)
-    for n in range(max(passes.values())):
-        # what the last full chunk before this row leaves, with what had been carried into it
-        ends = {out: F.col(f"_{out}") + (F.coalesce(f"_c_{out}", F.lit(0.0)) * sums[out][1] ** chunk if n else 0.0) for out in sums if n < passes[out]}
-        df = df.withColumns({f"_c_{out}": F.last(F.when(F.col("_k") == chunk - 1, e), ignorenulls=True).over(earlier) for out, e in ends.items()})
+    df = df.withColumns({f"_c_{out}": F.last(F.when(F.col("_k") == chunk - 1, F.col(f"_{out}")), ignorenulls=True).over(earlier) for out in sums})
     added = {out: F.col(f"_{out}") + F.coalesce(f"_c_{out}", F.lit(0.0)) * F.pow(F.lit(q), F.col("_k") + 1) for out, (_, q) in sums.items()}
     return df.withColumns(added).drop("_chunk", "_k", *[f"{p}{out}" for out in sums for p in ("_", "_c_")])
 
