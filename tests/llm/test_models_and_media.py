@@ -496,8 +496,8 @@ def test_pipeline_drops_masks_and_packs(spark, tmp_path):
 def test_pipeline_on_odd_rows(spark, tmp_path):
     """Nulls in every column, empty texts, repeated rows and ids, very long texts and clashing names pass all stages; an empty table stays empty."""
     docs, labels = labelled(150, 8)
-    rows = [(*d, 1, 2, "x") for d in docs] + [(None, "no id here at all", None, None, None, None, None, None), (None, None, "en", "s", 0, 1, 1, "y"), (7001, None, "en", None, 0, 1, 1, "y"), (7002, "", None, "s", 0, 1, 1, "y")]
-    rows += [(7003, "same row of some more words", "en", "s", 0, 1, 1, "y")] * 3 + [(7003, "other words under the same id", "en", "s", 0, 1, 1, "y"), (7004, "ba ko ti " * 50_000, "en", "s", 0, 1, 1, "y")]
+    rows = [(*d, 1, 2, "x") for d in docs] + [(None, "ba ko lo sen", None, None, None, None, None, None), (None, None, "en", "s", 0, 1, 1, "y"), (7001, None, "en", None, 0, 1, 1, "y"), (7002, "", None, "s", 0, 1, 1, "y")]
+    rows += [(7003, "ba ko ti ru sen lo", "en", "s", 0, 1, 1, "y")] * 3 + [(7003, "mar pi du fe ba lo", "en", "s", 0, 1, 1, "y"), (7004, "ba ko ti " * 50_000, "en", "s", 0, 1, 1, "y")]
     schema = f"{DOCS}, place int, id int, _doc string"
     for name, part in (("full", rows), ("none", [])):
         path = f"{tmp_path}/{name}"
