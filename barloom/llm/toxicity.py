@@ -45,7 +45,7 @@ PARTS = 4
 THRESHOLD = 0.7
 #: Word types that a task holds before it hands on its counts, and of a generation of those whose values a worker remembers.
 HELD_WORDS = 200_000
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 120_000
 #: A model of up to so many rows is sent to the tasks.
 MOST_ENTRIES = 8_000_000
 #: Up to so many labels are broadcast; more are joined by a shuffle.
