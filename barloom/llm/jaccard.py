@@ -232,10 +232,12 @@ def read_lists(percent: int, paired: int):
 
 def common_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x, y = batch.column(2), batch.column(3)
-        sets = [(np.frombuffer(x[k].as_py(), np.int64), np.frombuffer(y[k].as_py(), np.int64)) for k in range(batch.num_rows)]
-        both = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in sets]
-        yield batch_of("a b both either", batch.column(0), batch.column(1), both, [len(p) + len(q) - n for (p, q), n in zip(sets, both, strict=True)])
+        both, either = [], []
+        for k in range(batch.num_rows):  # one pair of sets at a time
+            p, q = (np.frombuffer(batch.column(c)[k].as_py(), np.int64) for c in (2, 3))
+            both.append(len(np.intersect1d(p, q, assume_unique=True)))
+            either.append(len(p) + len(q) - both[-1])
+        yield batch_of("a b both either", batch.column(0), batch.column(1), both, either)
 
 
 def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
