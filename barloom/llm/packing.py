@@ -36,7 +36,7 @@ END_ID = 1
 GROUP_ROWS = 8192
 CLASSES = 16
 #: Words of a generation of a worker's memory. Two generations are held, so words that keep coming stay known.
-GENERATION = 400_000
+GENERATION = 300_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal int"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
