@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from barloom.llm.fingerprints import op1_fingerprints
 from barloom.llm import jpeg, licences
 from barloom.llm.jaccard import op5_jaccard
+from barloom.llm import merkle
 from barloom.llm.mixing import OP3_SQL, op3_mixing
 from barloom.llm.packing import op2_packing
 from barloom.llm.pii import op9_pii
@@ -27,9 +28,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": licences.op8_licences,
     "op9_pii": op9_pii,
     "op10_media": jpeg.op10_media,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": OP3_SQL,
     "op8_licences": licences.oracle(),
+    "op13_merkle": merkle.oracle(),
 }
