@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm.fingerprints import op1_fingerprints
-from barloom.llm import alignment, jpeg, licences
+from barloom.llm import alignment, jpeg, licences, outliers
 from barloom.llm.jaccard import op5_jaccard
 from barloom.llm import merkle
 from barloom.llm.mixing import OP3_SQL, op3_mixing
@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": licences.op8_licences,
     "op9_pii": op9_pii,
     "op10_media": jpeg.op10_media,
+    "op11_outliers": outliers.op11_outliers,
     "op12_alignment": alignment.op12_alignment,
     "op13_merkle": merkle.op13_merkle,
 }
