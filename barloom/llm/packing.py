@@ -22,6 +22,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -103,8 +104,10 @@ class WordIds:
         """Little-endian unsigned 32-bit ids."""
         if "<|" in text or any(c in text for c in _SEPARATORS):  # special tokens are cut out before lower-casing
             return self.words.whole(text)
-        lower = text.isascii() or not _CASE.search(text)
-        return b"".join(map(self.words.__getitem__, (text.lower() if lower else text).split()))
+        lower = text.lower()
+        if not (text.isascii() or (not _CASE.search(text) and is_normalized("NFC", text) and is_normalized("NFC", lower))):
+            lower = text  # the tokenizer composes letters before it lower-cases them, so it gets these words as they stand
+        return b"".join(map(self.words.__getitem__, lower.split()))
 
 
 @cache

@@ -40,6 +40,34 @@ def test_every_code_point_of_the_first_plane_encodes_like_the_tokenizer():
         assert words.encode(text) == ids_of(plain, text), hex(ord(c))
 
 
+def test_letters_that_compose_in_one_case_only_encode_like_the_tokenizer():
+    from unicodedata import normalize
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, words = Tokenizer.from_file(path), packing.WordIds(path)
+    marks = [chr(c) for c in [*range(0x300, 0x370), *range(0x591, 0x5C8), *range(0x3099, 0x309B), 0x93C, 0x9BC]]
+    letters = [c for c in map(chr, range(0x41, 0x2000)) if c.lower() != c or c.upper() != c]
+    pairs = [c + m for m in marks for c in letters if (len(normalize("NFC", c + m)) == 1) != (len(normalize("NFC", c.lower() + m)) == 1)]
+    assert len(pairs) > 20
+    for pair in pairs:
+        for text in (pair, f"a{pair}b, {pair} É", normalize("NFD", f"x{pair} ÉÀ.")):
+            assert words.encode(text) == ids_of(plain, text), ascii(text)
+
+
+def test_random_scripts_with_marks_encode_like_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, words = Tokenizer.from_file(path), packing.WordIds(path)
+    rng = random.Random(11)
+    letters = "aAeEoOßẞÀéΣσςΪϋЙйІǅĳﬁKÅΩ가각ㄱ가क日" + "़̣̱́̈̌̊̇ͅ" + "12.,-'’ \n\t  ​"
+    for _ in range(6000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(1, 14)))
+        assert words.encode(text) == ids_of(plain, text), ascii(text)
+
+
 def test_words_are_still_right_after_the_memory_was_renewed(monkeypatch):
     from tokenizers import Tokenizer
 
