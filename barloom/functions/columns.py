@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,11 @@ def new_average(held: Column, average: Column, bought: Column, price: Column) ->
     return F.when(total > 0, ((held * average + bought * price) / total).cast("decimal(18,2)")).otherwise(F.lit(0).cast("decimal(18,2)"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once a row however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def finite(x: Column) -> Column:
     """Null for NaN and infinite values."""
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(None)).otherwise(x)

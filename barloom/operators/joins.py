@@ -42,31 +42,58 @@ def enrich_trades(trades: DataFrame, universe: DataFrame, quotes: DataFrame) ->
     )
 
 
-#: Names that are broadcast at once.
-NAMES = 10_000
+#: Postings that are broadcast at once.
+POSTINGS = 100_000
 
 
-def containing(texts: DataFrame, names: DataFrame, met: Column) -> DataFrame:
-    """``texts`` joined with the ``names`` (one row per symbol, with ``symbol``) that ``met`` finds in them.
+def grams(text: Column) -> Column:
+    """The different runs of three characters of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), F.lit(1)))
 
-    A containment join has no key: the names are broadcast, beyond ``NAMES`` of them in blocks of so many, one after the other.
+
+def postings(names: DataFrame, key: str, words: list[tuple[Column, int]]) -> DataFrame:
+    """(gram, key, _kind, _word, _earlier): each name's words (with the characters they need, three at least) under the gram that fewest words hold.
+
+    ``_kind`` is a word's place in the list, ``_earlier`` are the name's words before it. Names are one row each.
+    """
+    held = F.array(*[F.when(F.length(w) >= n, w) for w, n in words])
+    each = names.select(key, held.alias("_held")).select(key, "_held", F.posexplode("_held").alias("_kind", "_word")).where("_word IS NOT NULL")
+    earlier = F.filter(F.slice("_held", F.lit(1), F.col("_kind")), lambda w: w.isNotNull())
+    cut = each.select(key, "_kind", "_word", earlier.alias("_earlier"), F.explode(grams(F.col("_word"))).alias("gram"))
+    lists = cut.groupBy("gram").agg(F.count_distinct("_word").alias("_n"))
+    rarest = cut.join(lists, "gram").groupBy(key, "_kind").agg(F.min_by(F.struct("gram", "_word", "_earlier"), F.struct("_n", "gram")).alias("p"))
+    return rarest.select("p.gram", key, "_kind", "p._word", "p._earlier")
+
+
+def containing(texts: DataFrame, names: DataFrame, key: str, words: list[tuple[Column, int]], text: str = "title") -> DataFrame:
+    """``texts`` joined with the ``key`` of the names one of whose ``words`` stands in the text, in lower case; ``_kind`` is the first one that does.
+
+    A text's grams are joined with the words' rarest ones, and the few words found so are looked for in the text, all in one stage: texts aren't
+    shuffled. A pair comes once, as each word stands under one gram and gives way to the name's words before it. The
+    postings are broadcast; more than ``POSTINGS`` of them in parts by gram, each of which meets its own grams only. Texts without three characters hold no word.
     """
-    blocks = -(-names.count() // NAMES)
-    if blocks <= 1:
-        return texts.join(F.broadcast(names), met)
-    parts = [texts.join(F.broadcast(names.where(F.pmod(F.xxhash64("symbol"), F.lit(blocks)) == k)), met) for k in range(blocks)]
-    return reduce(DataFrame.unionByName, parts)
+    index = postings(names, key, words)
+    parts = -(-index.count() // POSTINGS) or 1
+    lowered = texts.withColumn("_text", F.lower(text))
+    mine = grams(F.col("_text"))
+    out = []
+    for k in range(parts):
+        some = index if parts == 1 else index.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k)
+        own = mine if parts == 1 else F.filter(mine, lambda g: F.pmod(F.xxhash64(g), F.lit(parts)) == k)  # noqa: B023
+        met = lowered.select("*", F.explode(own).alias("gram")).join(F.broadcast(some), "gram")
+        first = ~F.exists("_earlier", lambda w: F.contains(F.col("_text"), w))
+        out.append(met.where(F.contains(F.col("_text"), F.col("_word")) & first).select(*texts.columns, key, "_kind"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def tag_headlines(headlines: DataFrame, universe: DataFrame) -> DataFrame:
     """The first symbol, by rank, whose ticker (from three letters) or name's first word (from four) stands in the title.
 
-    The join is :func:`containing`.
+    Ranks are unique. The join is :func:`containing`.
     """
-    words = universe.select("rank", "symbol", F.lower("symbol").alias("_t"), F.lower(F.split("name", " ")[0]).alias("_w"))
-    title = F.lower("title")
-    hit = ((F.length("_t") >= 3) & title.contains(F.col("_t"))) | ((F.length("_w") >= 4) & title.contains(F.col("_w")))
-    tagged = containing(headlines.select("id", "title"), words, hit).groupBy("id").agg(F.min_by("symbol", "rank").alias("affected"))
+    words = [(F.lower("symbol"), 3), (F.lower(F.split("name", " ")[0]), 4)]
+    firsts = containing(headlines.select("id", "title"), universe, "rank", words).groupBy("id").agg(F.min("rank").alias("rank"))
+    tagged = firsts.join(universe.select("rank", F.col("symbol").alias("affected")), "rank").select("id", "affected")
     return headlines.join(tagged, "id", "left")
 
 

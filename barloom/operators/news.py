@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.columns import let
 from barloom.operators.joins import containing
 
 #: Keywords by category in order of precedence, of sentiment, and by impact.
@@ -37,7 +40,7 @@ def first_of(text: Column, sets: dict[str, list[str]], other: str) -> Column:
     """The first set one of whose words stands anywhere in the text."""
     out = None
     for name, words in sets.items():
-        hit = text.rlike("|".join(words))
+        hit = reduce(Column.__or__, [text.contains(x) for x in words])
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise(other)
 
@@ -58,17 +61,15 @@ def classify(headlines: DataFrame) -> DataFrame:
     """``headlines`` (title, source, url) with source split off, category, sentiment, impact and keys."""
     title, source = split_source(F.col("title"), F.col("source"))
     df = headlines.withColumns({"title": title, "source": source})
-    t = F.lower("title")
-    plus, minus = hits(t, POSITIVE), hits(t, NEGATIVE)
-    return df.withColumns(
-        {
-            "category": first_of(t, CATEGORIES, "Corporate"),
-            "sentiment": F.when(plus > minus, "POSITIVE").when(minus > plus, "NEGATIVE").otherwise("NEUTRAL"),
-            "impact": first_of(t, IMPACT, "LOW"),
-            "article_id": F.concat(F.lit("news_"), F.substring(F.base64(F.encode("url", "UTF-8")), 1, 16)),
-            "url_key": F.sha2("url", 256),
-        }
-    )
+
+    def told(t: Column) -> Column:
+        marks = F.struct(hits(t, POSITIVE).alias("plus"), hits(t, NEGATIVE).alias("minus"))
+        mood = let(marks, lambda m: F.when(m["plus"] > m["minus"], "POSITIVE").when(m["minus"] > m["plus"], "NEGATIVE").otherwise("NEUTRAL"))
+        return F.struct(first_of(t, CATEGORIES, "Corporate").alias("category"), mood.alias("sentiment"), first_of(t, IMPACT, "LOW").alias("impact"))
+
+    keys = {"article_id": F.concat(F.lit("news_"), F.substring(F.base64(F.encode("url", "UTF-8")), 1, 16)), "url_key": F.sha2("url", 256)}
+    # a text is lower-cased once for all its words
+    return df.withColumn("_told", let(F.coalesce(F.lower("title"), F.lit("")), told)).withColumns({c: F.col(f"_told.{c}") for c in ("category", "sentiment", "impact")} | keys).drop("_told")
 
 
 def time_ago(published: Column, now: Column) -> Column:
@@ -83,8 +84,11 @@ def time_ago(published: Column, now: Column) -> Column:
 
 def symbol_sentiment(classified: DataFrame, universe: DataFrame) -> DataFrame:
     """A score of -20 to 20 per symbol: headlines that name it weigh more than those that name its sector. Hits are summed before the shuffle."""
-    sums = mentions(classified, universe).groupBy("symbol").agg(F.sum("points").alias("sum"), F.count("*").alias("news"), F.min_by("title", "id").alias("headline"))
-    out = universe.select("symbol").join(sums, "symbol", "left").select("symbol", clamped("sum").alias("score"), F.coalesce("news", F.lit(0)).alias("news"), "headline")
+    sums = mentions(classified, universe).groupBy("symbol").agg(F.sum("points").alias("sum"), F.count("*").alias("news"), F.min("id").alias("first"))
+    # one headline for each symbol is fetched, so that no text goes through the sums
+    first = sums.join(classified.select(F.col("id").alias("first"), F.col("title").alias("headline")), "first").select("symbol", "headline")
+    told = sums.join(first, "symbol", "left")
+    out = universe.select("symbol").join(told, "symbol", "left").select("symbol", clamped("sum").alias("score"), F.coalesce("news", F.lit(0)).alias("news"), "headline")
     return structured(out.withColumn("label", label()))
 
 
@@ -98,14 +102,12 @@ def label() -> Column:
 
 def mentions(classified: DataFrame, universe: DataFrame) -> DataFrame:
     """``classified`` headlines by the symbols they name or whose sector they name, with the points that each counts."""
-    words = universe.select("symbol", F.lower("symbol").alias("_t"), F.lower(F.split("name", " ")[0]).alias("_w"), F.lower("sector").alias("_s"))
-    title = F.lower("title")
-    direct = ((F.length("_t") >= 3) & title.contains(F.col("_t"))) | ((F.length("_w") >= 4) & title.contains(F.col("_w")))
-    sector = (F.length("_s") >= 3) & title.contains(F.col("_s"))
-    met = containing(classified, words, direct | sector)
+    words = [(F.lower("symbol"), 3), (F.lower(F.split("name", " ")[0]), 4), (F.lower("sector"), 3)]
+    met = containing(classified, universe, "symbol", words)
+    direct = F.col("_kind") < 2
     weight = F.when(direct, F.when(F.col("impact") == "HIGH", 8).when(F.col("impact") == "MEDIUM", 5).otherwise(3)).otherwise(F.when(F.col("impact") == "HIGH", 3).otherwise(2))
     sign = F.when(F.col("sentiment") == "POSITIVE", 1).when(F.col("sentiment") == "NEGATIVE", -1).otherwise(0)
-    return met.withColumn("points", weight * sign).drop("_t", "_w", "_s")
+    return met.withColumn("points", weight * sign).drop("_kind")
 
 
 def structured(scored: DataFrame) -> DataFrame:
