@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,40 +13,59 @@ from barloom.functions.columns import money, money_times, return_percent
 HOLDINGS = "portfolio long, symbol string, qty long, average double, cash double, accepted long, rejected long"
 
 
-def execute(orders: pd.DataFrame, cash: float, held: dict[str, tuple[int, float]]) -> tuple[float, dict[str, tuple[int, float]], list[int]]:
-    """Cash, holdings (quantity and average price by symbol) and counts of accepted and rejected orders after these orders."""
+def execute(orders: Iterable[tuple], cash: float, held: dict[str, tuple[int, float]]) -> tuple[float, dict[str, tuple[int, float]], list[int]]:
+    """Cash, holdings (quantity and average price by symbol) and counts of accepted and rejected orders after these (symbol, side, qty, price)."""
     held, counts = dict(held), [0, 0]
-    for o in orders.itertuples(index=False):
-        qty, average = held.get(o.symbol, (0, 0.0))
-        value = round(o.qty * o.price, 2)
-        if o.qty <= 0 or (o.side == "BUY" and value > cash) or (o.side == "SELL" and o.qty > qty):
+    for symbol, side, amount, price in orders:
+        qty, average = held.get(symbol, (0, 0.0))
+        value = round(amount * price, 2)
+        if amount <= 0 or (side == "BUY" and value > cash) or (side == "SELL" and amount > qty):
             counts[1] += 1
             continue
         counts[0] += 1
-        if o.side == "BUY":
-            held[o.symbol] = (qty + o.qty, round((qty * average + value) / (qty + o.qty), 2))
+        if side == "BUY":
+            held[symbol] = (qty + amount, round((qty * average + value) / (qty + amount), 2))
             cash = round(cash - value, 2)
         else:
-            held[o.symbol] = (qty - o.qty, average)
+            held[symbol] = (qty - amount, average)
             cash = round(cash + value, 2)
-            if qty == o.qty:
-                del held[o.symbol]
+            if qty == amount:
+                del held[symbol]
     return cash, held, counts
 
 
 def replay(ledger: DataFrame, cash: float = 1_000_000.0) -> DataFrame:
     """Holdings and cash by replaying each portfolio's orders in turn: buys over the cash and sells over the holding are rejected.
 
-    Rejection depends on all orders before, so each portfolio is one ordered fold; portfolios are independent and spread over tasks.
+    Rejection depends on all orders before, so each portfolio is one ordered fold. Tasks get sorted orders and read them as a stream: what is held is one
+    Arrow batch and one portfolio's holdings, however many orders it has.
     """
 
-    def fold(key: tuple, orders: pd.DataFrame) -> pd.DataFrame:
-        left, held, counts = execute(orders.sort_values(["ts", "seq_key"]), cash, {})
-        rows = [(key[0], s, q, a, left, *counts) for s, (q, a) in sorted(held.items())] or [(key[0], None, 0, 0.0, left, *counts)]
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in HOLDINGS.split(", ")])
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, left, held, counts = None, cash, {}, [0, 0]
+
+        def told() -> list[tuple]:
+            if now is None:
+                return []
+            return [(now, s, q, a, left, *counts) for s, (q, a) in sorted(held.items())] or [(now, None, 0, 0.0, left, *counts)]
+
+        names = [x.split()[0] for x in HOLDINGS.split(", ")]
+        for batch in batches:
+            out = []
+            for portfolio, orders in batch.groupby("portfolio", sort=False):
+                if portfolio != now:
+                    out += told()
+                    now, left, held, counts = portfolio, cash, {}, [0, 0]
+                left, held, more = execute(orders[["symbol", "side", "qty", "price"]].itertuples(index=False, name=None), left, held)
+                counts = [counts[0] + more[0], counts[1] + more[1]]
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if now is not None:
+            yield pd.DataFrame(told(), columns=names)
 
     orders = ledger.select("portfolio", "symbol", "ts", "side", F.col("qty").cast("long").alias("qty"), F.col("price").cast("double").alias("price"), F.to_json("seq").alias("seq_key"))
-    return orders.groupBy("portfolio").applyInPandas(fold, HOLDINGS)
+    dealt = orders.where("portfolio IS NOT NULL").repartition("portfolio").sortWithinPartitions("portfolio", "ts", "seq_key")
+    return dealt.select("portfolio", "symbol", "side", "qty", "price").mapInPandas(fold, HOLDINGS)
 
 
 def summary(valued: DataFrame, cash: float = 1_000_000.0) -> DataFrame:

@@ -141,7 +141,9 @@ def sql(body: str, **local: str) -> str:
                 used[name] = known[name]
 
     need(body)
-    return ("WITH " + ", ".join(f"{name} AS MATERIALIZED ({text})" for name, text in used.items()) + " " if used else "") + body
+    own = {name for name, text in used.items() if re.search(rf"\b{name}\b", text)}  # these refer to themselves
+    parts = [f"{name} AS {'' if name in own else 'MATERIALIZED '}({text})" for name, text in used.items()]
+    return (f"WITH {'RECURSIVE ' if own else ''}{', '.join(parts)} " if used else "") + body
 
 
 def rounded(columns: str, digits: int = 6) -> str:

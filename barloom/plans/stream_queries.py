@@ -80,7 +80,8 @@ def stream_ledger(spark, sf_dir):
         (F.col("l_extendedprice") / F.col("l_quantity")).cast("decimal(18,4)").cast("decimal(14,2)").cast("double").alias("price"),
         F.to_json(F.struct(*tables.SEQ)).alias("seq_key"),
     )
-    return rounded(streams.drained(streams.ledger(rows), "ledger", "update"))
+    # line items land in no order of time, so none is late
+    return rounded(streams.latest_standing(streams.drained(streams.ledger(rows, late="3650 days"), "ledger")))
 
 
 def scan_bars(spark, sf_dir):
@@ -151,6 +152,31 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 LAST = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM ticks)"
+#: The greedy choice of exits, hit by hit; hits that the watermark hasn't passed at the end are open.
+EXITS = {
+    "brackets": "SELECT symbol, quantile_cont(px, 0.02) AS stop, quantile_cont(px, 0.98) AS target FROM ticks GROUP BY symbol",
+    "hits": """SELECT symbol, ts, px, CASE WHEN px <= stop THEN 'STOP' ELSE 'TARGET' END AS reason, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS k
+      FROM ticks JOIN brackets USING (symbol) WHERE (px <= stop OR px >= target) AND epoch_us(ts) <= 1000 * (SELECT max(epoch_ms(ts)) - 600000 FROM ticks)""",
+    "walk": """SELECT symbol, k, ms AS last, true AS fired FROM hits WHERE k = 1 UNION ALL
+      SELECT h.symbol, h.k, CASE WHEN h.ms - w.last > 3600000 THEN h.ms ELSE w.last END, h.ms - w.last > 3600000 FROM walk w JOIN hits h ON h.symbol = w.symbol AND h.k = w.k + 1""",
+}
+#: A portfolio's orders one after the other: cash, holdings and counts after each. Cents are rounded as they are printed, from the exact double.
+TWO = "printf('%.2f', {})::DOUBLE"
+REPLAY = {
+    "turns": """SELECT o_custkey AS portfolio, p_brand AS symbol, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side, l_quantity::BIGINT AS qty,
+      (l_extendedprice / l_quantity)::DECIMAL(18,4)::DECIMAL(14,2)::DOUBLE AS price,
+      row_number() OVER (PARTITION BY o_custkey ORDER BY l_shipdate, l_orderkey || ',"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey || ',') AS k
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
+    "folds": f"""SELECT DISTINCT portfolio, 0::BIGINT AS k, 1000000.0::DOUBLE AS cash, CAST([] AS STRUCT(s VARCHAR, q BIGINT, a DOUBLE)[]) AS held, 0::BIGINT AS accepted, 0::BIGINT AS rejected FROM turns UNION ALL
+      SELECT portfolio, k, CASE WHEN NOT ok THEN cash WHEN side = 'BUY' THEN {TWO.format('cash - value')} ELSE {TWO.format('cash + value')} END,
+        CASE WHEN ok THEN list_concat(rest, CASE WHEN side = 'BUY' THEN [{{'s': symbol, 'q': have + qty, 'a': {TWO.format('(have * average + value) / (have + qty)')}}}]
+          WHEN have > qty THEN [{{'s': symbol, 'q': have - qty, 'a': average}}] ELSE [] END) ELSE held END, accepted + ok::INT, rejected + (NOT ok)::INT FROM (
+      SELECT *, qty > 0 AND CASE WHEN side = 'BUY' THEN value <= cash ELSE qty <= have END AS ok FROM (
+      SELECT *, coalesce(own.q, 0) AS have, coalesce(own.a, 0.0) AS average FROM (
+      SELECT t.*, f.cash, f.held, f.accepted, f.rejected, {TWO.format('t.qty * t.price')} AS value, list_filter(f.held, lambda x: x.s = t.symbol)[1] AS own, list_filter(f.held, lambda x: x.s <> t.symbol) AS rest
+      FROM folds f JOIN turns t ON t.portfolio = f.portfolio AND t.k = f.k + 1)))""",
+    "ended": "SELECT portfolio, arg_max(cash, k) AS cash, arg_max(held, k) AS held, arg_max(accepted, k) AS accepted, arg_max(rejected, k) AS rejected FROM folds GROUP BY portfolio",
+}
 ORACLE_SQL = {
     "stream_latest_quote": sql("SELECT symbol, max(ts)::VARCHAR AS ts, round(arg_max(px, row(ts, seq)), 6) AS px FROM ticks GROUP BY symbol"),
     "stream_bars": sql(
@@ -165,6 +191,14 @@ ORACLE_SQL = {
         "SELECT ('0x' || substr(md5(symbol), 1, 8))::BIGINT AS alert, min(ts)::VARCHAR AS ts, round(arg_min(px, row(ts, seq)), 6) AS px FROM ticks JOIN tops USING (symbol) WHERE px >= target GROUP BY symbol",
         tops="SELECT symbol, quantile_cont(px, 0.98) AS target FROM ticks GROUP BY symbol",
     ),
+    "stream_exits": sql("SELECT p AS portfolio, symbol, ts::VARCHAR AS ts, round(px, 6) AS px, reason FROM walk JOIN hits USING (symbol, k), (VALUES (1::BIGINT), (2::BIGINT)) v(p) WHERE fired", **EXITS),
+    "stream_ledger": sql("SELECT portfolio, round(cash, 6) + 0.0 AS cash, len(held)::BIGINT AS positions, accepted, rejected FROM ended", **REPLAY),
+    "ledger_replay": sql(
+        """SELECT portfolio, symbol, qty, average, cash, accepted, rejected FROM (
+        SELECT portfolio, h.s AS symbol, h.q AS qty, h.a AS average, cash, accepted, rejected FROM (SELECT *, unnest(held) AS h FROM ended)
+        UNION ALL SELECT portfolio, NULL, 0, 0.0, cash, accepted, rejected FROM ended WHERE len(held) = 0)""",
+        **REPLAY,
+    ),
     "stream_headlines": sql("SELECT DISTINCT url, category, sentiment, impact FROM news", news=NEWS, headlines="SELECT doc_id AS id, text AS title, source, 'https://news.example/' || source || '/' || sha256(text) AS url FROM documents"),
     "stream_sentiment": sql(
         """SELECT symbol, start::VARCHAR AS start, score, news, CASE WHEN score >= 4 THEN 'BULLISH' WHEN score <= -4 THEN 'BEARISH' ELSE 'NEUTRAL' END AS label FROM (

@@ -1,13 +1,25 @@
-"""The folder that driver and executors share."""
+"""What driver and executors share: a folder, and this package."""
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors through Spark, once for each application: their Python workers import it."""
+    context = spark.sparkContext
+    if not hasattr(context, "_barloom_shipped"):
+        package = Path(__file__).resolve().parents[1]
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/{package.name}", "zip", package.parent, package.name)
+        context.addPyFile(archive)
+        context._barloom_shipped = archive
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path under ``spark.checkpoint.dir``. Where that is unset a local session gets a temporary folder; any other master is refused."""
     context = spark.sparkContext

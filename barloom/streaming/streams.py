@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.operators import news
-from barloom.operators.portfolio import execute
 from barloom.sources.shared import shared_path
+from barloom.streaming import ordered
 
 
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
@@ -42,65 +37,43 @@ def stream_bars(quotes: DataFrame, width: str = "1 hour", late: str = "10 minute
     )
 
 
-def exits(quotes: DataFrame, positions: DataFrame, cooldown_ms: int = 60_000) -> DataFrame:
-    """One exit when a price leaves a position's bracket (portfolio, symbol, stop, target), then none during the cooldown (append mode).
+def exits(quotes: DataFrame, positions: DataFrame, cooldown_ms: int = 60_000, sells: DataFrame | None = None, late: str = "10 minutes") -> DataFrame:
+    """An exit when a price leaves a position's bracket (portfolio, symbol, stop, target), then none during the cooldown (append mode).
 
-    The static side is joined by symbol; state per position is the time of its last exit, dropped when the cooldown is over.
+    A stream of ``sells`` by hand (portfolio, symbol, ts) starts the cooldown too. Both are taken in the order of events: an exit is told when the watermark
+    has passed it. The static side is joined by symbol.
     """
-    hits = quotes.join(positions, "symbol").where((F.col("px") <= F.col("stop")) | (F.col("px") >= F.col("target")))
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        last = state.get[0] if state.exists else None
-        out = []
-        for r in rows.itertuples(index=False):
-            at = int(r.ts.value // 1_000_000)
-            if last is None or at - last > cooldown_ms:
-                last = at
-                out.append((*key, r.ts, r.px, "STOP" if r.px <= r.stop else "TARGET"))
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + cooldown_ms + 1, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["portfolio", "symbol", "ts", "px", "reason"])
-
-    keyed = hits.withWatermark("ts", "10 minutes").groupBy("portfolio", "symbol")
-    return keyed.applyInPandasWithState(step, "portfolio long, symbol string, ts timestamp, px double, reason string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def alerts(quotes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Each alert (alert, symbol, level, condition) fires once, at the first price that meets it (append mode)."""
+    hits = quotes.withWatermark("ts", late).join(positions, "symbol").where((F.col("px") <= F.col("stop")) | (F.col("px") >= F.col("target")))
+    reason = F.when(F.col("px") <= F.col("stop"), "STOP").otherwise("TARGET")
+    rows = hits.select("portfolio", "symbol", "ts", F.unix_micros("ts").alias("at"), F.col("seq").cast("long").alias("seq"), "px", reason.alias("reason"))
+    if sells is not None:
+        sold = sells.withWatermark("ts", late).select("portfolio", "symbol", "ts", F.unix_micros("ts").alias("at"), F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("double").alias("px"), F.lit(None).cast("string").alias("reason"))
+        rows = rows.unionByName(sold)
+    made = ordered.run(rows, ["portfolio", "symbol"], ordered.Exits(cooldown_ms), ordered.Exits.OUT)
+    return made.select("portfolio", "symbol", F.timestamp_micros("at").alias("ts"), "px", "reason")
+
+
+def alerts(quotes: DataFrame, wanted: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Each alert (alert, symbol, level, condition) fires once, at the first price that meets it in the order of events (append mode)."""
     met = F.when(F.col("condition") == "ABOVE", F.col("px") >= F.col("level")).otherwise(F.col("px") <= F.col("level"))
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            return
-        # of each batch only its first row is kept
-        first = pd.concat([b.nsmallest(1, ["ts", "seq"]) for b in batches]).nsmallest(1, ["ts", "seq"]).iloc[0]
-        state.update((True,))
-        yield pd.DataFrame([(*key, first.ts, first.px)], columns=["alert", "ts", "px"])
-
-    return quotes.join(wanted, "symbol").where(met).groupBy("alert").applyInPandasWithState(step, "alert long, ts timestamp, px double", "fired boolean", "append", GroupStateTimeout.NoTimeout)
+    rows = quotes.withWatermark("ts", late).join(wanted, "symbol").where(met).select("alert", "ts", F.unix_micros("ts").alias("at"), F.col("seq").cast("long").alias("seq"), "px")
+    return ordered.run(rows, ["alert"], ordered.Alerts(), ordered.Alerts.OUT).select("alert", F.timestamp_micros("at").alias("ts"), "px")
 
 
-def ledger(orders: DataFrame, cash: float = 1_000_000.0) -> DataFrame:
-    """Each portfolio's cash, holdings and order counts so far, after every batch in which it traded (update mode).
+def ledger(orders: DataFrame, cash: float = 1_000_000.0, late: str = "1 day") -> DataFrame:
+    """Where each portfolio stands after every batch in which it traded, with all orders known so far executed in the order of events (append mode).
 
-    State is what :func:`barloom.operators.portfolio.execute` needs: the cash, the holdings and the counts.
+    Orders (portfolio, symbol, ts, side, qty, price, seq_key) are final, and only then in the state for good, when the watermark has passed them. Of a
+    portfolio's rows the one of the highest ``version`` is the latest.
     """
+    rows = orders.withWatermark("ts", late).select("portfolio", "ts", F.unix_micros("ts").alias("at"), F.col("seq_key").alias("seq"), "symbol", "side", F.col("qty").cast("long").alias("qty"), F.col("price").cast("double").alias("price"))
+    return ordered.run(rows, ["portfolio"], ordered.Ledger(cash), ordered.Ledger.OUT)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        left, held, accepted, rejected = state.get if state.exists else (cash, "{}", 0, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq_key"])
-        left, now, counts = execute(rows, left, {k: tuple(v) for k, v in json.loads(held).items()})
-        accepted, rejected = accepted + counts[0], rejected + counts[1]
-        state.update((left, json.dumps(now, sort_keys=True), accepted, rejected))
-        yield pd.DataFrame([(key[0], left, len(now), accepted, rejected)], columns=["portfolio", "cash", "positions", "accepted", "rejected"])
 
-    kept = "cash double, held string, accepted long, rejected long"
-    return orders.groupBy("portfolio").applyInPandasWithState(step, "portfolio long, cash double, positions long, accepted long, rejected long", kept, "update", GroupStateTimeout.NoTimeout)
+def latest_standing(standings: DataFrame) -> DataFrame:
+    """The last row of each portfolio of :func:`ledger`."""
+    rest = F.struct("cash", "positions", "accepted", "rejected")
+    return standings.groupBy("portfolio").agg(F.max_by(rest, "version").alias("r")).select("portfolio", "r.*")
 
 
 def stream_headlines(headlines: DataFrame, late: str = "1 day") -> DataFrame:
