@@ -17,6 +17,7 @@ from barloom.plans.oracle import rounded as r
 from barloom.plans.oracle import sql
 from barloom.plans.outcome_queries import S, SCORES_ONLY, scored
 from barloom.sources import files, tables
+from barloom.sources.quotes import quote_stream
 from barloom.sources.shared import shared_path
 from barloom.streaming import streams
 
@@ -31,12 +32,19 @@ def levels(spark, sf_dir):
     return tables.ticks(spark, sf_dir).groupBy("symbol").agg(q.alias("q")).select("symbol", F.get("q", F.lit(0)).alias("stop"), F.get("q", F.lit(1)).alias("target"))
 
 
+def polls(spark, sf_dir):
+    """Events as landed quotes, polled ten days at a time. Symbols are a bounded list."""
+    path = f"{sf_dir}/events.parquet"
+    symbols = [r[0] for r in spark.read.parquet(path).select("event_type").where("event_type IS NOT NULL").distinct().collect()]
+    return quote_stream(spark, path, symbols, "event_type,ts,value,event_id", step=864_000)
+
+
 def stream_latest_quote(spark, sf_dir):
-    return rounded(streams.drained(streams.latest_quotes(quotes(spark, sf_dir)), "latest", "complete"))
+    return rounded(streams.drained(streams.latest_quotes(polls(spark, sf_dir)), "latest", "complete", polled=True))
 
 
 def stream_bars(spark, sf_dir):
-    return rounded(streams.drained(streams.stream_bars(quotes(spark, sf_dir)), "bars"))
+    return rounded(streams.drained(streams.stream_bars(polls(spark, sf_dir)), "bars", polled=True))
 
 
 def stream_activity(spark, sf_dir):

@@ -95,14 +95,20 @@ def stream_activity(quotes: DataFrame, width: str = "24 hours", slide: str = "6
     return sums.select("symbol", F.col("w.start").alias("start"), "n", "total")
 
 
-def drained(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """All that ``stream`` yields for what its source holds now, by way of the shared folder."""
+def drained(stream: DataFrame, label: str, mode: str = "append", polled: bool = False) -> DataFrame:
+    """All that ``stream`` yields for what its source holds now, by way of the shared folder. A ``polled`` source is asked until it has nothing new."""
     spark = stream.sparkSession
     out = shared_path(spark, label)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/{'all' if mode == 'complete' else number}")
 
-    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", shared_path(spark, f"{label}-log")).trigger(availableNow=True).start()
+    writer = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", shared_path(spark, f"{label}-log"))
+    if polled:
+        query = writer.start()
+        query.processAllAvailable()
+        query.stop()
+    else:
+        query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/*")
