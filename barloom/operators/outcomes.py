@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import ratio
@@ -88,11 +88,22 @@ def auc(scored: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, "n", area.alias("auc"), (F.col("right") / F.col("n")).alias("accuracy"))
 
 
-def trade_metrics(trades: DataFrame, keys: list[str]) -> DataFrame:
-    """Rates, gains, losses and profit factor of trades (gross, net, exit_reason) by any key."""
+def sets_of(df: DataFrame, keys: list[str], subtotals: list[list[str]], name: str = "ALL") -> tuple[GroupedData, list[Column]]:
+    """``df`` grouped by ``keys`` and by each of the fewer keys of ``subtotals``, in one aggregation; and the keys, called ``name`` where a row is summed over them.
+
+    A key that is null in the data stays null.
+    """
+    grouped = df.groupingSets([[F.col(k) for k in some] for some in [keys, *subtotals]], *[F.col(k) for k in keys])
+    return grouped, [F.when(F.col(f"_over_{k}") == 1, F.lit(name)).otherwise(F.col(k)).alias(k) for k in keys]
+
+
+def trade_metrics(trades: DataFrame, keys: list[str], subtotals: list[list[str]] | None = None) -> DataFrame:
+    """Rates, gains, losses and profit factor of trades (gross, net, exit_reason) by any key, and by fewer of them as ``subtotals`` asks for."""
     net = F.col("net")
     gains, losses = F.sum(F.when(net > 0, net)), F.sum(F.when(net <= 0, net))
-    return trades.groupBy(*keys).agg(
+    grouped, named = sets_of(trades, keys, subtotals) if subtotals else (trades.groupBy(*keys), None)
+    sums = grouped.agg(
+        *[F.grouping(k).alias(f"_over_{k}") for k in keys if subtotals],
         F.count("*").alias("trades"),
         (F.avg((F.col("gross") > 0).cast("double")) * 100).alias("win_rate"),
         (F.avg(F.when(net > 0, net)) * 100).alias("avg_gain"),
@@ -101,6 +112,7 @@ def trade_metrics(trades: DataFrame, keys: list[str]) -> DataFrame:
         (F.avg((F.col("exit_reason") == "TARGET_PROFIT").cast("double")) * 100).alias("target_hit_rate"),
         F.coalesce(F.coalesce(gains, F.lit(0.0)) / F.nullif(F.abs(losses), F.lit(0.0)), F.when(gains > 0, 99.0).otherwise(0.0)).alias("profit_factor"),
     )
+    return sums.select(*named, *[c for c in sums.columns if c not in keys and not c.startswith("_over_")]) if named else sums
 
 
 def equity_curve(trades: DataFrame, keys: list[str], order: list[str], share: float = 1.0) -> DataFrame:

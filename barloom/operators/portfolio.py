@@ -96,6 +96,24 @@ def concentration(valued: DataFrame, universe: DataFrame, cash: float = 1_000_00
     )
 
 
+def drill_down(valued: DataFrame, universe: DataFrame, cash: float = 1_000_000.0, limit: float = 40) -> DataFrame:
+    """Totals of positions by portfolio and sector, by portfolio, by sector and of all, from one aggregation. ``level`` tells which keys a row is of.
+
+    ``weight`` is a sector's share of its portfolio with its cash, in percent; null above the portfolios. Sectors without a name are ``General``.
+    """
+    df = valued.join(universe.select("symbol", "sector"), "symbol", "left").withColumn("sector", F.coalesce("sector", F.lit("General")))
+    sums = df.cube("portfolio", "sector").agg(
+        F.grouping_id().alias("_id"), F.count("*").alias("positions"), *[F.sum(c).cast("decimal(18,2)").alias(c) for c in ("invested", "current_value", "today_pnl")]
+    )
+    level = F.element_at(F.array(F.lit("SECTOR_OF_PORTFOLIO"), F.lit("PORTFOLIO"), F.lit("SECTOR"), F.lit("ALL")), (F.col("_id") + 1).cast("int"))
+    # a portfolio has a row for each sector and one of its own
+    whole = F.max(F.when(F.col("_id") == 1, F.col("current_value").cast("double"))).over(Window.partitionBy("portfolio", F.col("_id") > 1)) + cash
+    weight = F.when(F.col("_id") <= 1, F.col("current_value").cast("double") / whole * 100)
+    told = sums.withColumns({"level": level, "weight": weight, "pnl": (F.col("current_value") - F.col("invested")).cast("decimal(18,2)")})
+    alert = ((F.col("_id") == 0) & (F.col("weight") >= limit)).cast("int")
+    return told.select("level", "portfolio", "sector", "positions", "invested", "current_value", "today_pnl", "pnl", "weight", alert.alias("alert"))
+
+
 def journal(trades: DataFrame, universe: DataFrame, text: str = "", side: str | None = None, order: str = "newest") -> DataFrame:
     """Trades whose symbol or name holds ``text``, of one side or both, in order: ``newest``, ``oldest`` or ``highest_value``."""
     value = money_times(F.col("qty"), F.col("price"))

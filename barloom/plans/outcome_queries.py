@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import rounded
-from barloom.operators import joins, labels, news, outcomes, portfolio, scoring
+from barloom.operators import joins, labels, news, outcomes, portfolio, quantiles, scoring
 from barloom.plans.data_queries import NAMED, POSITIONS, decimals, named, positions
 from barloom.plans.news_sql import NEWS, TOLD
 from barloom.plans.oracle import layered as nested
@@ -87,9 +87,7 @@ def signal_outcomes(spark, sf_dir):
 def metrics_by_partition(spark, sf_dir):
     """Trades by partition and horizon, with subtotals."""
     t = trades(spark, sf_dir)
-    keys = [F.coalesce("partition", F.lit("?")).alias("partition"), F.col("horizon")]
-    every = t.select("*").withColumn("partition", F.explode(F.array("partition", F.lit("ALL"))))
-    return rounded(outcomes.trade_metrics(every.withColumn("partition", keys[0]), ["partition", "horizon"]))
+    return rounded(outcomes.trade_metrics(trades(spark, sf_dir), ["partition", "horizon"], [["horizon"]]))
 
 
 def risk_by_horizon(spark, sf_dir):
@@ -143,6 +141,19 @@ def return_quantiles(spark, sf_dir):
     return rounded(scored(spark, sf_dir).groupBy("horizon").agg(q.alias("q")).select("horizon", *[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("bull", "base", "bear"))]))
 
 
+def quantile_windows(spark, sf_dir):
+    """Quantiles of the last twelve months' returns, by horizon and month: the exact ones, and whether merged sketches of months come as near as their bound says.
+
+    Many windows are asked for, so three times the bound of 99 percent is allowed.
+    """
+    ranks, rows = [0.85, 0.5, 0.15], scored(spark, sf_dir)
+    told = quantiles.windowed(quantiles.monthly(rows, ["horizon"], "ret", "bar"), ["horizon"], 12)
+    measured = quantiles.off_by(rows, told, ["horizon"], "ret", "bar", 12, ranks).select("horizon", "month", "n", (F.col("error") <= 3 * quantiles.rank_error() + 1 / F.col("n")).alias("within"))
+    truth = quantiles.exact(rows, ["horizon"], "ret", "bar", 12, ranks)
+    shown = [F.get("exact", F.lit(k)).alias(n) for k, n in enumerate(("bull", "base", "bear"))]
+    return rounded(measured.join(truth, ["horizon", "month"]).select("horizon", "month", "n", *shown, "within"))
+
+
 def benchmark_return(spark, sf_dir):
     df = tables.bars(spark, sf_dir).groupBy("symbol").agg(F.min_by("close", "bar").alias("first"), F.max_by("close", "bar").alias("last"), F.count("*").alias("n"))
     return rounded(df.select("symbol", "n", (F.pow(F.col("last") / F.col("first"), 252 / F.col("n")) - 1).alias("annual_return")))
@@ -166,6 +177,11 @@ def portfolio_summary(spark, sf_dir):
     return decimals(rounded(portfolio.summary(joins.value_positions(positions(spark, sf_dir), tables.quotes(tables.bars(spark, sf_dir))))))
 
 
+def sector_drilldown(spark, sf_dir):
+    valued = joins.value_positions(positions(spark, sf_dir), tables.quotes(tables.bars(spark, sf_dir)))
+    return decimals(rounded(portfolio.drill_down(valued, tables.universe(spark, sf_dir))))
+
+
 def concentration(spark, sf_dir):
     valued = joins.value_positions(positions(spark, sf_dir), tables.quotes(tables.bars(spark, sf_dir)))
     return rounded(portfolio.concentration(valued, tables.universe(spark, sf_dir)))
@@ -263,8 +279,8 @@ def resolved_predictions(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     path_outcomes, signal_outcomes, metrics_by_partition, risk_by_horizon, equity_curve, calibration_metrics, reliability_curve, auc_accuracy,
-    empirical_buckets, expected_return, binned_isotonic, calibrated, return_quantiles, benchmark_return, model_comparison, position_values,
-    portfolio_summary, concentration, ledger_replay, exit_signals, bracket_levels, trade_summary, classify_headlines, symbol_sentiment, time_ago,
+    empirical_buckets, expected_return, binned_isotonic, calibrated, return_quantiles, quantile_windows, benchmark_return, model_comparison, position_values,
+    portfolio_summary, sector_drilldown, concentration, ledger_replay, exit_signals, bracket_levels, trade_summary, classify_headlines, symbol_sentiment, time_ago,
     search_universe, screener, filter_news, news_for_symbol, trade_history, active_alerts, model_gates, resolved_predictions,
 )}
 
@@ -360,6 +376,25 @@ ORACLE_SQL = {
         **S, bins8=BINS8, blocks=BLOCKS, knots=KNOTS,
     ),
     "return_quantiles": sql("SELECT horizon, round(quantile_cont(ret, 0.85), 6) AS bull, round(quantile_cont(ret, 0.5), 6) + 0.0 AS base, round(quantile_cont(ret, 0.15), 6) AS bear FROM scored GROUP BY horizon", **S),
+    "quantile_windows": sql(
+        """SELECT horizon, ends::DATE::VARCHAR AS month, count(*) AS n, round(quantile_cont(ret, 0.85), 6) + 0.0 AS bull, round(quantile_cont(ret, 0.5), 6) + 0.0 AS base, round(quantile_cont(ret, 0.15), 6) + 0.0 AS bear, true AS "within"
+        FROM (SELECT DISTINCT horizon AS hz, date_trunc('month', bar) AS ends FROM scored) JOIN scored ON horizon = hz AND date_trunc('month', bar) <= ends AND date_trunc('month', bar) > ends - INTERVAL 12 MONTH GROUP BY horizon, ends""",
+        **S,
+    ),
+    "sector_drilldown": sql(
+        " UNION ALL ".join(
+            f"""SELECT '{level}' AS level, {p} AS portfolio, {s} AS sector, count(*) AS positions, sum(invested)::DOUBLE AS invested, sum(current_value)::DOUBLE AS current_value, sum(today_pnl)::DOUBLE AS today_pnl,
+            (sum(current_value) - sum(invested))::DOUBLE AS pnl, {weight} AS weight, {alert} AS alert FROM placed {group}"""
+            for level, p, s, weight, alert, group in (
+                ("SECTOR_OF_PORTFOLIO", "portfolio", "sec", "round(sum(current_value)::DOUBLE / any_value(whole) * 100, 6)", "(sum(current_value)::DOUBLE / any_value(whole) * 100 >= 40)::INT", "GROUP BY portfolio, sec"),
+                ("PORTFOLIO", "portfolio", "NULL", "round(sum(current_value)::DOUBLE / any_value(whole) * 100, 6)", "0", "GROUP BY portfolio"),
+                ("SECTOR", "NULL", "sec", "NULL::DOUBLE", "0", "GROUP BY sec"),
+                ("ALL", "NULL", "NULL", "NULL::DOUBLE", "0", "HAVING count(*) > 0"),
+            )
+        ),
+        placed="SELECT v.*, coalesce(u.sector, 'General') AS sec, sum(current_value) OVER (PARTITION BY portfolio)::DOUBLE + 1000000 AS whole FROM valued v LEFT JOIN universe u USING (symbol)",
+        **P,
+    ),
     "benchmark_return": sql("SELECT symbol, count(*) AS n, round(pow(arg_max(close, bar) / arg_min(close, bar), 252.0 / count(*)) - 1, 6) AS annual_return FROM bars GROUP BY symbol"),
     "model_comparison": sql(
         f"""SELECT model, n::BIGINT AS n, round(brier, 6) AS brier, round(ece, 6) AS ece FROM (SELECT model, {CALIBRATED} FROM (

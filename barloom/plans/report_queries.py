@@ -48,12 +48,13 @@ def partition_performance(spark, sf_dir):
 
 def overall_summary(spark, sf_dir):
     """All trades and each horizon's: rates, mean gain and loss, and how many losses a gain makes good."""
-    t = judged(spark, sf_dir).withColumn("horizon", F.explode(F.array("horizon", F.lit("ALL"))))
     won, lost = F.avg(F.when(F.col("net") > 0, F.col("net"))), F.abs(F.avg(F.when(F.col("net") <= 0, F.col("net"))))
-    sums = t.groupBy("horizon").agg(
-        F.count("*").alias("trades"), (F.avg("right") * 100).alias("win_rate"), (F.avg("net") * 100).alias("avg_return"), F.coalesce(won, F.lit(0.0)).alias("avg_win"),
+    grouped, named = outcomes.sets_of(judged(spark, sf_dir), ["horizon"], [[]])
+    sums = grouped.agg(
+        F.grouping("horizon").alias("_over_horizon"), F.count("*").alias("trades"), (F.avg("right") * 100).alias("win_rate"), (F.avg("net") * 100).alias("avg_return"), F.coalesce(won, F.lit(0.0)).alias("avg_win"),
         F.coalesce(lost, F.lit(0.0)).alias("avg_loss"), F.avg(F.pow(F.col("own") - F.col("right"), 2)).alias("brier"),
     )
+    sums = sums.select(*named, *[c for c in sums.columns if not c.endswith("horizon")])
     return rounded(sums.withColumn("reward_risk", F.coalesce(F.col("avg_win") / F.nullif("avg_loss", F.lit(0.0)), F.lit(0.0))))
 
 
