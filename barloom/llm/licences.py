@@ -1,7 +1,9 @@
 """Operator 8: licences by sentence rules (built-in functions only).
 
 Texts are cut into sentences, each sentence is normalised (lower case, letters and digits, single spaces) and looked up
-among known licence sentences; one with an inner stop or colon is known by all its parts in sequence. A sentence ends at a stop or a
+among known licence sentences; one with an inner stop or colon is known by all its parts in sequence. Before that the forms that
+vary are brought to known ones (:func:`rewritten`): holders' names in conditions, notices "under the terms of" a licence within a sentence, and expressions of
+identifiers, each operand of which is a tag of its own (an exception after WITH is left as an unknown sentence). A sentence ends at a stop or a
 line's end, and one that is known may run over the ends of lines, but not over blank ones. The sequence of the identifiers found, unknown sentences left out, is matched against
 rules in order: a rule holds where its identifiers stand next to each other in the sequence. The first rule that holds
 names the licence; ``licences`` lists those of all rules that hold.
@@ -105,6 +107,8 @@ NAMED = {
     "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GPLv2"],
     "GPL-2.0-only": [],
     "GPL-2.0-or-later": [],
+    "GPL-1.0-only": [],
+    "GPL-1.0-or-later": [],
     "LGPL-3.0": ["GNU Lesser General Public License, version 3", "LGPLv3"],
     "LGPL-3.0-only": [],
     "LGPL-3.0-or-later": [],
@@ -132,6 +136,67 @@ NAMED = {
     "PostgreSQL": ["PostgreSQL License"],
     "WTFPL": ["WTFPL"],
     "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal License"],
+    "AFL-3.0": ["Academic Free License 3.0", "Academic Free License version 3.0"],
+    "Apache-1.1": ["Apache License 1.1", "Apache License, Version 1.1"],
+    "APSL-2.0": ["Apple Public Source License 2.0"],
+    "Artistic-1.0": ["Artistic License 1.0"],
+    "BlueOak-1.0.0": ["Blue Oak Model License 1.0.0"],
+    "CDDL-1.0": ["Common Development and Distribution License 1.0"],
+    "CDDL-1.1": ["Common Development and Distribution License 1.1"],
+    "CECILL-2.1": ["CeCILL 2.1"],
+    "CPL-1.0": ["Common Public License 1.0"],
+    "ECL-2.0": ["Educational Community License, Version 2.0"],
+    "EUPL-1.1": ["European Union Public Licence 1.1"],
+    "FSFAP": [],
+    "FTL": ["Freetype Project License"],
+    "GFDL-1.3-only": [],
+    "GFDL-1.3-or-later": [],
+    "ICU": ["ICU License"],
+    "IJG": [],
+    "JSON": ["JSON License"],
+    "LPPL-1.3c": ["LaTeX Project Public License 1.3c", "LaTeX Project Public License, version 1.3c"],
+    "MIT-0": ["MIT No Attribution License"],
+    "MPL-1.0": ["Mozilla Public License 1.0"],
+    "MS-PL": ["Microsoft Public License"],
+    "MS-RL": ["Microsoft Reciprocal License"],
+    "MulanPSL-2.0": ["Mulan Permissive Software License, Version 2"],
+    "NCSA": ["University of Illinois/NCSA Open Source License"],
+    "ODbL-1.0": ["Open Database License 1.0", "Open Data Commons Open Database License 1.0"],
+    "OpenSSL": ["OpenSSL License"],
+    "OSL-3.0": ["Open Software License 3.0", "Open Software License version 3.0"],
+    "PHP-3.01": ["PHP License 3.01", "PHP License, version 3.01"],
+    "PSF-2.0": ["Python Software Foundation License 2.0"],
+    "Python-2.0": [],
+    "Ruby": ["Ruby License"],
+    "Vim": ["Vim License"],
+    "W3C": ["W3C Software License"],
+    "X11": ["X11 License"],
+    "ZPL-2.1": ["Zope Public License 2.1", "Zope Public License, Version 2.1"],
+}
+# families whose licences say whether later versions count too
+for _code, _name, _versions in (
+    ("GPL", "GNU General Public License", ("1", "2", "3")),
+    ("LGPL", "GNU Lesser General Public License", ("2.1", "3")),
+    ("AGPL", "GNU Affero General Public License", ("3",)),
+):
+    for _version in _versions:
+        _id = f"{_code}-{_version if '.' in _version else _version + '.0'}"
+        _named = [f"{x}{v}{_version}" for x in (_name, f"GNU {_code}", _code) for v in (" version ", " v", "v")]
+        NAMED[f"{_id}-only"] += [f"{n}{x}" for n in _named for x in (" only", " as published by the Free Software Foundation")]
+        NAMED[f"{_id}-or-later"] += [f"{_id}+"] + [f"{n}{x}" for n in _named for x in ("+", " or later", " or any later version", " or at your option any later version")]
+        if _id in NAMED:
+            NAMED[_id] += [n for n in _named if n not in NAMED[_id] and n.lower() not in {re.sub(",", "", x.lower()) for x in NAMED[_id]}]
+#: Title lines of whole licence texts; a space may be a line's end.
+TITLES = {
+    "Apache-2.0": ["Apache License Version 2.0, January 2004"],
+    "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "LGPL-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "AGPL-3.0": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "MPL-2.0": ["Mozilla Public License Version 2.0", "Mozilla Public License, version 2.0"],
+    "EPL-2.0": ["Eclipse Public License - v 2.0"],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003"],
 }
 for _kind, _words in {
     "BY": "Attribution",
@@ -145,10 +210,11 @@ for _kind, _words in {
     NAMED[f"CC-{_kind}-3.0"] = [f"CC {_kind} 3.0", f"Creative Commons {_words} 3.0 Unported License", f"Creative Commons {_words} 3.0 License"]
 #: SPDX identifiers and names stand in these sentences.
 TAGS = ["SPDX-License-Identifier: {}", "License: {}"]
-USES = [f"{who}{verb} under {article}{{}}." for who in ("", "This work is ", "This project is ", "This software is ") for verb in ("licensed", "released") for article in ("", "the ", "a ")]
+USES = ["licensed under {}."]
 
 #: Rules in order, the more special first: a licence and the identifiers that stand for it.
 RULES = [
+    *[(licence, [f"{licence.lower()}-title"]) for licence in TITLES],
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("MIT", ["mit-grant", "mit-notice", "as-is"]),
@@ -177,7 +243,7 @@ FURTHER_RULES = [
 ]
 
 #: What normalising turns into a space, where sentences end, and what is trimmed from them.
-OTHER = r"[^a-z0-9.!?;:\n]+"
+OTHER = r"[^a-z0-9.!?;:+\n]+"
 END = r"[.!?;:]+ |\n"
 EDGE = ".!?;: "
 #: An end by a stop, and one by a line; both with what is trimmed around them.
@@ -191,12 +257,16 @@ def normalised(sentence: str) -> list[str]:
     return [part.strip(EDGE) for part in parts if part.strip(EDGE)]
 
 
+def key_of(sentence: str) -> str:
+    return re.sub(*CALLED, "|".join(normalised(sentence)))
+
+
 def phrases(entries: dict[str, list[str]]) -> dict[str, str]:
     """Normalised entry to identifier: all its parts, ``|`` between them. Two identifiers must not share one."""
     out: dict[str, str] = {}
     for name, versions in entries.items():
         for version in versions:
-            if out.setdefault(key := "|".join(normalised(version)), name) != name:
+            if out.setdefault(key := key_of(version), name) != name:
                 raise ValueError(f"{name} and {out[key]} share {key!r}")
     return out
 
@@ -204,10 +274,12 @@ def phrases(entries: dict[str, list[str]]) -> dict[str, str]:
 def entries() -> dict[str, list[str]]:
     """All sentences by identifier; those made from names leave out what is a sentence of its own."""
     out = {k: SENTENCES.get(k, []) + FURTHER.get(k, []) for k in SENTENCES | FURTHER}
+    out |= {f"{licence.lower()}-title": titles for licence, titles in TITLES.items()}
     taken = phrases(out)
     for licence, names in NAMED.items():
         made = [tag.format(x) for tag in TAGS for x in [licence, *names]] + [use.format(x) for use in USES for x in names]
-        out[f"{licence.lower()}-known"] = [x for x in made if "|".join(normalised(x)) not in taken]
+        out[f"{licence.lower()}-known"] = [x for x in made if key_of(x) not in taken]
+        taken |= phrases({f"{licence.lower()}-known": out[f"{licence.lower()}-known"]})
     return out
 
 
@@ -216,6 +288,34 @@ def rules() -> list[tuple[str, list[str]]]:
     return [*RULES[:-1], *FURTHER_RULES, RULES[-1]]
 
 
+#: The sign of an expression of identifiers, what joins them, and what stands before an exception.
+TAG, JOINED, EXCEPT = "spdx license identifier", " (?:and|or) ", " with "
+#: This "or" doesn't join; so it is written while an expression is cut.
+LATER, KEPT = " or later", "+or+later"
+#: "This work is released under the ..." and the like in one form, in texts and in the catalogue.
+CALLED = (r"(?:this[ \n](?:work|project|software)[ \n]is[ \n])?(?:licensed|released)[ \n]under[ \n](?:(?:the|a)[ \n])?", "licensed under ")
+
+
+def rewritten() -> list[tuple[str, str]]:
+    """Patterns over marked texts and what they turn into: forms of the conditions and notices that vary become sentences that are known.
+
+    * a holder's name in the condition on names is a slot of up to 150 signs
+    * "... under the terms of the NAME", and "licensed under the NAME" before a hint where to find it, is a sentence of its own
+    """
+    gap = r"[ \n]"
+    names = sorted({"|".join(normalised(n)) for some in NAMED.values() for n in some}, key=lambda n: (-len(n), n))
+    named = "(" + "|".join(gap.join(map(re.escape, n.split(" "))) for n in names if "|" not in n) + ")"
+    article = rf"(?:(?:the|a|an){gap})?"
+    holder = gap.join(["neither", "the", "names?", "of", ""]) + "[^!?;:]{1,150}?" + rf"[ |\n]nor{gap}the{gap}names{gap}of{gap}(?:its|any|the){gap}contributors"
+    return [
+        (holder, "neither the name of the copyright holder nor the names of its contributors"),
+        (rf"[ |\n]under{gap}(?:the{gap})?(?:terms|conditions|terms{gap}and{gap}conditions){gap}of{gap}{article}{named}([ |\n])", r"|licensed under \1|\2"),
+        (rf"[ |\n](?:licensed|released|distributed|available|published|provided){gap}under{gap}{article}{named}({gap}(?:see|as|which|at|in|found|available|for|by|https?)[ |\n])", r"|licensed under \1|\2"),
+        (f"{TAG}:", f"{TAG}|"),
+        CALLED,
+    ]
+
+
 def sentences(text: Column) -> Column:
     parts = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), OTHER, " "), END)
     return F.filter(F.transform(parts, lambda s: F.trim(s, F.lit(EDGE))), lambda s: s != "")
@@ -224,7 +324,15 @@ def sentences(text: Column) -> Column:
 def marked(text: Column) -> Column:
     """The normalised text with ``|`` for the stops and a newline for the line ends between its sentences."""
     plain = F.concat(F.lit("\n"), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), OTHER, " "), F.lit("\n"))
-    return F.regexp_replace(F.regexp_replace(plain, STOP, "|"), LINE, "\n")
+    out = F.regexp_replace(F.regexp_replace(plain, STOP, "|"), LINE, "\n")
+    for pattern_, put in rewritten():
+        out = F.regexp_replace(out, pattern_, re.sub(r"\\(\d)", r"$\1", put))
+
+    def single(part: Column, k: Column) -> Column:
+        head = F.regexp_extract(part, r"^[^|\n]*", 0)
+        return F.when(k == 0, part).otherwise(F.concat(F.replace(F.regexp_replace(F.regexp_replace(F.replace(head, F.lit(LATER), F.lit(KEPT)), JOINED, f"|{TAG}|"), EXCEPT, "|with "), F.lit(KEPT), F.lit(LATER)), F.substring(part, F.length(head) + 1, F.length(part))))
+
+    return F.array_join(F.transform(F.split(out, re.escape(f"{TAG}|")), single), f"{TAG}|")
 
 
 def pattern(keys: list[str]) -> str:
@@ -285,13 +393,17 @@ def oracle() -> str:
     heads = sorted({" ".join(re.split("[ |]", k)[:1]) for k in known})
     catalogue = ", ".join(f"({quoted(k)}, {quoted(name)})" for k, name in known.items())
     holds = ", ".join(f"CASE WHEN contains(seq, {quoted(',' + ','.join(ids) + ',')}) THEN {quoted(name)} END" for name, ids in rules())
+    marks = r"regexp_replace(regexp_replace(chr(10) || t || chr(10), ' *[.!?;:]+[ \n][.!?;: \n]*', '|', 'g'), ' *\n[.!?;: ]*', chr(10), 'g')"
+    for before, after in rewritten():
+        marks = f"regexp_replace({marks}, {quoted(before)}, {quoted(after)}, 'g')"
     # list_distinct doesn't keep the order, so a name counts where it stands first
     return rf"""
 WITH RECURSIVE catalogue(key, id) AS (VALUES {catalogue}),
 plain AS MATERIALIZED (
-  SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9.!?;:\n]+', ' ', 'g') AS t FROM documents
+  SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9.!?;:+\n]+', ' ', 'g') AS t FROM documents
 ), cut AS MATERIALIZED (
-  SELECT doc_id, regexp_extract_all(regexp_replace(regexp_replace(chr(10) || t || chr(10), ' *[.!?;:]+[ \n][.!?;: \n]*', '|', 'g'), ' *\n[.!?;: ]*', chr(10), 'g'), '[^|\n]*[|\n]') AS parts
+  SELECT doc_id, regexp_extract_all(array_to_string(list_transform(string_split({marks}, '{TAG}|'), lambda x, i: CASE WHEN i = 1 THEN x ELSE
+    replace(regexp_replace(regexp_replace(replace(regexp_extract(x, '^[^|\n]*'), '{LATER}', '{KEPT}'), '{JOINED}', '|{TAG}|', 'g'), '{EXCEPT}', '|with ', 'g'), '{KEPT}', '{LATER}') || x[length(regexp_extract(x, '^[^|\n]*')) + 1:] END), '{TAG}|'), '[^|\n]*[|\n]') AS parts
   FROM plain
 ), starts AS MATERIALIZED (
   SELECT * FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM cut)

@@ -360,12 +360,43 @@ def test_common_licence_lines(spark):
     assert found_licences(spark, list(by_hand)) == by_hand
 
 
+NAMES_CONDITION = "{} may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+def test_forms_of_conditions_notices_and_expressions(spark):
+    bsd = " ".join(licences.SENTENCES[k][0] for k in ("bsd-grant", "bsd-source", "bsd-binary"))
+    kernel = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation."
+    by_hand = {
+        bsd + "\n" + NAMES_CONDITION.format("Neither the name of Google Inc. nor the names of its contributors"): "BSD-3-Clause",
+        bsd + "\n * " + NAMES_CONDITION.format("Neither the name of the University of\n * Nowhere nor the names of its contributors"): "BSD-3-Clause",
+        "SPDX-License-Identifier: GPL-2.0+": "GPL-2.0-or-later",
+        "// SPDX-License-Identifier: LGPL-2.1+\nint x;": "LGPL-2.1-or-later",
+        "SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR ISC": "MIT",
+        "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0": "GPL-2.0-only",
+        "SPDX-License-Identifier: AFL-3.0": "AFL-3.0",
+        "SPDX-License-Identifier:MIT": "MIT",
+        "This file is distributed under the terms of the MIT license": "MIT",
+        "You may use it under the terms of the\nGNU GPL version 3 or later, or not.": "GPL-3.0-or-later",
+        "Licensed under the MIT license (see LICENSE).": "MIT",
+        kernel: "GPL-2.0-only",
+        "                     Apache License\n               Version 2.0, January 2004\n            http://www.apache.org/licenses/": "Apache-2.0",
+        "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nCopyright": "GPL-3.0",
+        "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991": "GPL-2.0",
+        "Mozilla Public License Version 2.0\n==================================": "MPL-2.0",
+        "It goes under the terms of this agreement. Neither the name of the town nor its age is known.": None,
+    }
+    assert found_licences(spark, list(by_hand)) == by_hand
+    docs = spark.createDataFrame([(1, "# SPDX-License-Identifier: MIT OR Apache-2.0 OR (ISC AND Zlib)\nx")], "doc_id long, text string")
+    assert licences.licences(docs).first().sentence_ids == "mit-named,apache-named,isc-known,zlib-known"
+
+
 def test_licence_sql_agrees_on_odd_texts(spark, tmp_path):
     import duckdb
 
     rng = random.Random(12)
     known = list(licences.phrases(licences.entries()))
     bodies = [MIT, APACHE, GPL, BSD, *BY_HAND, "Licensed under CC BY-NC 4.0 or more.", "Released under the MIT License", None, "", "\n\n", "...", "é MIT License. ; License: MIT: x"]
+    bodies += [NAMES_CONDITION.format("Neither the name of A. B. nor the names of its contributors"), "Given under the terms of the MIT license or another", "SPDX-License-Identifier: MIT or ISC and Zlib with a or b\nor c", "released under the\nISC License as is. x + y", "SPDX-License-Identifier:GPL-3.0+"]
     for _ in range(250):  # known sentences, wrapped, run together and broken
         words = " ".join(rng.choice(known).replace("|", rng.choice([". ", ": ", " ", "; "])) for _ in range(rng.randint(1, 3))).split(" ")
         bodies.append("".join(w + rng.choice([" ", " ", " ", " ", "\n", " \n # ", ". ", "\n\n"][: rng.choice([4, 6, 8])]) for w in words))
