@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import rounded
-from barloom.operators import labels, models, scoring
+from barloom.operators import digests, features, labels, models, scoring
 from barloom.operators.features import feature_panel
 from barloom.plans.data_queries import NAMED, named
 from barloom.plans.news_sql import NEWS
@@ -16,7 +17,7 @@ from barloom.plans.oracle import layered as nested
 from barloom.plans.oracle import rounded as r
 from barloom.plans.oracle import sql
 from barloom.plans.outcome_queries import S, SCORES_ONLY, scored
-from barloom.sources import files, tables
+from barloom.sources import files, tables, versioned
 from barloom.sources.quotes import quote_stream
 from barloom.sources.shared import shared_path
 from barloom.streaming import streams
@@ -150,13 +151,60 @@ def stored_predictions(spark, sf_dir):
     return rounded(files.resolve_predictions(spark.read.parquet(path), panel, labels.HORIZONS))
 
 
+def incremental_predictions(spark, sf_dir):
+    """Predictions recorded and resolved in two runs, at a bar of 1996 and at the end: the second run only writes years that it adds to or that were open."""
+    panel = tables.bars(spark, sf_dir)
+    df = scoring.score(feature_panel(panel, tables.benchmark(panel)).withColumns({"news_sentiment": F.lit(None).cast("double"), "atr_14": F.lit(None).cast("double")}))
+    long = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"prob_{h}").alias("prob")) for h in labels.HORIZONS])
+    made = df.select("symbol", "bar", F.explode(long).alias("x")).select("symbol", "bar", "x.*")
+    path, known = shared_path(spark, "predictions"), F.col("bar") < F.lit("1996-07-01").cast("date")
+    for run in (known, ~known):
+        files.record_predictions(made.where(run), path)
+        files.resolve_open(panel.where(known) if run is known else panel, path, labels.HORIZONS)
+    return rounded(versioned.scan(spark, path, files.PREDICTIONS))
+
+
+def bucketed_features(spark, sf_dir):
+    """The feature panel over bars that are stored bucketed by symbol."""
+    name = f"bars_{uuid.uuid4().hex}"
+    panel = files.write_bucketed(tables.bars(spark, sf_dir), name, shared_path(spark, "bucketed-bars"))
+    bench = shared_path(spark, "benchmark")  # a row per bar: stored, so that its size is known and Spark can send it to the buckets
+    tables.benchmark(panel).write.parquet(bench)
+    return rounded(feature_panel(panel, spark.read.parquet(bench)).withColumn("rn", F.col("rn").cast("long")))
+
+
+def bar_texts():
+    """A bar's values as text, at six decimals."""
+    return [F.floor(F.col(c) * 1_000_000 + 0.5) for c in ("open", "high", "low", "close", "volume")]
+
+
+def table_digest(spark, sf_dir):
+    """Digests of all bars, of each year, and of each symbol's year."""
+    panel = tables.bars(spark, sf_dir).withColumn("year", F.year("bar"))
+    return digests.tree(panel, ["year", "symbol"], [F.col("symbol"), F.col("bar"), *bar_texts()])
+
+
+def changed_partitions(spark, sf_dir):
+    """Symbols' years that two stored trees tell apart: in the second one a close of each symbol's last bar of 1995 is a tenth higher, and 1997 lacks a symbol."""
+    panel = tables.bars(spark, sf_dir).withColumn("year", F.year("bar"))
+    last = F.max("bar").over(Window.partitionBy("symbol", "year"))
+    other = panel.withColumn("close", F.when((F.col("year") == 1995) & (F.col("symbol") < "Brand#3") & (F.col("bar") == last), F.col("close") * 1.1).otherwise(F.col("close")))
+    other = other.where("NOT (year = 1997 AND symbol = 'Brand#12')")
+    stored = []
+    for k, df in enumerate((panel, other)):
+        path = shared_path(spark, f"digest-{k}")
+        digests.tree(df, ["year", "symbol"], [F.col("symbol"), F.col("bar"), *bar_texts()]).write.parquet(path)
+        stored.append(spark.read.parquet(path))
+    return digests.changed(*stored, ["year", "symbol"])
+
+
 def fit_isotonic(spark, sf_dir):
     return models.isotonic_knots(scored(spark, sf_dir).where("partition = 'VALIDATION'"))
 
 
 QUERIES = {f.__name__: f for f in (
     stream_latest_quote, stream_bars, stream_activity, stream_exits, stream_alerts, stream_headlines, stream_ledger, scan_bars, fit_logistic, walk_forward, fit_isotonic,
-    final_fit_holdout, score_logistic, stream_sentiment, stored_predictions,
+    final_fit_holdout, score_logistic, stream_sentiment, stored_predictions, incremental_predictions, bucketed_features, table_digest, changed_partitions,
 )}
 
 LAST = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM ticks)"
@@ -185,6 +233,15 @@ REPLAY = {
       FROM folds f JOIN turns t ON t.portfolio = f.portfolio AND t.k = f.k + 1)))""",
     "ended": "SELECT portfolio, arg_max(cash, k) AS cash, arg_max(held, k) AS held, arg_max(accepted, k) AS accepted, arg_max(rejected, k) AS rejected FROM folds GROUP BY portfolio",
 }
+def _field(e: str) -> str:
+    return f"strlen({e}) || ':' || {e}"
+
+
+DIGESTED = (
+    "SELECT year(bar) AS year, symbol, ('0x' || substr(sha256("
+    + " || ".join(_field(e) for e in ["symbol", "bar::VARCHAR", *[f"floor({c} * 1000000 + 0.5)::BIGINT::VARCHAR" for c in ("open", "high", "low", "close", "volume")]])
+    + "), 1, 15))::BIGINT AS d FROM bars"
+)
 ORACLE_SQL = {
     "stream_latest_quote": sql("SELECT symbol, max(ts)::VARCHAR AS ts, round(arg_max(px, row(ts, seq)), 6) AS px FROM ticks GROUP BY symbol"),
     "stream_bars": sql(
@@ -232,5 +289,15 @@ ORACLE_SQL = {
         + ")",
         plain_state=S["plain_state"], all_scored=nested("plain_state", SCORES_ONLY),
     ),
+    "bucketed_features": sql(f"SELECT symbol, bar::VARCHAR AS bar, {r('open high low close volume')}, rn, {r(' '.join(features.DEFAULTS))} FROM panel"),
+    "table_digest": sql(
+        """SELECT CASE WHEN year IS NULL THEN 0 WHEN symbol IS NULL THEN 1 ELSE 2 END AS depth, year, symbol, count(*) AS n, (sum(d::HUGEINT) % 1152921504606846976)::BIGINT AS digest FROM digested GROUP BY ROLLUP (year, symbol)""",
+        digested=DIGESTED,
+    ),
+    "changed_partitions": sql(
+        """SELECT year, symbol, count(*) AS n_one, CASE WHEN year = 1997 THEN NULL ELSE count(*) END AS n_other FROM (SELECT year(bar) AS year, symbol FROM bars)
+        WHERE (year = 1995 AND symbol < 'Brand#3') OR (year = 1997 AND symbol = 'Brand#12') GROUP BY year, symbol"""
+    ),
     "scan_bars": sql(f"SELECT symbol, bar::VARCHAR AS bar, {r('open high low close volume')} FROM bars WHERE symbol <> 'Brand#1' QUALIFY count(*) OVER (PARTITION BY symbol) >= 340"),
 }
+ORACLE_SQL["incremental_predictions"] = ORACLE_SQL["stored_predictions"]

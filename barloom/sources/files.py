@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.sources import versioned
+
 #: Files of a year: its symbols are dealt to so many tasks.
 PARTS = 16
 #: Fields of a model document.
@@ -25,6 +27,13 @@ def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def write_bucketed(bars: DataFrame, name: str, path: str, buckets: int = PARTS) -> DataFrame:
+    """Bars as a table bucketed and sorted by symbol: windows over a symbol read it without an exchange. The table is read back."""
+    dealt = bars.repartition(buckets, "symbol").sortWithinPartitions("symbol", "bar")
+    dealt.write.bucketBy(buckets, "symbol").sortBy("symbol", "bar").option("path", path).mode("overwrite").saveAsTable(name)
+    return bars.sparkSession.table(name)
+
+
 def append_bars(bars: DataFrame, path: str) -> None:
     """Only bars that aren't stored yet."""
     stored = bars.sparkSession.read.parquet(path).select("symbol", "bar")
@@ -64,6 +73,26 @@ def resolve_predictions(stored: DataFrame, panel: DataFrame, horizons: dict[str,
     return joined.withColumn("correct", ((F.col("prob") >= 0.5) == (F.col("actual_return") > 0)).cast("int"))
 
 
+#: Columns of stored predictions that may be resolved later.
+PREDICTIONS = "symbol string, bar date, horizon string, prob double, actual_return double, resolved_at date, correct int"
+
+
+def record_predictions(predictions: DataFrame, path: str) -> list[int]:
+    """Predictions (symbol, bar, horizon, prob) into a table of years (:mod:`barloom.sources.versioned`), open; the years that were written."""
+    none = F.lit(None)
+    opened = predictions.select("symbol", "bar", "horizon", "prob", none.cast("double").alias("actual_return"), none.cast("date").alias("resolved_at"), none.cast("int").alias("correct"))
+    return versioned.upsert(opened, path, ["symbol", "bar", "horizon"], F.year("bar"), F.col("resolved_at").isNull())
+
+
+def resolve_open(panel: DataFrame, path: str, horizons: dict[str, int]) -> list[int]:
+    """Fill in what has come of open predictions by the panel's bars; only years that hold open ones are read, only those in which some are told are written."""
+    spark = panel.sparkSession
+    years = versioned.open_parts(spark, path)
+    waiting = versioned.scan(spark, path, PREDICTIONS, years).where("resolved_at IS NULL")
+    told = resolve_predictions(waiting.select("symbol", "bar", "horizon", "prob").withColumn("year", F.year("bar")), panel, horizons)
+    return versioned.upsert(told.where("resolved_at IS NOT NULL").select([x.split()[0] for x in PREDICTIONS.split(", ")]), path, ["symbol", "bar", "horizon"], F.year("bar"), F.col("resolved_at").isNull())
+
+
 def export_ledger(trades: DataFrame, path: str, zone: str = "Asia/Kolkata") -> None:
     """A quoted CSV of trades with the exchange's local time."""
     shown = trades.withColumn("local_time", F.date_format(F.from_utc_timestamp("ts", zone), "yyyy-MM-dd HH:mm:ss"))
