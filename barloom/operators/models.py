@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -14,7 +16,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import clamp, sigmoid
+from barloom.functions.columns import clamp, finite, sigmoid
 from barloom.operators import labels, outcomes
 from barloom.operators.features import DEFAULTS, feature_panel
 from barloom.sources import tables
@@ -38,6 +40,55 @@ def logistic_weights(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.createDataFrame(rows, "input string, weight double")
 
 
+def clean_inputs(df: DataFrame, neutral: dict[str, float], probabilities: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with inputs that a model takes: null, NaN and infinite values become the input's ``neutral`` one, and probabilities lie within 0.05 and 0.95.
+
+    An unknown probability is one half.
+    """
+    cleaned = {c: F.coalesce(finite(F.col(c)), F.lit(float(x))) for c, x in neutral.items()}
+    bounded = {c: clamp(F.coalesce(F.when(~F.isnan(c), F.col(c)), F.lit(0.5)), 0.05, 0.95) for c in probabilities}
+    return df.withColumns(cleaned | bounded)
+
+
+def trade_samples(parted: DataFrame, columns: list[str], ahead: str = "gross_5d") -> DataFrame:
+    """What a learned score is fitted on: bars of the training partition (``partition``) with whether the price rose over the next five bars."""
+    rows = parted.where((F.col("partition") == "TRAIN") & F.col(ahead).isNotNull())
+    return rows.select("symbol", "bar", *columns, (F.col(ahead) > 0).cast("double").alias("outcome"))
+
+
+#: Rows that a learned score needs.
+ENOUGH = 20
+
+
+def sample_statistics(samples: DataFrame, columns: list[str]) -> DataFrame:
+    """(input, n, mean, std): of the known values of each input, the deviation that of all of them (1 where it is 0), from one aggregation."""
+    known = {c: F.when(F.col(c).isNotNull() & ~F.isnan(c), F.col(c)) for c in columns}
+    of = [F.struct(F.lit(c).alias("input"), F.count(x).alias("n"), F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.coalesce(F.nullif(F.stddev_pop(x), F.lit(0.0)), F.lit(1.0)).alias("std")) for c, x in known.items()]
+    return samples.agg(F.array(*of).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+
+
+def fit_linear(samples: DataFrame, columns: list[str], strength: float = 0.01) -> DataFrame | None:
+    """The table of :func:`score_logistic` (input, mean, std, weight; ``intercept`` has weight and mean 0, std 1) fitted on ``outcome``; None with under ``ENOUGH`` rows.
+
+    Unknown inputs count as their mean, inputs are standardised, weights are held back by ``strength``. The fit goes on to the optimum.
+    """
+    table = sample_statistics(samples, columns).collect()  # a row per input
+    if samples.count() < ENOUGH:
+        return None
+    standard = [((F.coalesce(F.when(~F.isnan(r.input), F.col(r.input)), F.lit(r.mean)) - r.mean) / r.std).alias(r.input) for r in table]
+    rows = VectorAssembler(inputCols=columns, outputCol="v").transform(samples.select(*standard, "outcome")).select("v", "outcome").cache()
+    model = LogisticRegression(featuresCol="v", labelCol="outcome", regParam=strength, standardization=False, tol=1e-9, maxIter=200).fit(rows)
+    rows.unpersist()
+    told = [("intercept", 0.0, 1.0, float(model.intercept)), *[(r.input, r.mean, r.std, float(w)) for r, w in zip(table, model.coefficients, strict=True)]]
+    return samples.sparkSession.createDataFrame(told, "input string, mean double, std double, weight double")
+
+
+def at_once(spark: SparkSession, tasks: list[Callable[[], object]], most: int = 4) -> list:
+    """The results of ``tasks`` that each run Spark jobs, up to ``most`` of them at the same time; Spark shares its executors among them."""
+    with ThreadPoolExecutor(most) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(t)) for t in tasks]]
+
+
 #: The inputs of the linear score.
 LINEAR = [
     "rsi_14", "macd_hist", "sma_20_dist", "sma_50_dist", "ema_20_dist", "atr_percent", "bb_width", "stoch_k", "volume_z_score", "annualized_volatility",
@@ -76,18 +127,22 @@ def score_model(model, rows: DataFrame) -> DataFrame:
 def fold_predictions(frame: DataFrame, panel: DataFrame, rounds: int = 5) -> DataFrame | None:
     """Boosted trees by fold, fitted on training rows and stopped by validation rows: predictions of validation and test rows.
 
-    Folds without 50 training, 20 validation and 20 test rows are left out. Folds are fitted one after the other, each fit is distributed.
+    Folds without 50 training, 20 validation and 20 test rows are left out. Several folds are fitted at once over one cached frame, each fit is distributed.
     """
     spark = frame.sparkSession
     frame = with_vector(frame).cache()
-    out = []
-    for fold in labels.make_folds(panel).collect():
-        rows = labels.assign_folds(frame, spark.createDataFrame([fold.asDict()], labels.make_folds(panel).schema))
+    schema = labels.make_folds(panel).schema
+
+    def fit(fold) -> DataFrame | None:
+        rows = labels.assign_folds(frame, spark.createDataFrame([fold.asDict()], schema))
         sizes = {r.role: r["count"] for r in rows.groupBy("role").count().collect()}
         if all(sizes.get(role, 0) >= least for role, least in (("TRAIN", 50), ("VALIDATION", 20), ("TEST", 20))):
             fitted = rows.where("role <> 'TEST'").withColumn("held", F.col("role") == "VALIDATION")
             model = GBTClassifier(maxIter=rounds, maxDepth=3, validationIndicatorCol="held", seed=7).fit(fitted)
-            out.append(score_model(model, rows.where("role <> 'TRAIN'")).select(F.lit(fold["fold"]).alias("fold"), "role", "symbol", "bar", "prob", "outcome"))
+            return score_model(model, rows.where("role <> 'TRAIN'")).select(F.lit(fold["fold"]).alias("fold"), "role", "symbol", "bar", "prob", "outcome")
+        return None
+
+    out = [x for x in at_once(spark, [partial(fit, fold) for fold in labels.make_folds(panel).collect()]) if x is not None]
     done = staged(reduce(DataFrame.unionByName, out)) if out else None
     frame.unpersist()
     return done

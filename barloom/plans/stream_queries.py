@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,6 +105,47 @@ def fit_logistic(spark, sf_dir):
     return models.logistic_weights(models.training_frame(spark, sf_dir))
 
 
+def samples(spark, sf_dir):
+    """Bars of the training partition with whether their price rose over five bars."""
+    panel = tables.bars(spark, sf_dir)
+    parted = labels.by_progress(labels.forward_labels(feature_panel(panel, tables.benchmark(panel))), step=1)
+    return models.trade_samples(parted, models.LINEAR)
+
+
+def training_samples(spark, sf_dir):
+    return rounded(samples(spark, sf_dir))
+
+
+def sample_statistics(spark, sf_dir):
+    """Count, mean and deviation of each input over the training samples."""
+    return rounded(models.sample_statistics(samples(spark, sf_dir), models.LINEAR))
+
+
+def learned_weights(spark, sf_dir):
+    """The learned linear score's table, fitted for each horizon on the training partition."""
+    panel = tables.bars(spark, sf_dir)
+    parted = labels.by_progress(labels.forward_labels(feature_panel(panel, tables.benchmark(panel))), step=1)
+    parted = models.staged(parted.select("symbol", "bar", "partition", *models.LINEAR, *[f"gross_{h}" for h in ("1d", "5d", "20d")]))
+
+    def fit(h):
+        made = models.fit_linear(models.trade_samples(parted, models.LINEAR, f"gross_{h}"), models.LINEAR)
+        return None if made is None else made.withColumn("horizon", F.lit(h))
+
+    done = [x for x in models.at_once(spark, [partial(fit, h) for h in ("1d", "5d", "20d")]) if x is not None]
+    return rounded(reduce(DataFrame.unionByName, done)) if done else spark.createDataFrame([], "input string, mean double, std double, weight double, horizon string")
+
+
+#: What unknown inputs become: the middle of an oscillator, no return, no distance.
+NEUTRAL = {"rsi_14_wilder": 50.0, "stoch_d": 50.0, "momentum_10": 0.0, "close_zscore": 0.0}
+
+
+def clamped_inputs(spark, sf_dir):
+    """Inputs and a tilt of one half by the z-score, cleaned for a model."""
+    panel = tables.bars(spark, sf_dir)
+    df = features.extra_features(panel, tables.benchmark(panel)).withColumn("prob", 0.5 + 0.3 * F.col("close_zscore"))
+    return rounded(models.clean_inputs(df, NEUTRAL, ("prob",)).select("symbol", "bar", *NEUTRAL, "prob"))
+
+
 def walk_forward(spark, sf_dir):
     """Test metrics by horizon and fold."""
     panel, out = tables.bars(spark, sf_dir), []
@@ -205,6 +246,7 @@ def fit_isotonic(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     stream_latest_quote, stream_bars, stream_activity, stream_exits, stream_alerts, stream_headlines, stream_ledger, scan_bars, fit_logistic, walk_forward, fit_isotonic,
     final_fit_holdout, score_logistic, stream_sentiment, stored_predictions, incremental_predictions, bucketed_features, table_digest, changed_partitions,
+    training_samples, sample_statistics, learned_weights, clamped_inputs,
 )}
 
 LAST = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM ticks)"
@@ -233,6 +275,9 @@ REPLAY = {
       FROM folds f JOIN turns t ON t.portfolio = f.portfolio AND t.k = f.k + 1)))""",
     "ended": "SELECT portfolio, arg_max(cash, k) AS cash, arg_max(held, k) AS held, arg_max(accepted, k) AS accepted, arg_max(rejected, k) AS rejected FROM folds GROUP BY portfolio",
 }
+SAMPLED = {"sampled": "SELECT *, (g5 > 0)::INT::DOUBLE AS outcome FROM parted WHERE partition = 'TRAIN' AND g5 IS NOT NULL", "parted": S["parted"], "plain_state": S["plain_state"]}
+
+
 def _field(e: str) -> str:
     return f"strlen({e}) || ':' || {e}"
 
@@ -294,6 +339,13 @@ ORACLE_SQL = {
         """SELECT CASE WHEN year IS NULL THEN 0 WHEN symbol IS NULL THEN 1 ELSE 2 END AS depth, year, symbol, count(*) AS n, (sum(d::HUGEINT) % 1152921504606846976)::BIGINT AS digest FROM digested GROUP BY ROLLUP (year, symbol)""",
         digested=DIGESTED,
     ),
+    "training_samples": sql(f"SELECT symbol, bar::VARCHAR AS bar, {r(' '.join(models.LINEAR))}, outcome FROM sampled", **SAMPLED),
+    "sample_statistics": sql(
+        " UNION ALL ".join(f"SELECT '{c}' AS input, count({c}) AS n, round(coalesce(avg({c}), 0), 6) + 0.0 AS mean, round(coalesce(nullif(stddev_pop({c}), 0), 1), 6) + 0.0 AS std FROM sampled" for c in models.LINEAR), **SAMPLED
+    ),
+    "clamped_inputs": sql(
+        f"SELECT symbol, bar::VARCHAR AS bar, {', '.join(f'round(coalesce({c}, {x}), 6) + 0.0 AS {c}' for c, x in NEUTRAL.items())}, round(greatest(0.05, least(0.95, coalesce(0.5 + 0.3 * close_zscore, 0.5))), 6) + 0.0 AS prob FROM extra"
+    ),
     "changed_partitions": sql(
         """SELECT year, symbol, count(*) AS n_one, CASE WHEN year = 1997 THEN NULL ELSE count(*) END AS n_other FROM (SELECT year(bar) AS year, symbol FROM bars)
         WHERE (year = 1995 AND symbol < 'Brand#3') OR (year = 1997 AND symbol = 'Brand#12') GROUP BY year, symbol"""
