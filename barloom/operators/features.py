@@ -71,6 +71,7 @@ def measured(panel: DataFrame, bench: DataFrame) -> DataFrame:
     df = wilder(df, {"_ag": "_gain", "_al": "_loss", "_atr": "_tr"}, 14)
     df = ema(df, {"_e12": ("close", 2 / 13), "_e26": ("close", 2 / 27), "_e20": ("close", 2 / 21)})
     df = ema(df.withColumn("_macd", F.col("_e12") - F.col("_e26")), {"_signal": ("_macd", 0.2)})
+    df = sliding_drawdowns(df, "close", {"_fall20": 20, "_fall60": 60})
     low14, high14 = (full(14, c, f(c).over(w(14))) for c, f in (("low", F.min), ("high", F.max)))
     return df.withColumn("_k14", ratio(100 * (F.col("close") - low14), high14 - low14))
 
@@ -140,15 +141,24 @@ def warm(features: DataFrame, least: int = 50) -> DataFrame:
     return features.where(F.col("rn") + 1 >= least)
 
 
-def drawdown(values: Column) -> Column:
-    """The deepest fall from a peak within an array, as a positive share."""
-    start = F.struct(F.lit(None).cast("double").alias("peak"), F.lit(0.0).alias("dd"))
+def sliding_drawdowns(df: DataFrame, x: str, sizes: dict[str, int]) -> DataFrame:
+    """``df`` (with ``rn``) and the deepest fall from a peak within the last n rows, as a positive share, for each name's n.
 
-    def step(acc: Column, x: Column) -> Column:
-        peak = F.greatest(acc["peak"], x)
-        return F.struct(peak.alias("peak"), F.greatest(acc["dd"], ratio(peak - x, peak)).alias("dd"))
-
-    return F.aggregate(values, start, step)["dd"]
+    A symbol's rows are cut into blocks of n. The last n rows are the end of one block and the beginning of the next, so running values from a block's first row
+    and to its last one are enough: (highest, lowest, fall) of two parts give those of both. No row holds its window.
+    """
+    for name, n in sizes.items():
+        block = Window.partitionBy("symbol", F.floor(F.col("rn") / n)).orderBy("rn")
+        begun, left = block.rowsBetween(Window.unboundedPreceding, 0), block.rowsBetween(0, Window.unboundedFollowing)
+        value = F.col(x)
+        df = df.withColumns({"_high": F.max(x).over(begun), "_low": F.min(x).over(begun), "_top": F.max(x).over(left), "_bottom": F.min(x).over(left)})
+        fall, rest = F.max(ratio(F.col("_high") - value, F.col("_high"))).over(begun), F.max(ratio(value - F.col("_bottom"), value)).over(left)
+        df = df.withColumns({"_fall": fall, "_rest": rest})
+        top, before = F.lag("_top", n - 1).over(ws()), F.lag("_rest", n - 1).over(ws())
+        one_block = (F.col("rn") < n - 1) | (F.col("rn") % n == n - 1)
+        both = F.greatest(F.col("_fall"), before, ratio(top - F.col("_low"), top))
+        df = df.withColumn(name, F.coalesce(F.when(one_block, F.col("_fall")).otherwise(both), F.lit(0.0))).drop("_high", "_low", "_top", "_bottom", "_fall", "_rest")
+    return df
 
 
 def extras() -> dict[str, Column]:
@@ -179,8 +189,8 @@ def extras() -> dict[str, Column]:
         "atr_14": F.col("_atr"),
         "ann_vol_pop": vol,
         "downside_pop": full(20, "_r", F.sqrt(F.avg(F.pow(F.least(F.col("_r"), F.lit(0.0)) + F.lit(0.0) * F.col("_r"), 2)).over(w(20))) * YEAR, 10),
-        "max_drawdown_20d": drawdown(closes.over(w(20))),
-        "max_drawdown_60d": drawdown(closes.over(w(60))),
+        "max_drawdown_20d": F.col("_fall20"),
+        "max_drawdown_60d": F.col("_fall60"),
         "gap_risk": F.coalesce(F.avg("_gap").over(w(20)), F.lit(0.005)),
         "tail_risk_5pct": tail,
         "volume_stability": ratio(F.stddev_pop("volume").over(w(20)), v_mean),
