@@ -45,13 +45,53 @@ def path_outcomes(signals: DataFrame) -> DataFrame:
             "_close": last["close"],
         }
     )
+    return settled(df).drop("path", "_first", "_close")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``exit_price``, ``gross`` and ``net`` of trades whose ``exit_reason`` and close at the horizon (``_close``) are known."""
+    long = F.col("side") == "LONG"
     price = F.when(F.col("exit_reason") == "STOP_LOSS", F.col("stop")).when(F.col("exit_reason") == "TARGET_PROFIT", F.col("target")).otherwise(F.col("_close"))
     df = df.withColumn("exit_price", price)
     entry, out = F.col("close"), F.col("exit_price")
     gross = F.when(long, out / entry - 1).otherwise(1 - out / entry)
     buy, sell = 1 + SLIPPAGE + BROKERAGE, 1 - SLIPPAGE - BROKERAGE - SELL_TAX
     net = F.when(long, out * sell / (entry * buy) - 1).otherwise((entry * sell - out * buy) / entry)
-    return df.withColumns({"gross": gross, "net": net}).drop("path", "_first", "_close")
+    return df.withColumns({"gross": gross, "net": net})
+
+
+#: Bars of a step, and steps of the longest horizon.
+STEP = 16
+
+
+def long_path_outcomes(signals: DataFrame, panel: DataFrame, longest: int) -> DataFrame:
+    """:func:`path_outcomes` for horizons of up to ``longest`` bars, without a path in each row.
+
+    ``signals`` hold (symbol, bar, close, side, stop, target, h). The lowest low and highest high of the next 16 bars are looked at in steps of 16
+    bars until a barrier is touched; the 16 bars of that step are then looked at one by one. Each look is an equi-join by symbol and number of bar, so a symbol of a
+    third of all rows is spread over its bars.
+    """
+    ahead = ws().rowsBetween(1, STEP)
+    bars = panel.select("symbol", "bar", "high", "low", "close", (F.row_number().over(ws()) - 1).alias("rn"), F.min("low").over(ahead).alias("_low"), F.max("high").over(ahead).alias("_high"))
+    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lead("_low", STEP * k).over(ws()).alias("low"), F.lead("_high", STEP * k).over(ws()).alias("high")) for k in range(-(-longest // STEP))])
+    coarse = bars.select("symbol", "bar", "rn", steps.alias("_steps"))
+    each = F.array(*[F.struct(F.lit(j).alias("j"), *[F.lead(c, j).over(ws()).alias(c) for c in ("bar", "low", "high")]) for j in range(1, STEP + 1)])
+    fine = bars.select("symbol", F.col("rn").alias("_at"), each.alias("_each"))
+
+    long = F.col("side") == "LONG"
+    under, over = F.when(long, F.col("stop")).otherwise(F.col("target")), F.when(long, F.col("target")).otherwise(F.col("stop"))
+    df = signals.join(coarse, ["symbol", "bar"]).withColumns({"_under": under, "_over": over})
+    touched = lambda x: (x["low"] <= F.col("_under")) | (x["high"] >= F.col("_over"))
+    met = F.get(F.filter("_steps", lambda x: touched(x) & (x["k"] * STEP < F.col("h"))), F.lit(0))
+    df = df.withColumn("_k", met["k"]).drop("_steps").withColumns({"_at": F.col("rn") + STEP * F.coalesce("_k", F.lit(0)), "_end": F.col("rn") + F.col("h")})
+    df = df.join(bars.select("symbol", F.col("rn").alias("_end"), F.col("bar").alias("_end_bar"), F.col("close").alias("_close")), ["symbol", "_end"])
+    df = df.join(fine, ["symbol", "_at"])
+    one = F.get(F.filter("_each", lambda x: touched(x) & (F.col("_k") * STEP + x["j"] <= F.col("h"))), F.lit(0))
+    df = df.withColumn("_one", one).drop("_each")
+    stopped = F.when(long, F.col("_one.low") <= F.col("stop")).otherwise(F.col("_one.high") >= F.col("stop"))
+    reason = F.when(F.col("_one").isNull(), "HORIZON_EXPIRY").when(stopped, "STOP_LOSS").otherwise("TARGET_PROFIT")
+    df = df.withColumns({"exit_reason": reason, "exit_bar": F.coalesce("_one.bar", "_end_bar")})
+    return settled(df).drop("rn", "_under", "_over", "_k", "_at", "_end", "_end_bar", "_close", "_one")
 
 
 def calibration_bins(scored: DataFrame, keys: list[str], bins: int = 8) -> DataFrame:

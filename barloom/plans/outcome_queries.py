@@ -79,6 +79,23 @@ def path_outcomes(spark, sf_dir):
     return rounded(trades(spark, sf_dir).select("symbol", "bar", "horizon", "side", "exit_reason", "exit_bar", "exit_price", "gross", "net"))
 
 
+#: Horizons of :func:`long_path_outcomes`.
+LONG = (20, 60, 250)
+
+
+def long_path_outcomes(spark, sf_dir):
+    """Every bar as a signal, long and short in turn, for 20, 60 or 250 bars, with barriers far enough to be met late or never."""
+    panel = tables.bars(spark, sf_dir)
+    week = F.datediff("bar", F.lit("1992-01-06").cast("date")) / 7
+    k = week.cast("int")
+    side = F.when(k % 2 == 0, "LONG").otherwise("SHORT")
+    signs = panel.select("symbol", "bar", "close", side.alias("side"), F.element_at(F.array(*[F.lit(h) for h in LONG]), (k % 3 + 1).cast("int")).alias("h"))
+    low, high = F.col("close") * 0.02, F.col("close") * 12
+    signs = signs.withColumns({"stop": F.when(F.col("side") == "LONG", low).otherwise(high), "target": F.when(F.col("side") == "LONG", high).otherwise(low)})
+    done = outcomes.long_path_outcomes(signs, panel, max(LONG))
+    return rounded(done.select("symbol", "bar", "h", "side", "exit_reason", "exit_bar", "exit_price", "net"))
+
+
 def signal_outcomes(spark, sf_dir):
     five = scored(spark, sf_dir).where("horizon = '5d' AND partition IN ('TEST', 'HOLDOUT')")
     return rounded(outcomes.signal_outcomes(five, "ret", "atr_percent", labels.round_trip_cost()).select("symbol", "bar", "exit_reason", "exit_price", "net"))
@@ -279,7 +296,7 @@ def resolved_predictions(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     path_outcomes, signal_outcomes, metrics_by_partition, risk_by_horizon, equity_curve, calibration_metrics, reliability_curve, auc_accuracy,
-    empirical_buckets, expected_return, binned_isotonic, calibrated, return_quantiles, quantile_windows, benchmark_return, model_comparison, position_values,
+    empirical_buckets, expected_return, binned_isotonic, calibrated, return_quantiles, quantile_windows, long_path_outcomes, benchmark_return, model_comparison, position_values,
     portfolio_summary, sector_drilldown, concentration, ledger_replay, exit_signals, bracket_levels, trade_summary, classify_headlines, symbol_sentiment, time_ago,
     search_universe, screener, filter_news, news_for_symbol, trade_history, active_alerts, model_gates, resolved_predictions,
 )}
@@ -376,6 +393,20 @@ ORACLE_SQL = {
         **S, bins8=BINS8, blocks=BLOCKS, knots=KNOTS,
     ),
     "return_quantiles": sql("SELECT horizon, round(quantile_cont(ret, 0.85), 6) AS bull, round(quantile_cont(ret, 0.5), 6) + 0.0 AS base, round(quantile_cont(ret, 0.15), 6) AS bear FROM scored GROUP BY horizon", **S),
+    "long_path_outcomes": sql(
+        f"""SELECT symbol, bar::VARCHAR AS bar, h, side, reason AS exit_reason, exit_bar::VARCHAR AS exit_bar, round(px, 6) AS exit_price,
+        round(CASE WHEN side = 'LONG' THEN px * {1 - outcomes.SLIPPAGE - outcomes.BROKERAGE - outcomes.SELL_TAX!r} / (close * {1 + outcomes.SLIPPAGE + outcomes.BROKERAGE!r}) - 1
+          ELSE (close * {1 - outcomes.SLIPPAGE - outcomes.BROKERAGE - outcomes.SELL_TAX!r} - px * {1 + outcomes.SLIPPAGE + outcomes.BROKERAGE!r}) / close END, 6) + 0.0 AS net FROM (
+        SELECT s.*, CASE WHEN f.n IS NULL THEN 'HORIZON_EXPIRY' WHEN f.stopped THEN 'STOP_LOSS' ELSE 'TARGET_PROFIT' END AS reason, coalesce(f.bar, e.bar) AS exit_bar,
+          CASE WHEN f.n IS NULL THEN e.close WHEN f.stopped THEN s.stop ELSE s.target END AS px
+        FROM signed s JOIN placed e ON e.symbol = s.symbol AND e.rn = s.rn + s.h LEFT JOIN firsts f ON f.symbol = s.symbol AND f.rn = s.rn)""",
+        placed="SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar) AS rn, (date_diff('day', DATE '1992-01-06', bar) / 7)::BIGINT AS week FROM bars",
+        signed=f"""SELECT *, CASE WHEN side = 'LONG' THEN close * 0.02 ELSE close * 12 END AS stop, CASE WHEN side = 'LONG' THEN close * 12 ELSE close * 0.02 END AS target FROM (
+          SELECT symbol, bar, close, rn, CASE WHEN week % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS side, {list(LONG)}[week % 3 + 1] AS h FROM placed)""",
+        firsts="""SELECT s.symbol, s.rn, min(p.rn) AS n, arg_min(p.bar, p.rn) AS bar, arg_min(CASE WHEN side = 'LONG' THEN p.low <= stop ELSE p.high >= stop END, p.rn) AS stopped
+          FROM signed s JOIN placed p ON p.symbol = s.symbol AND p.rn > s.rn AND p.rn <= s.rn + s.h
+          WHERE CASE WHEN side = 'LONG' THEN p.low <= stop OR p.high >= target ELSE p.high >= stop OR p.low <= target END GROUP BY s.symbol, s.rn""",
+    ),
     "quantile_windows": sql(
         """SELECT horizon, ends::DATE::VARCHAR AS month, count(*) AS n, round(quantile_cont(ret, 0.85), 6) + 0.0 AS bull, round(quantile_cont(ret, 0.5), 6) + 0.0 AS base, round(quantile_cont(ret, 0.15), 6) + 0.0 AS bear, true AS "within"
         FROM (SELECT DISTINCT horizon AS hz, date_trunc('month', bar) AS ends FROM scored) JOIN scored ON horizon = hz AND date_trunc('month', bar) <= ends AND date_trunc('month', bar) > ends - INTERVAL 12 MONTH GROUP BY horizon, ends""",
