@@ -42,8 +42,8 @@ def enrich_trades(trades: DataFrame, universe: DataFrame, quotes: DataFrame) ->
     )
 
 
-#: Postings that are broadcast at once.
-POSTINGS = 100_000
+#: Postings of names that are broadcast at once.
+NAMES = 100_000
 
 
 def grams(text: Column) -> Column:
@@ -70,10 +70,10 @@ def containing(texts: DataFrame, names: DataFrame, key: str, words: list[tuple[C
 
     A text's grams are joined with the words' rarest ones, and the few words found so are looked for in the text, all in one stage: texts aren't
     shuffled. A pair comes once, as each word stands under one gram and gives way to the name's words before it. The
-    postings are broadcast; more than ``POSTINGS`` of them in parts by gram, each of which meets its own grams only. Texts without three characters hold no word.
+    postings are broadcast; more than ``NAMES`` of them in parts by gram, each of which meets its own grams only. Texts without three characters hold no word.
     """
     index = postings(names, key, words)
-    parts = -(-index.count() // POSTINGS) or 1
+    parts = -(-index.count() // NAMES) or 1
     lowered = texts.withColumn("_text", F.lower(text))
     mine = grams(F.col("_text"))
     out = []

@@ -32,7 +32,7 @@ def words_of(name):
 
 @pytest.mark.parametrize("at_once", [100_000, 7], ids=["one part", "parts"])
 def test_containing_equals_plain_searching(spark, monkeypatch, at_once):
-    monkeypatch.setattr(joins, "POSTINGS", at_once)
+    monkeypatch.setattr(joins, "NAMES", at_once)
     texts, names = corpus(3)
     df = spark.createDataFrame(texts, "id long, title string").repartition(3)
     universe = spark.createDataFrame(names, "rank int, symbol string, name string, sector string")
