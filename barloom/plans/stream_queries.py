@@ -34,18 +34,23 @@ def levels(spark, sf_dir):
 
 
 def polls(spark, sf_dir):
-    """Events as landed quotes, polled ten days at a time. Symbols are a bounded list."""
+    """Events as landed quotes: all that has landed is one poll. Symbols are a bounded list."""
     path = f"{sf_dir}/events.parquet"
     symbols = [r[0] for r in spark.read.parquet(path).select("event_type").where("event_type IS NOT NULL").distinct().collect()]
-    return quote_stream(spark, path, symbols, "event_type,ts,value,event_id", step=864_000)
+    return quote_stream(spark, path, symbols, "event_type,ts,value,event_id")
 
 
 def stream_latest_quote(spark, sf_dir):
-    return rounded(streams.drained(streams.latest_quotes(polls(spark, sf_dir)), "latest", "complete", polled=True))
+    return rounded(streams.drained(streams.latest_quotes(polls(spark, sf_dir)), "latest", "complete"))
 
 
 def stream_bars(spark, sf_dir):
-    return rounded(streams.drained(streams.stream_bars(polls(spark, sf_dir)), "bars", polled=True))
+    return rounded(streams.drained(streams.stream_bars(quotes(spark, sf_dir)), "bars"))
+
+
+def polled_bars(spark, sf_dir):
+    """The same bars from landed quotes that are polled."""
+    return rounded(streams.drained(streams.stream_bars(polls(spark, sf_dir)), "polled-bars", polled=True))
 
 
 def stream_activity(spark, sf_dir):
@@ -244,7 +249,7 @@ def fit_isotonic(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    stream_latest_quote, stream_bars, stream_activity, stream_exits, stream_alerts, stream_headlines, stream_ledger, scan_bars, fit_logistic, walk_forward, fit_isotonic,
+    stream_latest_quote, stream_bars, polled_bars, stream_activity, stream_exits, stream_alerts, stream_headlines, stream_ledger, scan_bars, fit_logistic, walk_forward, fit_isotonic,
     final_fit_holdout, score_logistic, stream_sentiment, stored_predictions, incremental_predictions, bucketed_features, table_digest, changed_partitions,
     training_samples, sample_statistics, learned_weights, clamped_inputs,
 )}
@@ -353,3 +358,4 @@ ORACLE_SQL = {
     "scan_bars": sql(f"SELECT symbol, bar::VARCHAR AS bar, {r('open high low close volume')} FROM bars WHERE symbol <> 'Brand#1' QUALIFY count(*) OVER (PARTITION BY symbol) >= 340"),
 }
 ORACLE_SQL["incremental_predictions"] = ORACLE_SQL["stored_predictions"]
+ORACLE_SQL["polled_bars"] = ORACLE_SQL["stream_bars"]

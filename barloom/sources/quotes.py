@@ -10,6 +10,7 @@ Quotes must land in the order of time: those that come later with an earlier tim
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
@@ -126,6 +128,8 @@ class Quotes(DataSource):
 def quote_stream(spark: SparkSession, path: str, symbols: list[str], columns: str = "symbol,ts,px,seq", step: float = 0, commits: str | None = None) -> DataFrame:
     """Quotes (symbol, ts, px, seq) of ``symbols``, a bounded list, as a stream."""
     ship(spark)
+    # the driver's own Python process that plans a source doesn't get what is shipped to the executors
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(Quotes)
     commits = commits or f"{shared_path(spark, 'quotes')}.json"
     store, name = fs.FileSystem.from_uri(commits)
