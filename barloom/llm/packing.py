@@ -21,12 +21,13 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cached_property
 from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,17 +111,23 @@ class WordIds:
         return b"".join(map(self.words.__getitem__, lower.split()))
 
 
-@cache
-def encoder(path: str) -> WordIds:
-    """One for each Python worker; what it has learned serves the worker's later tasks too."""
-    return WordIds(path)
+class Encoder:
+    """A tokenizer's ids, read where they are first asked for. It is broadcast: what a Python worker has learned serves its later tasks too, and goes when
+    Spark takes the broadcast back, which is before the worker's first task without it."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    @cached_property
+    def ids(self) -> WordIds:
+        return WordIds(self.path)
 
 
-def piece_rows(path: str, capacity: int = CAPACITY):
-    """A function for ``mapInArrow`` over (doc_id, text): one row per piece. ``deal`` tells equal rows of a task apart."""
+def piece_rows(handed: Broadcast, capacity: int = CAPACITY):
+    """A function for ``mapInArrow`` over (doc_id, text): one row per piece. ``deal`` tells equal rows of a task apart. ``handed`` is an encoder."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(path).encode
+        ids_of = handed.value.ids.encode
         end, deal = np.array([END_ID], dtype="<u4").tobytes(), 0
         for batch in batches:
             out: list[tuple] = []
@@ -224,7 +231,8 @@ def pack_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 def pack_documents(docs: DataFrame, tokenizer_path: str, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) with the sequence and offset each of them gets."""
     ship(docs.sparkSession)
-    pieces = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(piece_rows(tokenizer_path), PIECES), "pack-pieces")
+    handed = docs.sparkSession.sparkContext.broadcast(Encoder(tokenizer_path))
+    pieces = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(piece_rows(handed), PIECES), "pack-pieces")
     groups = max(1, -(-pieces.count() // group_rows))
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "deal"), F.lit(groups)))
     return dealt.groupBy("_group").applyInPandas(pack_group, PACKED)

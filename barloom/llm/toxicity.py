@@ -24,13 +24,13 @@ result; the time for a very long text grows with its length only.
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,7 +178,8 @@ class Model:
 
 
 class Scorer:
-    """Texts' log-likelihood ratios."""
+    """Texts' log-likelihood ratios. It is broadcast: a Python worker keeps it, with the words it has seen, from task to task, and lets it go when Spark
+    takes the broadcast back, which is before the worker's first task without it. Held by a module it would stay beside what later stages need."""
 
     def __init__(self, model: Model):
         self.model, self.words, self.older = model, {}, {}
@@ -207,30 +208,11 @@ class Scorer:
         return [sum(map(known.__getitem__, found)) / (len(found) + NEUTRAL) for found in words]
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
-def scorer(handed: Handed) -> Scorer:
-    """The scorer of a broadcast model, kept for each Python worker, so that the words it has seen serve later tasks. One is kept at a time."""
-    if handed.id not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[handed.id] = Scorer(handed.broadcast.value)
-    return _SCORERS[handed.id]
-
-
-class Handed:
-    """A broadcast model with a name of its own, under which workers keep what they build from it."""
-
-    def __init__(self, spark: SparkSession, model: Model):
-        self.broadcast, self.id = spark.sparkContext.broadcast(model), uuid.uuid4().hex
-
-
-def scores(handed: Handed):
-    """(id columns..., text) to (id columns..., x): the text's ratio."""
+def scores(handed: Broadcast):
+    """(id columns..., text) to (id columns..., x): the text's ratio. ``handed`` is a scorer."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from barloom.llm.toxicity import scorer  # the module's own, which outlives the task
-
+        scorer = handed.value
         for batch in batches:
             last, k = batch.num_columns - 1, 0
             out: list[float] = []
@@ -239,7 +221,7 @@ def scores(handed: Handed):
                 while k < batch.num_rows and size < 1 << 20:
                     part.append(batch.column(last)[k].as_py() or "")
                     k, size = k + 1, size + len(part[-1])
-                out += scorer(handed).score(part)
+                out += scorer.score(part)
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(out, pa.float64())], [*batch.schema.names[:last], "x"])
 
     return rows
@@ -286,7 +268,7 @@ def rated(docs: DataFrame, tables: tuple[DataFrame, DataFrame, DataFrame], model
     if likelihoods.count() + lefts.count() > most:
         return by_joins(docs, likelihoods, lefts, rest).select(*[part.split()[0] for part in schema.split(", ")])
     held = Model(Lookup(likelihoods, "gram", ["p_t", "p_o"]), Lookup(lefts, "context", ["left_t", "left_o"]), rest)
-    return docs.mapInArrow(scores(Handed(docs.sparkSession, held)), schema)
+    return docs.mapInArrow(scores(docs.sparkSession.sparkContext.broadcast(Scorer(held))), schema)
 
 
 def remainder(doc_id: str = "doc_id"):
