@@ -11,8 +11,9 @@ the groups, are the leaves of the top tree. Digests are SHA-256 over the parts'
    ``ceil(log2(levels))`` rounds all point to the root.
 4. A run of sibling leaves takes its parent's segments by one more join; each leaf prepends its own siblings.
 
-Many nodes come to point to the same few ancestors, so from the third round on these are copied under salts; there are at most a 16**4th as
-many of them.
+Many nodes come to point to the same few ancestors, so from the third round on these are copied under salts. Only nodes that some node points to
+are copied: about a 16**4th of all in trees that deep, none in shallower ones. Tables with paths are joined by sorting: stored segments are shared by
+siblings and so compress to a small part of what they take in memory, and Spark would broadcast them by the stored size, even with their copies.
 
 Defined cases: null columns are written as ``-``; rows without a group form a group of their own, which is the first; rows without a key come first; rows of
 one key stand by their digest (equal rows are leaves of their own); one row alone is leaf, subroot and root, and its proof is empty; an
@@ -121,20 +122,34 @@ def grow(nodes: DataFrame, first: int, depth: int) -> tuple[list[DataFrame], Dat
     return made, alone
 
 
+KEY = ["tree", "level", "place"]
+
+
+def pointed_to(nodes: DataFrame, at_root: Column, distance: int) -> DataFrame:
+    """Those of ``nodes`` that a node ``distance`` below may point to; in later rounds exactly those.
+
+    Pointers start at level 1 of a tree, so within it they lead above that distance.
+    """
+    above = nodes.where((F.col("tree") == TOP) | (F.col("level") > distance))
+    if distance < 4:
+        return above
+    named = nodes.where(~at_root).select(*[F.col(f"up_{c}").alias(c) for c in KEY]).distinct()
+    return above.join(named, KEY, "left_semi")
+
+
 def jumped(nodes: DataFrame, steps: int, at_root: Column) -> DataFrame:
     """``nodes`` (stored) with pointers to the root and all segments on the way. The root itself has no row."""
-    key, distance = ["tree", "level", "place"], 1
+    key, distance = KEY, 1
     rounds = max(0, steps - 1).bit_length()
     for k in range(rounds):
         copies = 1 if k < 2 else COPIES
-        further = nodes.where((F.col("tree") == TOP) | (F.col("level") >= distance) | F.col("subroot").isNotNull())
-        further = further.select(
+        further = pointed_to(nodes, at_root, distance).select(
             *[F.col(c).alias(f"up_{c}") for c in key],
             F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("salt"),
             F.struct(*[F.col(f"up_{c}").alias(c) for c in key], "path", "subroot").alias("b"),
         )
         open_nodes = nodes.where(~at_root).withColumn("salt", F.pmod(F.col("place"), F.lit(copies)).cast("int"))
-        met = open_nodes.join(further, [f"up_{c}" for c in key] + ["salt"], "left").select(
+        met = open_nodes.join(further.hint("merge"), [f"up_{c}" for c in key] + ["salt"], "left").select(
             *key,
             *[F.coalesce(f"b.{c}", f"up_{c}").alias(f"up_{c}") for c in key],
             F.concat("path", F.coalesce("b.path", F.expr("slice(path, 1, 0)"))).alias("path"),
@@ -178,7 +193,7 @@ def manifest(rows: DataFrame) -> DataFrame:
             linked = linked.unionByName(more)
         at_root = (F.col("up_tree") == TOP) & (F.col("up_level") == top_depth) if outer else F.col("up_level") == depth
         linked = jumped(staged(linked, "merkle-pointers"), max(0, depth - 1) + top_depth, at_root)
-        runs = runs.join(linked.select("tree", "level", "place", "path", "subroot"), ["tree", "level", "place"], "left")
+        runs = runs.join(linked.select(*KEY, "path", "subroot").hint("merge"), KEY, "left")
     else:  # one run is all there is
         runs = runs.withColumns({"path": F.expr("CAST(array() AS array<struct<left:binary,right:binary>>)"), "subroot": none.cast("binary")})
     upper = F.transform(F.coalesce("path", F.expr("CAST(array() AS array<struct<left:binary,right:binary>>)")), lambda s: F.struct(shown(s["left"]).alias("left"), shown(s["right"]).alias("right")))

@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import merkle
 
@@ -98,6 +100,32 @@ def test_deep_trees_need_rounds_with_copies(spark, tmp_path, monkeypatch):
     checked(spark, tmp_path, corpus({"x": 4500, "y": 20} | {f"z{k}": 1 for k in range(290)}), "deep")
 
 
+def test_tables_with_paths_are_not_broadcast(spark, tmp_path, monkeypatch):
+    plans, stage = [], merkle.staged
+
+    def seen(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return stage(df, label)
+
+    monkeypatch.setattr(merkle, "staged", seen)
+    path = str(tmp_path / "p")
+    rows = corpus({"x": 4500, "y": 20} | {f"z{k}": 1 for k in range(290)})
+    spark.createDataFrame([(*r, "", 0) for r in rows], SCHEMA).write.parquet(f"{path}/documents.parquet")
+    plans.append(("merkle-proved", merkle.op13_merkle(spark, path)._jdf.queryExecution().executedPlan().toString()))
+    joined = [p for label, p in plans if label in ("merkle-jumped", "merkle-proved")]
+    assert len(joined) == 4 and all("SortMergeJoin" in p and not re.search("BroadcastHashJoin.*LeftOuter", p) for p in joined)
+
+
+def test_only_nodes_that_are_pointed_to_are_copied(spark):
+    # a tree of six levels, three of two levels and the root's children: (tree, level, place, up_tree, up_level, up_place), four steps on
+    deep = [("=a", 1, k, "=a", 5, 0) for k in range(32)] + [("=a", 2, k, merkle.TOP, 1, 0) for k in range(2)] + [("=a", n, 0, merkle.TOP, 2, 0) for n in (3, 4, 5, 6)]
+    flat = [(f"={s}", n, 0, merkle.TOP, 2, 0) for s in "bcd" for n in (1, 2)]
+    top = [(merkle.TOP, 1, k, merkle.TOP, 2, 0) for k in range(5)]
+    nodes = spark.createDataFrame([(*n, "s" if n[1] > 1 else None) for n in deep + flat + top], "tree string, level int, place long, up_tree string, up_level int, up_place long, subroot string")
+    at_root = (F.col("up_tree") == merkle.TOP) & (F.col("up_level") == 2)
+    assert sorted(tuple(r)[:3] for r in merkle.pointed_to(nodes, at_root, 4).collect()) == [(merkle.TOP, 1, 0), ("=a", 5, 0)]
+
+
 def test_odd_rows(spark, tmp_path):
     rows = [(None, None, None, None, None), (None, "A", "en", "s", 1), (5, "", "en", "s", 0), (5, "Two", "en", "s", 3), (5, "Two", "en", "s", 3), (8, "x" * 200_000 + "Y", "de", "", 200_001), (-4, "Neg", None, "s", 3)]
     checked(spark, tmp_path, rows, "odd")
