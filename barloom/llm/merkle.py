@@ -193,6 +193,8 @@ def manifest(rows: DataFrame) -> DataFrame:
             linked = linked.unionByName(more)
         at_root = (F.col("up_tree") == TOP) & (F.col("up_level") == top_depth) if outer else F.col("up_level") == depth
         linked = jumped(staged(linked, "merkle-pointers"), max(0, depth - 1) + top_depth, at_root)
+        if not outer:  # the only tree's root stands in no run
+            linked = linked.withColumn("subroot", F.unhex(F.lit(root[0])))
         runs = runs.join(linked.select(*KEY, "path", "subroot").hint("merge"), KEY, "left")
     else:  # one run is all there is
         runs = runs.withColumns({"path": F.expr("CAST(array() AS array<struct<left:binary,right:binary>>)"), "subroot": none.cast("binary")})

@@ -95,6 +95,11 @@ def test_manifest_equals_plain_hashing(spark, tmp_path, sizes):
     checked(spark, tmp_path, corpus(sizes), "t")
 
 
+def test_one_source_of_several_runs(spark, tmp_path):
+    for n in (17, 300):
+        checked(spark, tmp_path, corpus({"a": n}), f"one{n}")
+
+
 def test_deep_trees_need_rounds_with_copies(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(merkle, "COPIES", 3)
     checked(spark, tmp_path, corpus({"x": 4500, "y": 20} | {f"z{k}": 1 for k in range(290)}), "deep")
