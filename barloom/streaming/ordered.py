@@ -2,12 +2,17 @@
 
 State lives in RocksDB by key; timers of the event time wake a key only when rows of its own are due. What waits is bounded by the
 watermark's delay. Rows that come after the watermark has passed them are dropped by Spark.
+
+Each call into the state is a round trip between Python and the JVM, and each key is a frame in and a frame out. So rows that came together wait as arrays in
+one element of the state, and a processor whose keys are many and small (the ledger) can take several of them under one.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +24,10 @@ from barloom.sources.shared import ship
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Rows of one element of what waits at most.
+TOGETHER = 1000
+
+
 def names(ddl: str) -> list[str]:
     return [x.split()[0] for x in ddl.split(", ")]
 
@@ -31,6 +40,11 @@ def run(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema:
     return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
+def packed(rows: list[tuple]) -> list[tuple]:
+    """Rows as a few elements that hold an array per column."""
+    return [tuple(list(column) for column in zip(*some, strict=True)) for some in batched(rows, TOGETHER)]
+
+
 class InOrder(StatefulProcessor):
     """Keeps a key's rows until no earlier ones can come, and releases them by (at, seq). ``columns`` begin with ``at`` (microseconds) and ``seq``."""
 
@@ -39,14 +53,17 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.columns)
+        self.waiting = handle.getListState("waiting", ", ".join(f"{name} array<{kind}>" for name, kind in (x.split() for x in self.columns.split(", "))))
         self.due = handle.getValueState("due", "at long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        more, came = self.due.get() is not None, []
         for batch in rows:
-            self.waiting.appendList(list(batch[names(self.columns)].itertuples(index=False, name=None)))
+            some = list(batch[names(self.columns)].itertuples(index=False, name=None))
+            self.waiting.appendList(packed(some))
             self.wake(int(batch["at"].min()))
-        yield from self.taken(key)
+            came += some
+        yield from self.taken(came, more)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
@@ -56,7 +73,7 @@ class InOrder(StatefulProcessor):
         if cut:
             yield from self.released(key, rows[:cut])
             if rows[cut:]:
-                self.waiting.put(rows[cut:])
+                self.waiting.put(packed(rows[cut:]))
             else:
                 self.waiting.clear()
         if rows[cut:]:
@@ -65,7 +82,11 @@ class InOrder(StatefulProcessor):
             self.idle(passed)
 
     def ordered(self) -> list[tuple]:
-        return sorted(self.waiting.get(), key=lambda r: (r[0], r[1]))
+        return sorted(self.all_waiting(), key=lambda r: (r[0], r[1]))
+
+    def all_waiting(self) -> Iterator[tuple]:
+        for columns in self.waiting.get():
+            yield from zip(*columns, strict=True)
 
     def wake(self, at: int) -> None:
         """Have a timer for the first millisecond that ``at`` lies in or before."""
@@ -76,8 +97,8 @@ class InOrder(StatefulProcessor):
             self.handle.registerTimer(-(-at // 1000))
             self.due.update((at,))
 
-    def taken(self, key: tuple) -> Iterator[pd.DataFrame]:
-        """What is told when rows have come."""
+    def taken(self, came: list[tuple], more: bool) -> Iterator[pd.DataFrame]:
+        """What is told when rows have come; with ``more`` others waited before them."""
         yield from ()
 
     def released(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
@@ -167,44 +188,60 @@ class Alerts(StatefulProcessor):
 
 
 class Ledger(InOrder):
-    """A portfolio's orders executed in the order of events.
+    """Portfolios' orders executed in the order of events. A key holds one portfolio or several.
 
-    After each batch it tells where the portfolio stands with all orders known so far: those that are final are in the state (cash, counts, a map of
-    holdings), those that wait are executed on top of it without being kept. ``version`` grows with every row of a portfolio.
+    After each batch it tells where the portfolios that traded stand with all orders known so far: those that are final are in the state (maps of cash and
+    counts, and of holdings), those that wait are executed on top of it without being kept. ``version`` grows with every row of a portfolio.
     """
 
     OUT = "portfolio long, cash double, positions long, accepted long, rejected long, waiting long, version long"
 
     def __init__(self, cash: float):
-        super().__init__("at long, seq string, symbol string, side string, qty long, price double")
+        super().__init__("at long, seq string, portfolio long, symbol string, side string, qty long, price double")
         self.cash = cash
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.account = handle.getValueState("account", "cash double, accepted long, rejected long")
+        self.account = handle.getMapState("account", "portfolio long", "cash double, accepted long, rejected long")
         self.version = handle.getValueState("version", "n long")
-        self.held = handle.getMapState("held", "symbol string", "qty long, average double")
-
-    def standing(self) -> tuple:
-        return tuple(self.account.get() or (self.cash, 0, 0))
-
-    def taken(self, key: tuple) -> Iterator[pd.DataFrame]:
-        rows = self.ordered()
-        cash, accepted, rejected = self.standing()
-        held = {s[0]: tuple(x) for s, x in self.held.iterator()}
-        cash, held, counts = execute([r[2:] for r in rows], cash, held)
+        self.held = handle.getMapState("held", "portfolio long, symbol string", "qty long, average double")
+
+    def final(self) -> tuple[dict[int, tuple], dict[int, dict[str, tuple]]]:
+        """Accounts and holdings by portfolio, of the orders that are final."""
+        held: dict[int, dict[str, tuple]] = defaultdict(dict)
+        if not self.account.exists():
+            return {}, held
+        for (portfolio, symbol), x in self.held.iterator():
+            held[portfolio][symbol] = tuple(x)
+        return {p[0]: tuple(x) for p, x in self.account.iterator()}, held
+
+    def executed(self, rows: Iterable[tuple], accounts: dict[int, tuple], held: dict[int, dict[str, tuple]]) -> Iterator[tuple]:
+        """(portfolio, cash, holdings, accepted, rejected, orders) after ``rows``, which are in order."""
+        turns = defaultdict(list)
+        for r in rows:
+            turns[r[2]].append(r[3:])
+        for portfolio, orders in turns.items():
+            cash, accepted, rejected = accounts.get(portfolio, (self.cash, 0, 0))
+            cash, holdings, counts = execute(orders, cash, held.get(portfolio, {}))
+            yield portfolio, cash, holdings, accepted + counts[0], rejected + counts[1], len(orders)
+
+    def taken(self, came: list[tuple], more: bool) -> Iterator[pd.DataFrame]:
+        if more:
+            traded = {r[2] for r in came}
+            came = [r for r in self.all_waiting() if r[2] in traded]
         version = (self.version.get() or (0,))[0] + 1
         self.version.update((version,))
-        yield pd.DataFrame([(*key, cash, len(held), accepted + counts[0], rejected + counts[1], len(rows), version)], columns=names(self.OUT))
+        done = self.executed(sorted(came, key=lambda r: (r[0], r[1])), *self.final())
+        yield pd.DataFrame([(p, cash, len(holdings), *counts, version) for p, cash, holdings, *counts in done], columns=names(self.OUT))
 
     def released(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        cash, accepted, rejected = self.standing()
-        before = {s: tuple(self.held.getValue((s,))) for s in {r[2] for r in rows} if self.held.containsKey((s,))}
-        cash, held, counts = execute([r[2:] for r in rows], cash, before)
-        self.account.update((cash, accepted + counts[0], rejected + counts[1]))
-        for symbol, holding in held.items():
-            if before.get(symbol) != holding:
-                self.held.updateValue((symbol,), holding)
-        for symbol in before.keys() - held.keys():
-            self.held.removeKey((symbol,))
+        accounts, held = self.final()
+        for portfolio, cash, holdings, accepted, rejected, _ in self.executed(rows, accounts, held):
+            self.account.updateValue((portfolio,), (cash, accepted, rejected))
+            before = held.get(portfolio, {})
+            for symbol, holding in holdings.items():
+                if before.get(symbol) != holding:
+                    self.held.updateValue((portfolio, symbol), holding)
+            for symbol in before.keys() - holdings.keys():
+                self.held.removeKey((portfolio, symbol))
         yield from ()

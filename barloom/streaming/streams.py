@@ -60,14 +60,18 @@ def alerts(quotes: DataFrame, wanted: DataFrame, late: str = "10 minutes") -> Da
     return ordered.run(rows, ["alert"], ordered.Alerts(), ordered.Alerts.OUT).select("alert", F.timestamp_micros("at").alias("ts"), "px")
 
 
-def ledger(orders: DataFrame, cash: float = 1_000_000.0, late: str = "1 day") -> DataFrame:
+def ledger(orders: DataFrame, cash: float = 1_000_000.0, late: str = "1 day", shares: int | None = None) -> DataFrame:
     """Where each portfolio stands after every batch in which it traded, with all orders known so far executed in the order of events (append mode).
 
     Orders (portfolio, symbol, ts, side, qty, price, seq_key) are final, and only then in the state for good, when the watermark has passed them. Of a
-    portfolio's rows the one of the highest ``version`` is the latest.
+    portfolio's rows the one of the highest ``version`` is the latest. Orders without a portfolio are left out.
+
+    The state is kept by portfolio, or by ``shares`` of them that stay the same for a checkpoint: a batch in which most portfolios trade then spends far less on
+    each, but it reads all that waits in a share in which one trades.
     """
-    rows = orders.withWatermark("ts", late).select("portfolio", "ts", F.unix_micros("ts").alias("at"), F.col("seq_key").alias("seq"), "symbol", "side", F.col("qty").cast("long").alias("qty"), F.col("price").cast("double").alias("price"))
-    return ordered.run(rows, ["portfolio"], ordered.Ledger(cash), ordered.Ledger.OUT)
+    key = F.col("portfolio") if shares is None else F.pmod(F.xxhash64("portfolio"), F.lit(shares))
+    rows = orders.where("portfolio IS NOT NULL").withWatermark("ts", late).select(key.alias("share"), "portfolio", "ts", F.unix_micros("ts").alias("at"), F.col("seq_key").alias("seq"), "symbol", "side", F.col("qty").cast("long").alias("qty"), F.col("price").cast("double").alias("price"))
+    return ordered.run(rows, ["share"], ordered.Ledger(cash), ordered.Ledger.OUT)
 
 
 def latest_standing(standings: DataFrame) -> DataFrame:

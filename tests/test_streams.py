@@ -4,11 +4,12 @@ import datetime as dt
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import portfolio
-from barloom.streaming import streams
+from barloom.streaming import ordered, streams
 
 START = dt.datetime(2024, 1, 1)
 
@@ -73,6 +74,43 @@ def test_ledger_in_shuffled_batches_equals_the_replay(spark, tmp_path, late):
     assert (max(waiting) < 80) == (late == "2 days")
 
 
+def test_portfolios_that_share_their_state(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(START + dt.timedelta(hours=6 * rng.randint(0, 160)), rng.randint(1, 7), rng.choice("XYZ"), rng.choice(["BUY", "BUY", "SELL"]), rng.randint(-1, 400), round(rng.uniform(1, 900), 2), f"{k:05d}") for k in range(600)]
+    batches = disordered(rows, 6, dt.timedelta(days=1.5), 3)
+    told = in_turns(spark, tmp_path, lambda s: streams.ledger(s, late="2 days", shares=2), batches, ORDERS)
+    got = {r.portfolio: tuple(r)[1:] for r in streams.latest_standing(told).collect()}
+    ledger = spark.createDataFrame(rows, ORDERS).withColumn("seq", F.struct(F.col("seq_key").alias("k")))
+    want = {}
+    for r in portfolio.replay(ledger).collect():
+        _, n, *_ = want.get(r.portfolio, (0, 0))
+        want[r.portfolio] = (r.cash, n + (r.symbol is not None), r.accepted, r.rejected)
+    assert got == want and len(want) == 7 and max(r.waiting for r in told.collect()) < 60
+
+
+class CountedState:
+    """A handle whose states count the calls into them."""
+
+    calls = 0
+
+    def __getattr__(self, name):
+        def call(*_):
+            CountedState.calls += 1
+            return {"exists": False, "get": None}.get(name, CountedState())
+
+        return call
+
+
+def test_the_ledger_calls_the_state_by_share_not_by_portfolio():
+    held = ordered.Ledger(1000.0)
+    held.init(CountedState())
+    CountedState.calls = 0
+    rows = [(k % 300, f"{k:04d}", k % 300, "X", "BUY", 1, 600.0) for k in range(900)]
+    out = pd.concat(held.handleInputRows((0,), iter([pd.DataFrame(rows, columns=ordered.names(held.columns))]), None))
+    assert len(out) == 300 and set(out.itertuples(index=False, name=None)) == {(p, 400.0, 1, 1, 2, 3, 1) for p in range(300)}
+    assert CountedState.calls < 12
+
+
 def test_a_sale_before_its_purchase_in_an_earlier_batch(spark, tmp_path):
     day = dt.timedelta(days=1)
     batches = [[(START + day, 1, "X", "SELL", 5, 10.0, "b")], [(START, 1, "X", "BUY", 5, 10.0, "a")]]
