@@ -148,8 +148,8 @@ def fold_predictions(frame: DataFrame, panel: DataFrame, rounds: int = 5) -> Dat
     return done
 
 
-def staged(df: DataFrame) -> DataFrame:
-    path = shared_path(df.sparkSession, "predictions")
+def staged(df: DataFrame, label: str = "predictions") -> DataFrame:
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -176,18 +176,20 @@ def final_fit_holdout(frame: DataFrame, panel: DataFrame, rounds: int = 5, holdo
 def isotonic_knots(scored: DataFrame, points: int = 10, least: int = 15, prior: int = 10, enough: int = 20) -> DataFrame:
     """Knots per horizon on a grid of probabilities: isotonic fits, pulled towards one half where few rows support them, non-decreasing.
 
-    A horizon with under ``enough`` rows has no knots but one row that says so (``status``).
+    A horizon with under ``enough`` rows has no knots but one row that says so (``status``). ``scored`` is computed once: fits and supports are taken from its rows
+    counted by probability and outcome, which are stored.
     """
     grid = [round(0.05 + 0.9 * k / (points - 1), 3) for k in range(points)]
     out = scored.sparkSession.createDataFrame([], "horizon string, x double, fit double, support bigint, status string")
-    sizes = {r.horizon: r["count"] for r in scored.groupBy("horizon").count().collect()}
+    counts = staged(scored.groupBy("horizon", "prob", F.col("outcome").alias("label")).agg(F.count("*").alias("weight")), "isotonic-counts")
+    sizes = {r.horizon: r["count"] for r in counts.groupBy("horizon").agg(F.sum("weight").alias("count")).collect()}
     for horizon in ("1d", "5d", "20d"):
         if sizes.get(horizon, 0) < enough:
             out = out.unionByName(scored.sparkSession.createDataFrame([(horizon, None, None, sizes.get(horizon, 0), "INSUFFICIENT_DATA")], out.schema))
             continue
-        own = scored.where(F.col("horizon") == horizon).select("prob", F.col("outcome").alias("label"))
-        model = IsotonicRegression(featuresCol="prob", labelCol="label").fit(VectorAssembler(inputCols=["prob"], outputCol="v").transform(own).drop("prob").withColumnRenamed("v", "prob"))
-        near = own.select(F.explode(F.array(*[F.when(F.abs(F.col("prob") - x) <= 0.08, F.lit(x)) for x in grid])).alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count("*").alias("support"))
+        own = counts.where(F.col("horizon") == horizon).select("prob", "label", "weight")
+        model = IsotonicRegression(featuresCol="prob", labelCol="label", weightCol="weight").fit(VectorAssembler(inputCols=["prob"], outputCol="v").transform(own).drop("prob").withColumnRenamed("v", "prob"))
+        near = own.select("weight", F.explode(F.array(*[F.when(F.abs(F.col("prob") - x) <= 0.08, F.lit(x)) for x in grid])).alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.sum("weight").alias("support"))
         fits = own.sparkSession.createDataFrame([(x, min(0.95, max(0.05, float(model.predict(x))))) for x in grid], "x double, fit double")
         knots = fits.join(near, "x", "left").select(F.lit(horizon).alias("horizon"), "x", "fit", F.coalesce("support", F.lit(0)).alias("support"), F.lit("OK").alias("status"))
         out = out.unionByName(knots)

@@ -143,6 +143,21 @@ def test_isotonic_grid(spark):
     assert [r.y for r in got] == sorted(r.y for r in got) and len(got) == 10
 
 
+def test_isotonic_knots_compute_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def looked_at(p):
+        seen.add(1)
+        return p
+
+    rows = [(h, round(0.1 + 0.8 * (k % 25) / 24, 3), float(k % 25 >= 10)) for h in ("1d", "5d", "20d") for k in range(500)]
+    df = spark.createDataFrame(rows, "horizon string, prob double, outcome double").repartition(3)
+    got = models.isotonic_knots(df.withColumn("prob", F.udf(looked_at, "double")("prob"))).where("horizon = '5d'").orderBy("x").collect()
+    assert seen.value == len(rows)
+    assert [r.support for r in got] == [sum(abs(p - r.x) <= 0.08 for h, p, _ in rows if h == "5d") for r in got]
+    assert [r.y for r in got] == [0.05 if r.x < 0.4 else 0.95 for r in got]
+
+
 def test_cleaning_small_cases(spark):
     raw = [("A", "2020-01-02", "1.005", "2", "1", "1.5", "5", 2), ("A", "2020-01-02", "9", "9", "9", "9", "5", 3), ("A", "2020-01-03", "x", "2", "1", "1.5", "5", 4), ("A", "2020-01-04", "1", "0.5", "1", "1.5", "5", 5)]
     df = spark.createDataFrame(raw, "symbol string, time string, open string, high string, low string, close string, volume string, seq int")
